@@ -16,7 +16,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], total: float, most: fl
 
     Weights repeat over the sources by name, null last. No target passes ``most`` times its source's size: with the level
     lambda a source gets min(most * size, lambda * weight), and lambda is such that the shares add up. The sources sorted by
-    most * size / weight fill up in that order, so lambda follows from running sums over the sources alone.
+    most * size / weight fill up in that order, so lambda follows from running sums over the sources alone: it is the largest
+    of the candidates that leave the source they start with unfilled.
     """
     one = Window.partitionBy(F.lit(0))
     named = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
@@ -25,7 +26,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], total: float, most: fl
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(0, Window.unboundedFollowing)
     filled = capped.withColumn("lambda", (total * F.sum("source_size").over(one) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    return filled.withColumn("lambda", F.min(F.when(F.col("lambda") <= F.col("level"), F.col("lambda"))).over(one)).select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("lambda"), "cap")).alias("target"))
+    return filled.withColumn("lambda", F.max(F.when(F.col("lambda") <= F.col("level"), F.col("lambda"))).over(one)).select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("lambda"), "cap")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, seed: str = "mix", cells: int = 16384) -> DataFrame:

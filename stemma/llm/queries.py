@@ -166,7 +166,7 @@ running AS (
   SELECT *, cap / weight AS level, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM ordered),
 aim AS (
-  SELECT source, source_size, n, least(cap, coalesce(weight * min(CASE WHEN lam <= level THEN lam END) OVER (), cap)) :: DOUBLE AS target FROM running),
+  SELECT source, source_size, n, least(cap, coalesce(weight * max(CASE WHEN lam <= level THEN lam END) OVER (), cap)) :: DOUBLE AS target FROM running),
 share AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS ratio, floor(ratio) AS whole, ratio - whole AS part, target - whole * source_size AS lft FROM aim),
 ranked AS (
