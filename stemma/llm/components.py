@@ -20,7 +20,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     parent = scratch.cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("parent")))
     while True:
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        state = scratch.cut(parent.join(up, "parent").select("node", "parent", "grand"))
+        state = scratch.cut(parent.select("node", "parent").join(up, "parent").select("node", "parent", "grand"))
         a = state.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         b = state.select(F.col("node").alias("v"), F.col("grand").alias("gv"))
         met = both.join(a, "u").join(b, "v")
