@@ -98,9 +98,10 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
     firsts = known.where(f"not copy and n_words >= {span}").select("doc_id", "rid")
     own = marked.select("doc_id", "rid", "at", "gram").join(firsts, ["doc_id", "rid"]).select("doc_id", "rid", F.explode(F.arrays_zip("at", "gram")).alias("a")).select("doc_id", "rid", "a.at", "a.gram")
     own = scratch.cut(own)
-    shared = own.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
+    # written, so that both sides of the join are dealt anew and a hot gram can be split
+    shared = scratch.cut(own.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"))
     seeds = scratch.cut(own.join(shared, "gram").groupBy("doc_id", "rid").agg(F.collect_set("at").alias("seeds")))
-    scratch.drop(own)
+    scratch.drop(own), scratch.drop(shared)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,9 +122,9 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
 
     windows = scratch.cut(source.join(seeds, ["doc_id", "rid"]).select("doc_id", "rid", "text", "seeds").mapInArrow(extend, "doc_id long, rid long, start int, h1 long, h2 int"))
     scratch.drop(seeds)
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    earliest = scratch.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
     later = scratch.cut(windows.join(earliest, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("start")).alias("starts")))
-    scratch.drop(windows)
+    scratch.drop(windows), scratch.drop(earliest)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
