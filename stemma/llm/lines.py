@@ -26,7 +26,8 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     rid = F.expr("xxhash64(text)")
     placed = scratch.cut(docs.where("text is not null").select("doc_id", rid.alias("rid"), F.expr(f"explode({windows})").alias("w")).select("doc_id", "rid", "w.at", "w.h", "w.g"))
     place = F.struct("doc_id", F.col("at")[0].alias("line"))
-    first = placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first")
+    # written, so that both sides of the join are dealt anew and a hot window can be split
+    first = scratch.cut(placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first"))
     later = placed.join(first, ["h", "g"]).where(F.struct("doc_id", F.col("at")[0].alias("line")) != F.col("first"))
     gone = later.groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
     gone = scratch.cut(gone).withColumnRenamed("doc_id", "gone_doc").withColumnRenamed("rid", "gone_rid")
