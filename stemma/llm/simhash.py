@@ -63,7 +63,8 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, blocks: int = 5,
     """
     masks = F.array(*(F.lit(signed(m)) for m in block_masks(max_bits, blocks)))
     keyed = fps.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.expr("fp & mask").alias("key"))
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are dealt anew and a hot bucket can be split
+    sizes = scratch.cut(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1"))
     met = scratch.cut(keyed.join(sizes, ["choice", "key"]))
     small = met.where(F.col("n") <= bucket).select("choice", "key", "fp")
     pairs = (
