@@ -18,6 +18,9 @@ ENDPOINT = r"""(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|s3)://[^\x
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
 
 
+NONE = "cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"
+
+
 def literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -28,10 +31,9 @@ def spans(kind: str, text: str, pattern: str, keep: str = "true") -> str:
     What lies between matches is what split() returns, so running lengths give the places, in code points.
     """
     p, rank = literal(pattern), KINDS.index(kind)
-    none = "cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"
     step = f"named_struct('at', a.at + length(s[i]) + length(m[i]), 'out', if({keep}, concat(a.out, array(named_struct('start', a.at + length(s[i]), 'kind', {rank}, 'end', a.at + length(s[i]) + length(m[i])))), a.out))"
-    fold = f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0L, 'out', {none}), (a, i) -> {step}, a -> a.out)"
-    return let("m", f"regexp_extract_all({text}, {p}, 0)", f"if(size(m) = 0, {none}, {let('s', f'split({text}, {p}, -1)', fold)})")
+    fold = f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0L, 'out', {NONE}), (a, i) -> {step}, a -> a.out)"
+    return let("m", f"regexp_extract_all({text}, {p}, 0)", f"if(size(m) = 0, {NONE}, {let('s', f'split({text}, {p}, -1)', fold)})")
 
 
 def listed(col: str) -> str:
@@ -53,7 +55,7 @@ def find_secrets(docs: DataFrame, reach: int = 256) -> DataFrame:
     """
     t = "coalesce(text, '')"
     lengths = f"regexp_extract_all({t}, {literal(ASSIGN)}, 2)"
-    strong = let("v", lengths, f"if(size(v) = 0, {spans('assign', t, '$^')}, {spans('assign', t, ASSIGN, 'length(v[i]) >= 6')})")
+    strong = let("v", lengths, f"if(size(v) = 0, {NONE}, {spans('assign', t, ASSIGN, 'length(v[i]) >= 6')})")
     mixed = f"m[i] rlike '[0-9]' and m[i] rlike '[a-z]' and m[i] rlike '[A-Z]'"
     scratch = Scratch(docs.sparkSession)
     marked = docs.select("doc_id", "text").select(
@@ -80,4 +82,4 @@ def find_secrets(docs: DataFrame, reach: int = 256) -> DataFrame:
     found = linked.union(both).distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
     out = marked.drop("weak").join(found, "rid", "left")
     count = lambda kind: F.expr(f"cast(size(filter(base, x -> x.kind = {KINDS.index(kind)})) as bigint)").alias(f"n_{kind}")
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.expr(listed("base")), 256).alias("base_sha256"), F.expr(listed("concat(base, coalesce(linked, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)))")).alias("spans"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.expr(listed("base")), 256).alias("base_sha256"), F.expr(listed(f"concat(base, coalesce(linked, {NONE}))")).alias("spans"))
