@@ -43,6 +43,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str, bool, int, bool]] = []  # tag, name, off, main, silent
         self.blocks: list[tuple[str, bool, int, str, int]] = []
+        self.paths: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
         self.feed(html)
@@ -79,6 +80,8 @@ class Page(HTMLParser):
             off = off and tag not in ("html", "body", "article", "main") and bool(marks)
         name = tag + ("." + ".".join(sorted(w for w in words if w)) if label.strip() else "")
         self.open.append((tag, name, off, main, tag in SILENT))
+        if tag not in INLINE:
+            self.paths["/".join(x[1] for x in self.open if x[0] not in INLINE)] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -115,13 +118,13 @@ def token(path: str, text: str | None = None) -> int:
     return xxhash.xxh64_intdigest(path if text is None else f"{path}\n{text}") - (1 << 63)
 
 
-def tokens(blocks: list[tuple[str, bool, int, str, int]]) -> dict[int, tuple[int, int, str, bool]]:
-    """Per token of a page how often it occurs, where first, its path, and if it is a text: each path, and each text on its path."""
-    found: dict[int, list] = {}
-    for i, (path, _, _, text, _) in enumerate(blocks):
-        for t, is_text in ((token(path), False), (token(path, text), True)):
-            found.setdefault(t, [0, i, path, is_text])[0] += 1
-    return {t: tuple(x) for t, x in found.items()}
+def tokens(html: str | None) -> list[tuple[int, int, str, bool]]:
+    """A page's tokens, how often it has each, on which path, and if it is a text: its elements by path, and its texts on theirs."""
+    if not html:
+        return []
+    page = Page(html)
+    texts = Counter((b[0], b[3]) for b in page.blocks)
+    return [(token(p), n, p, False) for p, n in page.paths.items()] + [(token(p, t), n, p, True) for (p, t), n in texts.items()]
 
 
 def article(blocks: list[tuple[str, bool, int, str, int]], template: set[int]) -> list[str]:
@@ -148,23 +151,22 @@ def templates(pages: DataFrame, scratch: Scratch, least: int = 3, share: float =
     """(host, template): the tokens of each host's template.
 
     A token's occurrence vector is its count on every page of the host; equal vectors have equal sums of page hashes, so one
-    grouped sum finds the equivalence classes. A class is valid if it occurs on ``least`` pages and a ``share`` of the host's,
-    once per page (it orders the page), and has a path token among its own or nests in a valid class: each of its paths runs on
-    from, or along, a path of a class whose pages include its own. Texts in valid classes are the template's own words.
+    grouped sum finds the equivalence classes. Classes on ``least`` pages and a ``share`` of the host's can be valid: one with
+    elements that every page has once is, and so is one whose paths all run on from paths of valid classes (it nests in
+    them) and which has elements, or as many texts on each page. Texts in valid classes are the template's own words.
     """
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "token", "is_text", "path", "n", "page", "at"]
+        names = ["host", "token", "is_text", "path", "n", "page"]
         for b in batches:
             rows = []
             for host, page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                found = tokens(read(html.as_py()))
-                rows += [(host, t, is_text, path, n, xxhash.xxh64_intdigest(f"{page}:{n}") >> 24, at) for t, (n, at, path, is_text) in found.items()]
+                rows += [(host, t, is_text, path, n, xxhash.xxh64_intdigest(f"{page}:{n}") >> 24) for t, n, path, is_text in tokens(html.as_py())]
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    seen = pages.mapInArrow(occur, "host string, token long, is_text boolean, path string, n long, page long, at long")
+    seen = pages.mapInArrow(occur, "host string, token long, is_text boolean, path string, n long, page long")
     per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum(F.col("page").cast("decimal(20,0)")).alias("vector"))
     totals = pages.groupBy("host").agg(F.count("*").alias("all"))
     frequent = per_token.where(f"pages >= {least}").join(totals, "host").where(f"pages >= {share} * all")
@@ -179,8 +181,8 @@ def templates(pages: DataFrame, scratch: Scratch, least: int = 3, share: float =
                 chosen: list[int] = []
                 for g in groups:
                     paths = {m["path"] for m in g["members"]}
-                    nested = all(any(p == q or p.startswith(q + "/") or q.startswith(p + "/") for q in frame) for p in paths)
-                    if g["times"] == g["pages"] and (g["framed"] or nested) or nested and g["framed"]:
+                    nested = all(any(p[:i] in frame for i in range(len(p), 0, -1) if i == len(p) or p[i] == "/") for p in paths)
+                    if g["framed"] and (nested or g["times"] == g["pages"]) or nested and g["times"] % g["pages"] == 0:
                         frame |= paths
                         chosen += [m["token"] for m in g["members"] if m["is_text"]]
                 kept.append(sorted(chosen))
