@@ -32,7 +32,7 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     gone = later.groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
     gone = scratch.cut(gone).withColumnRenamed("doc_id", "gone_doc").withColumnRenamed("rid", "gone_rid")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.select(*names).withColumn("__rid", rid).join(gone, F.expr("doc_id <=> gone_doc and __rid = gone_rid"), "left")
+    both = docs.select(*names).withColumn("__rid", rid).join(gone.hint("merge"), F.expr("doc_id <=> gone_doc and __rid = gone_rid"), "left")
     lines = "split(text, '\\n', -1)"
     runs = "transform(array_append(g, size(l)), (to, k) -> slice(l, coalesce(get(g, k - 1) + 1, 0) + 1, to - coalesce(get(g, k - 1) + 1, 0)))"
     keep = let("g", "array_sort(gone)", let("l", lines, f"array_join(flatten({runs}), '\\n')"))
