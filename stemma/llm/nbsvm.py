@@ -124,7 +124,7 @@ def classify(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).alias("y"))
     known = scratch.cut(known.where(fold != 2).withColumn("h", F.xxhash64("doc_id")))
     bar = known.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    train = docs.select("doc_id", F.col("text").cast("string")).join(known, "doc_id").select("text", "y", (F.col("h") <= F.lit(bar)).alias("fit"), (fold == 3).alias("tune"))
+    train = docs.select("doc_id", F.col("text").cast("string")).join(known.hint("merge"), "doc_id").select("text", "y", (F.col("h") <= F.lit(bar)).alias("fit"), (fold == 3).alias("tune"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, sums = Features(bits), np.zeros((2, dims), np.int64)
