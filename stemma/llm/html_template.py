@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,20 +29,44 @@ MARKS = frozenset(
 )
 #: Of these, what inside an article is its title.
 TITLES = frozenset("header masthead banner".split())
-MAIN = frozenset("article main".split())
-MAIN_MARKS = frozenset("article articlebody content maincontent main post postbody postcontent entry entrycontent story storybody body text".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Names of containers of an article, and of ones that may hold more.
+SURE_MARKS = frozenset("article articlebody articlecontent post postbody postcontent entry entrycontent story storybody".split())
+LOOSE_MARKS = frozenset("content maincontent main body text".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 #: Blocks that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+P_STAYS = frozenset("article aside blockquote body div footer form header li main nav section table td th ul ol".split())
+LISTS = frozenset("ul ol table dl".split())
+TRAITS = frozenset("class id role hidden aria-hidden style".split())
 BLANK = re.compile(r"\s+")
 
 
+@lru_cache(1 << 14)
+def traits(tag: str, attrs: tuple[tuple[str, str], ...]) -> tuple[str, bool, bool, int]:
+    """An element's name in paths, if it is off outside and inside an article, and how surely it is one (4 to 0)."""
+    have = dict(attrs)
+    label = f"{have.get('class', '')} {have.get('id', '')}".strip().lower()
+    words = {w for w in re.split(r"[^a-z]+", label) if w} | {re.sub(r"[^a-z]", "", w) for w in label.split()}
+    role = have.get("role")
+    box = tag in ("div", "section", "td")
+    main = 4 if tag == "article" or role == "article" else 3 if box and words & SURE_MARKS else 2 if tag == "main" or role == "main" else 1 if box and words & LOOSE_MARKS else 0
+    hidden = "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
+    plain = tag in ("html", "body")
+    mark = lambda marks: bool(words & marks) and not plain
+    outside = hidden or role in ROLES or tag in ASIDE or mark(MARKS - TITLES if main > 1 else MARKS)
+    # what an article's own header holds is its title, as long as nothing else marks it
+    inside = hidden or role in ROLES or tag in ASIDE - {"header"} or mark(MARKS - TITLES)
+    name = tag + ("." + ".".join(sorted(w for w in words if w)) if label else "")
+    return name, outside, inside, main
+
+
 class Page(HTMLParser):
     """Reads a page into blocks of text (path, off, how surely in the article, text, linked characters); the path names each open element."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, int, bool]] = []  # tag, name, off, main, silent
+        # tag, path, off, main, mute, in a link: what an element has from those around it included
+        self.open: list[tuple[str, str, bool, int, bool, bool]] = [("", "", False, 0, False, False)]
         self.blocks: list[tuple[str, bool, int, str, int]] = []
         self.paths: Counter[str] = Counter()
         self.parts: list[str] = []
@@ -51,37 +76,32 @@ class Page(HTMLParser):
         self.flush()
 
     def flush(self) -> None:
-        text = BLANK.sub(" ", "".join(self.parts)).strip()
-        if text:
-            tags = [x for x in self.open if x[0] not in INLINE]
-            self.blocks.append(("/".join(x[1] for x in tags), any(x[2] for x in self.open), max((x[3] for x in self.open), default=0), text, self.linked))
-        self.parts, self.linked = [], 0
+        if self.parts:
+            text = BLANK.sub(" ", "".join(self.parts)).strip()
+            if text:
+                _, path, off, main, _, _ = self.open[-1]
+                self.blocks.append((path, off, main, text, self.linked))
+            self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline:
             self.flush()
             if tag in ENDS_P:
-                self.shut({"p"}, barrier=frozenset("article aside blockquote body div footer form header li main nav section table td th ul ol button".split()))
+                self.shut(("p",), P_STAYS)
             if tag in CLOSES:
-                self.shut(CLOSES[tag], barrier=frozenset("ul ol table dl select".split()))
+                self.shut(CLOSES[tag], LISTS)
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        have = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        label = f"{have.get('class', '')} {have.get('id', '')}".lower()
-        words = set(re.split(r"[^a-z]+", label)) | {re.sub(r"[^a-z]", "", w) for w in label.split()}
-        main = 3 if tag == "article" or have.get("role") == "article" else 2 if tag == "main" or have.get("role") == "main" else int(bool(words & MAIN_MARKS) and tag in ("div", "section", "td"))
-        inside = any(x[3] for x in self.open)
-        marks = words & (MARKS - TITLES if inside or main else MARKS)
-        # what an article's own header holds is its title, as long as no mark says otherwise
-        off = (tag in ASIDE and not (tag == "header" and inside)) or have.get("role") in ROLES or bool(marks and tag not in ("html", "body")) or "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
-        if tag in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6", "p", *MAIN) and not have.get("role") in ROLES and "hidden" not in have:
-            off = off and tag not in ("html", "body", "article", "main") and bool(marks)
-        name = tag + ("." + ".".join(sorted(w for w in words if w)) if label.strip() else "")
-        self.open.append((tag, name, off, main, tag in SILENT))
-        if tag not in INLINE:
-            self.paths["/".join(x[1] for x in self.open if x[0] not in INLINE)] += 1
+        _, path, off, main, mute, link = self.open[-1]
+        name, outside, inside, own = traits(tag, tuple((k, v or "") for k, v in attrs if k in TRAITS))
+        gone = inside if main > 1 else outside
+        if not inline:
+            path = f"{path}/{name}" if path else name
+            self.paths[path] += 1
+        self.open.append((tag, path, off or gone, max(main, own), mute or tag in SILENT or (inline and gone), link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -91,12 +111,13 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        if any(x[0] == tag for x in self.open):
-            while self.open and self.open.pop()[0] != tag:
-                pass
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
 
-    def shut(self, tags: set[str], barrier: frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
+    def shut(self, tags: tuple[str, ...], barrier: frozenset[str]) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
                 del self.open[i:]
                 return
@@ -104,9 +125,10 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not any(x[4] for x in self.open):
+        top = self.open[-1]
+        if not top[4]:
             self.parts.append(data)
-            if any(x[0] == "a" for x in self.open):
+            if top[5]:
                 self.linked += len(data.strip())
 
 
@@ -118,11 +140,8 @@ def token(path: str, text: str | None = None) -> int:
     return xxhash.xxh64_intdigest(path if text is None else f"{path}\n{text}") - (1 << 63)
 
 
-def tokens(html: str | None) -> list[tuple[int, int, str, bool]]:
+def tokens(page: Page) -> list[tuple[int, int, str, bool]]:
     """A page's tokens, how often it has each, on which path, and if it is a text: its elements by path, and its texts on theirs."""
-    if not html:
-        return []
-    page = Page(html)
     texts = Counter((b[0], b[3]) for b in page.blocks)
     return [(token(p), n, p, False) for p, n in page.paths.items()] + [(token(p, t), n, p, True) for (p, t), n in texts.items()]
 
@@ -131,24 +150,42 @@ def article(blocks: list[tuple[str, bool, int, str, int]], template: set[int]) -
     """The texts of the slots that hold the article.
 
     Blocks under elements that mark navigation, notices, adverts, forms or comments never do. If the page has an article element,
-    the other blocks in it are the article. If not, the slots of its main element, or of containers named so, or all, are judged by their path: texts that belong to the template, and
-    slots most of whose characters are links, are left out.
+    the other blocks in it are the article. If not, the slots of what most surely holds it (a container named so, the main
+    element, or all) are judged by their path: texts that belong to the template, and slots most of whose characters are
+    links, are left out.
     """
     useful = [b for b in blocks if not b[1]]
     surest = max((b[2] for b in useful), default=0)
     useful = [b for b in useful if b[2] == surest]
-    if surest == 3:
+    if surest == 4:
         return [b[3] for b in useful]
     size, linked = Counter(), Counter()
     for path, _, _, text, links in useful:
         size[path] += len(text)
         linked[path] += links
-    own = [b for b in useful if token(b[0], b[3]) not in template and 2 * linked[b[0]] <= size[b[0]]]
-    return [b[3] for b in own]
+    return [b[3] for b in useful if token(b[0], b[3]) not in template and 2 * linked[b[0]] <= size[b[0]]]
 
 
-def templates(pages: DataFrame, scratch: Scratch, least: int = 3, share: float = 0.5) -> DataFrame:
-    """(host, template): the tokens of each host's template.
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, host, html) read once: their blocks and tokens instead of html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.list_(pa.struct([("path", pa.string()), ("off", pa.bool_()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32())]))
+        tokens_ = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_())]))
+        for b in batches:
+            blocks, found = [], []
+            for html in b.column(3):
+                page = Page(html.as_py() or "")
+                blocks.append([{"path": p, "off": off, "main": main, "text": t, "linked": n} for p, off, main, t, n in page.blocks])
+                found.append([{"token": t, "n": n, "path": p, "is_text": is_text} for t, n, p, is_text in tokens(page)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array(found, tokens_)], ["page_id", "url", "host", "blocks", "tokens"])
+
+    kinds = "blocks array<struct<path:string,off:boolean,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id long, url string, host string, {kinds}")
+
+
+def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> DataFrame:
+    """(host, template) of parsed pages: the texts of each host's template, as tokens.
 
     A token's occurrence vector is its count on every page of the host; equal vectors have equal sums of page hashes, so one
     grouped sum finds the equivalence classes. Classes on ``least`` pages and a ``share`` of the host's can be valid: one with
@@ -156,18 +193,8 @@ def templates(pages: DataFrame, scratch: Scratch, least: int = 3, share: float =
     them) and which has elements, or as many texts on each page. Texts in valid classes are the template's own words.
     """
 
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "token", "is_text", "path", "n", "page"]
-        for b in batches:
-            rows = []
-            for host, page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                rows += [(host, t, is_text, path, n, xxhash.xxh64_intdigest(f"{page}:{n}") >> 24) for t, n, path, is_text in tokens(html.as_py())]
-            if rows:
-                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    seen = pages.mapInArrow(occur, "host string, token long, is_text boolean, path string, n long, page long")
-    per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum(F.col("page").cast("decimal(20,0)")).alias("vector"))
+    seen = pages.select("host", "page_id", F.explode("tokens").alias("t")).select("host", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
+    per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"))
     totals = pages.groupBy("host").agg(F.count("*").alias("all"))
     frequent = per_token.where(f"pages >= {least}").join(totals, "host").where(f"pages >= {share} * all")
     classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("token", "path", "is_text")).alias("members"), F.max(~F.col("is_text")).alias("framed"))
@@ -202,16 +229,16 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    source = pages.select("page_id", "url", host.alias("host"), F.col("html").cast("string"))
-    known = templates(source.select("host", F.col("page_id").cast("string").alias("page"), "html"), scratch, least, share)
+    source = scratch.cut(parsed(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.col("html").cast("string"))))
+    known = templates(source, scratch, least, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for html, template in zip(b.column(2), b.column(3)):
+            for blocks, template in zip(b.column(2).to_pylist(), b.column(3)):
                 own = set(np.asarray(template.values)) if template.is_valid else set()
-                texts.append("\n".join(article(read(html.as_py()), own)))
+                texts.append("\n".join(article([tuple(x.values()) for x in blocks], own)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = source.join(known, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "template")
+    met = source.join(known, "host", "left").select("page_id", "url", "blocks", "template")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
