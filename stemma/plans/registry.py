@@ -24,4 +24,4 @@ def query(bindings: str = "", sql: str | None = None) -> Callable:
     return add
 
 
-from stemma.plans import catalog_queries, log_queries, reader_queries, search_queries, text_queries  # noqa: E402, F401
+from stemma.plans import catalog_queries, log_queries, reader_queries, search_queries, stream_queries, text_queries  # noqa: E402, F401

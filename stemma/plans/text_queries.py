@@ -192,3 +192,28 @@ def invalidate_vectors(spark, d):
 @query("verse_passages", "SELECT work_id, CASE WHEN count(*) >= 3 THEN 'VERSE' END AS mode FROM verse_passages GROUP BY work_id")
 def reorder_report(spark, d):
     return reorder(bind(spark, d, "verse_passages").select("id", "work_id", "header"))[1].select("work_id", "mode")
+
+
+TREE = "CASE doc_id % 4 WHEN 0 THEN source || '/Work ' || lang || '.html' WHEN 1 THEN source || '/Long ' || lang || '/Book ' || doc_id || '.html' WHEN 2 THEN source || '/Group/' || lang || '/' || doc_id || '.html' ELSE source || '/images/' || doc_id || '.html' END"
+
+
+@query("", f"WITH f AS (SELECT DISTINCT source, lang, doc_id % 4 AS k, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id END AS n FROM documents WHERE doc_id % 4 < 3) SELECT source AS author, CASE k WHEN 0 THEN 'Work ' || lang WHEN 1 THEN 'Long ' || lang ELSE 'Group: ' || lang END AS title, CAST(row_number() OVER (PARTITION BY source, lang, k ORDER BY n) AS INTEGER) AS part_no, CASE k WHEN 0 THEN source || '/Work ' || lang || '.html' WHEN 1 THEN source || '/Long ' || lang || '/Book ' || n || '.html' ELSE source || '/Group/' || lang || '/' || n || '.html' END AS path, CASE k WHEN 0 THEN source WHEN 1 THEN source || '/Long%20' || lang ELSE source || '/Group/' || lang END AS source_url FROM f")
+def discover_works(spark, d):
+    files = docs(spark, d).select(F.expr(TREE).alias("path")).distinct()
+    return E.discover_works(files).select("author", "title", "part_no", "path", "source_url")
+
+
+@query("", "SELECT source AS author, '1 John' AS book, CAST(doc_id AS VARCHAR) || ':2a-4' AS verse_ref, CAST(0 AS INTEGER) AS seq, lang || ' ' || doc_id AS quote, 'https://s.example/' || doc_id AS source_url FROM documents WHERE doc_id % 3 > 0")
+def read_commentary_blocks(spark, d):
+    body = "concat('[[commentary]]\nquote = \" ', lang, ' ', doc_id, ' \"\nsource_url = \"https://s.example/', doc_id, '\"\n[[commentary]]\nquote = \"\"\n')"
+    content = F.expr(f"cast(case when doc_id % 3 = 0 then '= broken' else {body} end as binary)")
+    files = docs(spark, d).select(F.expr("concat(source, '/1 John ', doc_id, '_2a-4.toml')").alias("path"), content.alias("content"))
+    return E.read_commentary_blocks(files).drop("source_title")
+
+
+@query("", "SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'www.x.example/' || doc_id ELSE '' END AS mirror_url, CASE WHEN source = 'src1' THEN 99 WHEN doc_id % 3 = 0 THEN -1 ELSE CAST(doc_id AS INTEGER) END AS year FROM documents")
+def file_metadata(spark, d):
+    head = F.expr("case when doc_id % 2 = 0 then concat('<!-- Mirrored from www.x.example/', doc_id, ' by tool -->') else text end")
+    meta = F.expr("case when doc_id % 3 = 0 then 'wiki = 1' else concat('a = 1\ndefault_year = ', doc_id) end")
+    files = docs(spark, d).select(F.expr("concat(source, '/', doc_id)").alias("path"), F.col("source").alias("author"), head.alias("head"), meta.alias("meta"))
+    return E.file_metadata(files, spark.createDataFrame([("src1", 99)], "author string, died int")).fillna(-1, "year").fillna("", "mirror_url")
