@@ -32,9 +32,10 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     gone = later.groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
     gone = scratch.cut(gone).withColumnRenamed("doc_id", "gone_doc").withColumnRenamed("rid", "gone_rid")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    both = docs.select(*names).withColumn("__rid", rid).join(gone.hint("merge"), F.expr("doc_id <=> gone_doc and __rid = gone_rid"), "left")
-    lines = "split(text, '\\n', -1)"
+    own = docs.select(*(F.col(c).alias(f"in_{c}") for c in names), rid.alias("rid"))
+    both = own.join(gone.hint("merge"), F.expr("in_doc_id <=> gone_doc and rid = gone_rid"), "left")
+    lines = "split(in_text, '\\n', -1)"
     runs = "transform(array_append(g, size(l)), (to, k) -> slice(l, coalesce(get(g, k - 1) + 1, 0) + 1, to - coalesce(get(g, k - 1) + 1, 0)))"
     keep = let("g", "array_sort(gone)", let("l", lines, f"array_join(flatten({runs}), '\\n')"))
-    out = both.withColumn("n_lines", F.expr(f"if(text is null, 0L, cast(size({lines}) as bigint))")).withColumn("n_removed", F.expr("if(gone is null, 0L, cast(size(gone) as bigint))"))
-    return out.withColumn("text", F.expr(f"if(gone is null, text, {keep})")).select(*names, "n_lines", "n_removed")
+    out = both.withColumn("n_lines", F.expr(f"if(in_text is null, 0L, cast(size({lines}) as bigint))")).withColumn("n_removed", F.expr("if(gone is null, 0L, cast(size(gone) as bigint))"))
+    return out.withColumn("in_text", F.expr(f"if(gone is null, in_text, {keep})")).select(*(F.col(f"in_{c}").alias(c) for c in names), "n_lines", "n_removed")

@@ -73,6 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5,
     open_ = settled.where("not in").join(short, F.expr("source <=> s2")).drop("s2").withColumn("miss", F.abs(F.col("size") - F.col("gap"))).where("miss < gap")
     last = open_.groupBy("source").agg(F.min(F.struct("miss", "rank", "doc_id", "size")).alias("b")).select(F.col("source").alias("s2"), F.col("b.doc_id").alias("d2"), F.col("b.size").alias("z2"))
     once = settled.where("in").select("doc_id", "source", "size").union(last.select("d2", "s2", "z2")).distinct().select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"))
-    out = sized.join(aims.select(F.col("source").alias("s1"), "source_size", "target", "whole"), F.expr("cast(source as string) <=> s1")).drop("s1")
-    out = out.join(once.withColumn("extra", F.lit(1)).hint("merge"), F.expr("doc_id <=> d2 and cast(source as string) <=> s2 and size = z2"), "left")
-    return out.withColumn("taken", F.expr("cast(size * (whole + coalesce(extra, 0)) as bigint)")).select(*names, *added)
+    own = sized.select(*(F.col(c).alias(f"in_{c}") for c in names), "size")
+    out = own.join(aims.select(F.col("source").alias("s1"), "source_size", "target", "whole"), F.expr("cast(in_source as string) <=> s1")).drop("s1")
+    out = out.join(once.withColumn("extra", F.lit(1)).hint("merge"), F.expr("in_doc_id <=> d2 and cast(in_source as string) <=> s2 and size = z2"), "left")
+    return out.withColumn("taken", F.expr("cast(size * (whole + coalesce(extra, 0)) as bigint)")).select(*(F.col(f"in_{c}").alias(c) for c in names), *added)
