@@ -185,7 +185,7 @@ def test_repeat_words_by_hand(spark):
 def test_mix_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(0, 60), rng.choice(["a", "b", "é", None, "z"])) for i in range(400)] + [(900, None, "a"), (901, "", None), (902, "w " * 30, "only"), (902, "w " * 30, "only")]
-    df = docs(spark, rows).selectExpr("*", "0 AS taken")
+    df = docs(spark, rows).selectExpr("*", "0 AS taken", "1 AS whole", "2 AS s2", "3 AS extra")
     got = mix(df).collect()
     assert len(got) == len(rows) and sorted(mix(df).collect(), key=repr) == sorted(got, key=repr)
     total = sum(r.size for r in got)
@@ -235,7 +235,7 @@ def test_topk_against_all_products(spark):
 
 def test_line_windows(spark):
     rows = [(1, "a\nb\nc\nd", "s"), (2, "x\na\nb\n\nc\ny", "s"), (3, "a\nb", "s"), (4, None, "s"), (5, "", "s"), (6, "q\nq\nq\nq\nq", "s"), (7, "b\nc\nd\ne", "s"), (7, "b\nc\nd\ne", "s"), (8, "z\n" * 20000, "s")]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs(spark, rows).selectExpr("*", "5 AS n_removed")).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs(spark, rows).selectExpr("*", "5 AS n_removed", "6 AS gone", "7 AS rid")).collect()}
     assert got[1] == ("a\nb\nc\nd", 4, 0) and got[2] == ("x\n\ny", 6, 3) and got[3] == ("a\nb", 2, 0)
     assert got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("q", 5, 4) and got[7] == ("e", 4, 3) and got[8][2] == 19999
     assert dedup_lines(docs(spark, [])).count() == 0
