@@ -25,7 +25,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside rail widget ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus reaction reactions share sharing social related recommended recommendations "
-    "pagination pager toolbar copyright legal disclaimer search form skip toc tags taglist".split()
+    "pagination pager toolbar topbar subnav sidenav sitemap logo branding copyright legal disclaimer search form skip toc tags taglist "
+    "teaser teasers trending popular discussion feedback guestbook".split()
 )
 #: Of these, what inside an article is its title.
 TITLES = frozenset("header masthead banner".split())
