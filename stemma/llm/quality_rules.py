@@ -70,14 +70,15 @@ def distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0d, aggregate(zip_with({p}, {q}, (p, q) -> named_struct('p', p, 'q', q)), 0d, (a, x) -> a + 0.5d * ({half('p', 'q')} + {half('q', 'p')}))))"
 
 
-def judge(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.6, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.27, min_chars: int = 200, min_words: int = 200) -> DataFrame:
     """Every row of ``docs`` (text, lang and any others) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_classes, js_words, kept.
 
     A text fails the base rules with under 50 words or if over half its words lie in repeated three-word windows. The other
     texts are compared with every listed language's reference, which is the histogram of all the texts in that language that pass the base
     rules: six character classes, and the frequent function words with all others as one more. kept is false
     if the nearest reference is further than ``max_classes`` or ``max_words`` in Jensen-Shannon distance; a text with fewer
-    than ``min_chars`` characters or ``min_words`` words is not judged by that histogram. Only the four listed languages have references,
+    than ``min_chars`` characters or ``min_words`` words is not judged by that histogram (in texts under 200 words the shares of single words
+    stray too far from any reference). Only the four listed languages have references,
     so the references are at most four rows; without any (no listed language passes) only the base rules hold.
 
     A null text is an empty one; a null or other lang is only left out of the references. Repeated rows are judged alike.

@@ -151,7 +151,7 @@ far AS (
          min(sqrt(greatest(0, list_sum(list_transform(range(1, {len(VOCABULARY)} + 2), lambda i: 0.5 * (CASE WHEN pw[i] > 0 THEN pw[i] * log2(2 * pw[i] / (pw[i] + rw[i])) ELSE 0 END + CASE WHEN rw[i] > 0 THEN rw[i] * log2(2 * rw[i] / (pw[i] + rw[i])) ELSE 0 END)))))) AS jw
   FROM mine, refs GROUP BY r, n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(n < 200 OR jc <= 0.3, true) AND coalesce(jw <= 0.6, true) AS kept
+       NOT base_failed AND coalesce(n < 200 OR jc <= 0.3, true) AND coalesce(n_words < 200 OR jw <= 0.27, true) AS kept
 FROM hist LEFT JOIN far USING (r)
 """
 
