@@ -36,7 +36,7 @@ def list_authors(authors: DataFrame, works: DataFrame, filters: DataFrame) -> Da
     counts = works.groupBy("author_id").agg(F.count("*").alias("n"))
     known = authors.withColumn("folded", folded_category(F.col("category"))).join(counts, F.col("id") == F.col("author_id"), "left")
     f = filters.select("filter_id", F.col("category").alias("fc"), F.col("tradition").alias("ft"), F.col("era").alias("fe"))
-    cut = known.join(F.broadcast(f), F.expr("(fc is null or fc = folded) and (ft is null or ft = tradition) and (fe is null or fe = era)"))
+    cut = known.join(f, F.expr("(fc is null or fc = folded) and (ft is null or ft = tradition) and (fe is null or fe = era)"))
     order = Window.partitionBy("filter_id").orderBy("name", "id")
     return cut.select("filter_id", F.row_number().over(order).alias("place"), "id", "name", F.coalesce("n", F.lit(0)).alias("work_count"))
 

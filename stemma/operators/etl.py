@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.markup import guarded
 from stemma.functions.text import clean_title, flag_truncated
+from stemma.session import Scratch
 
 #: Words that classify names (fixed values).
 APOCRYPHA = ("epistle of", "gospel of", "acts of", "shepherd of hermas", "protoevangelium", "odes of solomon", "testaments of the twelve patriarchs", "sibylline")
@@ -152,7 +153,8 @@ def upsert_dim(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
     new = incoming.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     spark = existing.sparkSession
-    dealt = new.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).withColumn("_p", F.spark_partition_id())
+    ranged = new.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    dealt = Scratch(spark).cut(ranged.withColumn("_p", F.spark_partition_id()))  # written, as ranges are sampled anew each time
     counts = dealt.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     ids = dealt.join(F.broadcast(counts.select("_p", "before")), "_p").withColumn("id", F.lit(top) + F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
     return existing.select("id", *keys).unionByName(ids.select("id", *keys))
