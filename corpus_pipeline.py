@@ -9,7 +9,7 @@ from stemma.llm.lines import dedup_lines
 from stemma.llm.mixing import mix
 from stemma.llm.packing import pack
 from stemma.llm.quality_rules import judge
-from stemma.llm.simhash import simhash_groups
+from stemma.llm.simhash import representatives
 from stemma.session import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,9 +26,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    first = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies: the one with the smallest doc_id.
+
+    A null doc_id comes after all others, so that a text without an id stays if none of its group has one. Rows that repeat
+    a doc_id are judged by their texts: of equal rows, and of near copies under one doc_id, one stays (the smallest row key);
+    texts of different groups all stay.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("rid", F.md5(F.to_json(F.struct(*COLUMNS))))
+    kept = keyed.join(representatives(keyed).hint("merge"), "rid", "left_semi")
+    return kept.dropDuplicates(["rid"]).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

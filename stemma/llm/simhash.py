@@ -31,15 +31,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, *keep: str) -> DataFrame:
+    """(doc_id, fp) and the columns named in ``keep``: fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    return source.mapInArrow(run, f"doc_id long, fp long{kinds}")
 
 
 def block_masks(max_bits: int, blocks: int) -> list[int]:
@@ -85,6 +87,25 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, blocks: int = 5,
     return pairs.union(star).distinct()
 
 
+def rooted(classes: DataFrame, scratch: Scratch, max_bits: int, blocks: int, bucket: int) -> DataFrame:
+    """(fp, least, root) of classes (fp, least): root is the smallest fingerprint that links reach."""
+    roots = components(links(classes.select("fp"), scratch, max_bits, blocks, bucket), scratch)
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: int = 2, blocks: int = 5, bucket: int = 64) -> DataFrame:
+    """(rid), one for each group of simhash_groups: the row key of the row with the smallest doc_id, then the smallest rid.
+
+    ``docs`` has doc_id, text and rid, which is equal for equal rows only. Groups are told apart by their fingerprints, so one
+    doc_id can stand in several; a null doc_id comes after all others.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.cut(fingerprints(docs, width, seed, "rid"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    classes = scratch.cut(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    return rooted(classes, scratch, max_bits, blocks, bucket).groupBy("root").agg(F.min("least").alias("least")).select("least.rid")
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: int = 2, blocks: int = 5, bucket: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -96,9 +117,7 @@ def simhash_groups(docs: DataFrame, width: int = 3, seed: int = 42, max_bits: in
     scratch = Scratch(docs.sparkSession)
     marked = scratch.cut(fingerprints(docs, width, seed))
     classes = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), scratch, max_bits, blocks, bucket), scratch)
-    owned = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    owned = scratch.cut(owned)
+    owned = scratch.cut(rooted(classes, scratch, max_bits, blocks, bucket))
     smallest = owned.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.cut(owned.join(smallest, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
