@@ -12,12 +12,14 @@ from stemma.llm.quality_rules import judge
 from stemma.llm.simhash import representatives
 from stemma.session import Scratch, table
 
+#: How far the word limit of the quality rules widens for texts under 200 words (see judge).
+SPREAD = 4.65
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs).where("kept").select(*COLUMNS)
+    return judge(docs, spread=SPREAD).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0d, aggregate(zip_with({p}, {q}, (p, q) -> named_struct('p', p, 'q', q)), 0d, (a, x) -> a + 0.5d * ({half('p', 'q')} + {half('q', 'p')}))))"
 
 
-def judge(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.27, min_chars: int = 200, min_words: int = 200) -> DataFrame:
+def judge(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.27, min_chars: int = 200, min_words: int = 200, spread: float | None = None) -> DataFrame:
     """Every row of ``docs`` (text, lang and any others) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_classes, js_words, kept.
 
     A text fails the base rules with under 50 words or if over half its words lie in repeated three-word windows. The other
@@ -78,7 +78,8 @@ def judge(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.27, mi
     rules: six character classes, and the frequent function words with all others as one more. kept is false
     if the nearest reference is further than ``max_classes`` or ``max_words`` in Jensen-Shannon distance; a text with fewer
     than ``min_chars`` characters or ``min_words`` words is not judged by that histogram (in texts under 200 words the shares of single words
-    stray too far from any reference). Only the four listed languages have references,
+    stray too far from any reference). With ``spread`` these too are judged, by a limit that widens as the text gets shorter: its square
+    grows by ``spread`` times 1 / n_words - 1 / ``min_words``, as the squared distance of n words drawn from a reference does. Only the four listed languages have references,
     so the references are at most four rows; without any (no listed language passes) only the base rules hold.
 
     A null text is an empty one; a null or other lang is only left out of the references. Repeated rows are judged alike.
@@ -95,6 +96,8 @@ def judge(docs: DataFrame, max_classes: float = 0.3, max_words: float = 0.27, mi
     own_classes = share("classes", "greatest(1L, aggregate(classes, 0L, (a, x) -> a + x))")
     own_common = f"concat({share('common', 'n_words')}, array((n_words - aggregate(common, 0L, (a, x) -> a + x)) / cast(n_words as double)))"
     nearest = lambda mine, field: let("d", mine, f"array_min(transform(array({', '.join(refs)}), r -> {distance('d', 'r.' + field)}))") if refs else "cast(null as double)"
-    scored = measured.withColumn("js_classes", F.expr(f"if(base_failed or aggregate(classes, 0L, (a, x) -> a + x) < {min_chars}, null, {nearest(own_classes, 'classes')})")).withColumn("js_words", F.expr(f"if(base_failed or n_words < {min_words}, null, {nearest(own_common, 'common')})"))
-    kept = scored.withColumn("kept", F.expr(f"not base_failed and coalesce(js_classes <= {max_classes}, true) and coalesce(js_words <= {max_words}, true)"))
+    limit = f"{max_words}" if spread is None else f"sqrt({max_words}d * {max_words}d + {spread}d * greatest(0d, 1d / n_words - 1d / {min_words}))"
+    unjudged = "base_failed" if spread is not None else f"base_failed or n_words < {min_words}"
+    scored = measured.withColumn("js_classes", F.expr(f"if(base_failed or aggregate(classes, 0L, (a, x) -> a + x) < {min_chars}, null, {nearest(own_classes, 'classes')})")).withColumn("js_words", F.expr(f"if({unjudged}, null, {nearest(own_common, 'common')})"))
+    kept = scored.withColumn("kept", F.expr(f"not base_failed and coalesce(js_classes <= {max_classes}, true) and coalesce(js_words <= {limit}, true)"))
     return kept.select(*(F.col(f"in_{c}").alias(c) for c in names), *added)
