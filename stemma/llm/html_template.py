@@ -20,6 +20,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist".split())
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset figure-menu".split())
+#: What a head can hold; anything else ends it.
+METADATA = frozenset("html head base link meta title script style noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class or id that mark what is not the article (fixed values).
 MARKS = frozenset(
@@ -72,6 +74,7 @@ class Page(HTMLParser):
         self.paths: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
+        self.head = False
         self.feed(html)
         self.close()
         self.flush()
@@ -84,7 +87,14 @@ class Page(HTMLParser):
                 self.blocks.append((path, off, main, text, self.linked))
             self.parts, self.linked = [], 0
 
+    def end_head(self) -> None:
+        self.shut(("head",), frozenset())
+        self.head = False
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.head and tag not in METADATA:
+            self.end_head()
+        self.head = self.head or tag == "head"
         inline = tag in INLINE
         if not inline:
             self.flush()
@@ -126,6 +136,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.head and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         top = self.open[-1]
         if not top[4]:
             self.parts.append(data)
@@ -147,23 +159,30 @@ def tokens(page: Page) -> list[tuple[int, int, str, bool]]:
     return [(token(p), n, p, False) for p, n in page.paths.items()] + [(token(p, t), n, p, True) for (p, t), n in texts.items()]
 
 
-def article(blocks: list[tuple[str, bool, int, str, int]], template: set[int]) -> list[str]:
+def article(blocks: list[tuple[str, bool, int, str, int]], template: set[int], shared: set[int] | frozenset[int] = frozenset()) -> list[str]:
     """The texts of the slots that hold the article.
 
     Blocks under elements that mark navigation, notices, adverts, forms or comments never do. If the page has an article element,
-    the other blocks in it are the article. If not, the slots of what most surely holds it (a container named so, the main
+    the other blocks in it are judged by ``shared``, the template's texts on pages with unlike articles: these go, unless they
+    make up half of the article (then it is a copy of others), and so do lists of links. If not, the slots of what most surely holds it (a container named so, the main
     element, or all) are judged by their path: texts that belong to the template, and slots most of whose characters are
     links, are left out.
     """
     useful = [b for b in blocks if not b[1]]
     surest = max((b[2] for b in useful), default=0)
     useful = [b for b in useful if b[2] == surest]
-    if surest == 4:
-        return [b[3] for b in useful]
-    size, linked = Counter(), Counter()
+    size, linked, times = Counter(), Counter(), Counter()
     for path, _, _, text, links in useful:
         size[path] += len(text)
         linked[path] += links
+        times[path] += 1
+    if surest == 4:
+        common = [token(b[0], b[3]) in shared for b in useful]
+        copied = 2 * sum(len(b[3]) for b, c in zip(useful, common) if c) >= sum(size.values())
+        own = [b for b, c in zip(useful, common) if copied or not c]
+        # a single link can be a title or a source
+        prose = [b for b in own if times[b[0]] == 1 or 2 * linked[b[0]] <= size[b[0]]]
+        return [b[3] for b in prose or own]
     return [b[3] for b in useful if token(b[0], b[3]) not in template and 2 * linked[b[0]] <= size[b[0]]]
 
 
@@ -186,7 +205,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> DataFrame:
-    """(host, template) of parsed pages: the texts of each host's template, as tokens.
+    """(host, template, shared) of parsed pages: the texts of each host's template, as tokens, and those of them on pages with unlike articles.
 
     A token's occurrence vector is its count on every page of the host; equal vectors have equal sums of page hashes, so one
     grouped sum finds the equivalence classes. Classes on ``least`` pages and a ``share`` of the host's can be valid: one with
@@ -194,30 +213,33 @@ def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> D
     them) and which has elements, or as many texts on each page. Texts in valid classes are the template's own words.
     """
 
-    seen = pages.select("host", "page_id", F.explode("tokens").alias("t")).select("host", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
-    per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"))
+    content = F.expr("xxhash64(transform(filter(blocks, b -> b.main = 4 and not b.off), b -> b.text))")
+    seen = pages.select("host", "page_id", content.alias("content"), F.explode("tokens").alias("t")).select("host", "content", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
+    per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"), (F.min("content") != F.max("content")).alias("unlike"))
     totals = pages.groupBy("host").agg(F.count("*").alias("all"))
     frequent = per_token.where(f"pages >= {least}").join(totals, "host").where(f"pages >= {share} * all")
-    classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("token", "path", "is_text")).alias("members"), F.max(~F.col("is_text")).alias("framed"))
+    classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("token", "path", "is_text", "unlike")).alias("members"), F.max(~F.col("is_text")).alias("framed"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = []
+            kept, both = [], []
             for groups in b.column(1).to_pylist():
                 groups.sort(key=lambda g: (-g["pages"], g["times"], g["members"][0]["token"]))
                 frame: set[str] = set()
                 chosen: list[int] = []
+                shared: list[int] = []
                 for g in groups:
                     paths = {m["path"] for m in g["members"]}
                     nested = all(any(p[:i] in frame for i in range(len(p), 0, -1) if i == len(p) or p[i] == "/") for p in paths)
                     if g["framed"] and (nested or g["times"] == g["pages"]) or nested and g["times"] % g["pages"] == 0:
                         frame |= paths
                         chosen += [m["token"] for m in g["members"] if m["is_text"]]
-                kept.append(sorted(chosen))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int64()))], ["host", "template"])
+                        shared += [m["token"] for m in g["members"] if m["is_text"] and m["unlike"]]
+                kept.append(sorted(chosen)), both.append(sorted(shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int64())), pa.array(both, pa.list_(pa.int64()))], ["host", "template", "shared"])
 
     by_host = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "times", "framed", "members")).alias("classes"))
-    return scratch.cut(by_host.mapInArrow(nest, "host string, template array<long>"))
+    return scratch.cut(by_host.mapInArrow(nest, "host string, template array<long>, shared array<long>"))
 
 
 def extract(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
@@ -236,10 +258,10 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for blocks, template in zip(b.column(2).to_pylist(), b.column(3)):
-                own = set(np.asarray(template.values)) if template.is_valid else set()
-                texts.append("\n".join(article([tuple(x.values()) for x in blocks], own)))
+            for blocks, template, shared in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
+                own, both = (set(np.asarray(x.values)) if x.is_valid else set() for x in (template, shared))
+                texts.append("\n".join(article([tuple(x.values()) for x in blocks], own, both)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = source.join(known, "host", "left").select("page_id", "url", "blocks", "template")
+    met = source.join(known, "host", "left").select("page_id", "url", "blocks", "template", "shared")
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
