@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from stemma.functions.text import strip_html
 
 
+#: Rows that one task numbers.
+SHARD_ROWS = 4096
+
+
 def pending(passages: DataFrame, vectors: DataFrame, limit: int | None = None) -> DataFrame:
     rest = passages.join(vectors.select(F.col("passage_id").alias("id")), "id", "left_anti").orderBy("id")
     return rest if limit is None else rest.limit(limit)
@@ -25,9 +29,12 @@ def prepare_texts(passages: DataFrame, most: int = 120_000, markup: bool = True)
     return rows.select("id", clean.alias("clean")).withColumn("tokens", (F.floor(F.length("clean") / 3.0) + 1).cast("long"))
 
 
-def pack_batches(texts: DataFrame, shards: int = 1, most_tokens: int = 100_000, most_rows: int = 128) -> DataFrame:
+def pack_batches(texts: DataFrame, shards: int | None = None, most_tokens: int = 100_000, most_rows: int = 128) -> DataFrame:
     """(id, shard, batch, tokens): rows by id in batches of at most ``most_tokens`` and ``most_rows``, a blank one using a place but no
-    batch, one row at least; every shard (a hash of id) counts its own batches. Only ids and estimates travel."""
+    batch, one row at least; every shard (a hash of id) counts its own batches. Only ids and estimates travel. Without ``shards`` there are so many that one has
+    about ``SHARD_ROWS`` rows at every size."""
+    if shards is None:
+        shards = max(1, -(-texts.count() // SHARD_ROWS))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id")

@@ -175,7 +175,7 @@ def prepare_texts(spark, d):
 
 @query()
 def pack_batches(spark, d):
-    return M.pack_batches(M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text")), 4, 10_000)
+    return M.pack_batches(M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text")), most_tokens=10_000)
 
 
 @query()
