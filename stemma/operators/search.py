@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +17,8 @@ WEIGHTS, RRF_K = {"vector": 1.3, "fts": 1.0, "title": 0.5}, 60
 #: Words of names that do not tell authors apart (fixed values).
 NAME_STOPWORDS = "st st. saint pope the of and bishop martyr venerable blessed abba deacon elder great council synod letter epistle acts pseudo".split()
 MAX_QUERY = 500
+#: Vectors that meet one block of queries in a task.
+VECTOR_BLOCK = 8192
 
 
 def terms(text: Column) -> Column:
@@ -90,39 +90,31 @@ def load_vectors(vectors: DataFrame, dim: int) -> DataFrame:
 def vector_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 100, block: int = 512) -> DataFrame:
     """The k nearest passages by cosine for queries (query_id, embedding, optional author) over vectors (passage_id, embedding, optional author).
 
-    Queries go over the vectors in blocks of at most ``block`` rows, whose matrix each task holds while its batches stream by;
-    every batch keeps k per query. A zero query finds nothing; an author limits the rows before they are scored.
+    Blocks of about ``block`` queries are dealt against blocks of about ``VECTOR_BLOCK`` vectors by a cogroup; every pair of blocks
+    keeps k per query. A zero query finds nothing; an author limits the rows before they are scored.
     """
     scoped = "author" in queries.columns
-    q = load_vectors(queries, dim).where(F.exists("unit", lambda x: x != 0))
-    q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    sets = [r.b for r in q.select("b").distinct().collect()]
-    v = load_vectors(vectors, dim).select("passage_id", "unit", *(["author"] if scoped else []))
-    kinds = "query_id long, passage_id long, score double"
-
-    def search(b: int) -> DataFrame:
-        rows = q.where(F.col("b") == b).select("query_id", "unit", *(["author"] if scoped else [])).collect()  # one block
-        matrix, ids = np.array([r.unit for r in rows]), [r.query_id for r in rows]
-        only = [(r.author or "").lower() for r in rows] if scoped else None
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, dim)
-                scores = np.round(matrix @ x.T, 9)
-                own = np.array([(a or "").lower() for a in batch.column(2).to_pylist()]) if scoped else None
-                pids, out = np.asarray(batch.column(0)), []
-                for i, s in enumerate(scores):
-                    rows = np.flatnonzero(own == only[i]) if scoped and only[i] else np.arange(len(s))
-                    best = rows[np.lexsort((pids[rows], -s[rows]))[:k]]
-                    out.append((np.full(len(best), ids[i]), pids[best], s[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "passage_id", "score"])
-
-        return v.mapInArrow(run, kinds)
-
-    found = queries.sparkSession.createDataFrame([], kinds)
-    for b in sets:
-        found = found.union(search(b))
+    also = ["author"] if scoped else []
+    across, down = (max(1, -(-n // size)) for n, size in ((queries.count(), block), (vectors.count(), VECTOR_BLOCK)))
+    part = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = load_vectors(queries, dim).where(F.exists("unit", lambda x: x != 0)).select("query_id", "unit", *also, part("query_id", across).alias("qb"), every(down).alias("vb"))
+    v = load_vectors(vectors, dim).select("passage_id", "unit", *also, every(across).alias("qb"), part("passage_id", down).alias("vb"))
+    kinds = pa.schema([("query_id", pa.int64()), ("passage_id", pa.int64()), ("score", pa.float64())])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        matrix, x = (np.array(t.column("unit").to_pylist(), np.float64).reshape(t.num_rows, dim) for t in (left, right))
+        only, own = (np.array([(a or "").lower() for a in t.column("author").to_pylist()]) if scoped else None for t in (left, right))
+        ids, pids, out = left.column("query_id").to_pylist(), right.column("passage_id").to_numpy(), []
+        for i, s in enumerate(np.round(matrix @ x.T, 9)):
+            rows = np.flatnonzero(own == only[i]) if scoped and only[i] else np.arange(len(s))
+            best = rows[np.lexsort((pids[rows], -s[rows]))[:k]]
+            out.append((np.full(len(best), ids[i]), pids[best], s[best]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds.types)], schema=kinds)
+
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(search, "query_id long, passage_id long, score double")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("passage_id")], k, "rank").select("query_id", "rank", F.col("passage_id").alias("id"), "score")
 
 

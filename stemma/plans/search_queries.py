@@ -75,6 +75,18 @@ def vector_topk_in_author(spark, d):
     return S.vector_topk(v.where("passage_id < 10").select(F.col("passage_id").alias("query_id"), "embedding", "author"), v, DIM, 20).drop("score")
 
 
+@query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id, round(list_dot_product(q.u, v.u), 9) AS score FROM (SELECT vec_id, {UNIT} AS u FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, {UNIT} AS u FROM embeddings) v) WHERE rank <= 100")
+def vector_topk_whole(spark, d):
+    v = bind(spark, d, "vectors")
+    return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding"), v, DIM).withColumn("score", F.round("score", 9))
+
+
+@query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id FROM (SELECT vec_id, label, {UNIT} AS u FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT vec_id, label, {UNIT} AS u FROM embeddings) v USING (label)) WHERE rank <= 20")
+def vector_topk_in_author_whole(spark, d):
+    v = bind(spark, d, "vectors").withColumn("author", F.col("label").cast("string"))
+    return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding", "author"), v, DIM, 20).drop("score")
+
+
 @query("", f"SELECT vec_id AS passage_id, round(list_sum(list_transform({UNIT}, lambda x: abs(x))), 6) AS size FROM embeddings")
 def load_vectors(spark, d):
     unit = S.load_vectors(bind(spark, d, "vectors"), DIM)

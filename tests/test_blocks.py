@@ -1,0 +1,22 @@
+"""Vector search over several blocks."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from stemma.operators import search as S
+
+
+def test_blocks_of_queries_and_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "VECTOR_BLOCK", 50)
+    x = np.random.default_rng(2).normal(size=(230, 4))
+    v = spark.createDataFrame([(i, r.tolist(), f"a{i % 3}") for i, r in enumerate(x)], "passage_id long, embedding array<double>, author string")
+    q = v.where("passage_id % 5 = 0").select(F.col("passage_id").alias("query_id"), "embedding", F.expr("case when passage_id % 2 = 0 then upper(author) end").alias("author"))
+    got = S.vector_topk(q, v, 4, 7, block=10)
+    assert "CoGroup" in got._jdf.queryExecution().toString()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for i in range(0, 230, 5):
+        s = np.round(unit @ unit[i], 9)
+        own = [j for j in range(230) if i % 2 or j % 3 == i % 3]
+        want |= {(i, r + 1, j) for r, j in enumerate(sorted(own, key=lambda j: (-s[j], j))[:7])}
+    assert {(r.query_id, r["rank"], r.id) for r in got.collect()} == want
