@@ -148,6 +148,12 @@ def highlight(spark, d):
     return S.highlight(first, plain).select("query_id", "id", "marked")
 
 
+@query()
+def highlight_whole(spark, d):
+    first = S.page(spread(spark, d)).withColumn("text", S.snippet(F.col("text"), 720, "..."))
+    return S.highlight(first, queries(spark, d)).select("query_id", "id", "marked")
+
+
 @query()
 def hybrid_search(spark, d):
     v = bind(spark, d, "vectors")

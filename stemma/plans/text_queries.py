@@ -34,6 +34,16 @@ def strip_citations(spark, d):
     return cited(spark, d).where("not contains(text, 'of,')").select("doc_id", T.strip_citations(F.col("text")).alias("text"))
 
 
+#: As strip_citations, over all rows.
+WHOLE = f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({CITED}, '(?i)\\b(?:Matthew|1 Corinthians|Song\\s+of\\s+Solomon)\\s+\\d+:\\d+(?:-\\d+)?\\.?', ' ', 'g'),
+  '[ \\t\u00a0]+', ' ', 'g'), '\\bof\\s*,', ',', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '"\\s+', '" ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents"""
+
+
+@query("", WHOLE)
+def strip_citations_whole(spark, d):
+    return cited(spark, d).select("doc_id", T.strip_citations(F.col("text")).alias("text"))
+
+
 @query()
 def strip_html(spark, d):
     return T.strip_html(pages(spark, d), "html").select("page_id", "plain")
