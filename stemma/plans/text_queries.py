@@ -104,6 +104,11 @@ def flag_truncated(spark, d):
     return T.flag_truncated(docs(spark, d).select("doc_id", F.substring("text", 1, 300).alias("text"))).select("doc_id", "truncated")
 
 
+@query("", f"SELECT doc_id, length(v) >= 50 AND NOT regexp_matches(v, '[.!?\"'')]$') AS truncated FROM (SELECT doc_id, {TRUNC.format('text')} AS v FROM documents)")
+def flag_truncated_whole(spark, d):
+    return T.flag_truncated(docs(spark, d).select("doc_id", "text")).select("doc_id", "truncated")
+
+
 @query("", r"SELECT doc_id, left(regexp_replace(trim(regexp_replace(CASE doc_id % 3 WHEN 0 THEN 'IV. ' WHEN 1 THEN '12. ' ELSE '' END || text, '\s+', ' ', 'g')), '^(?:[IVXivx]+\.|\d+\.|§\d+\.?)\s+', ''), 200) AS title FROM documents")
 def clean_titles(spark, d):
     return E.clean_titles(docs(spark, d).select("doc_id", F.expr("concat(case doc_id % 3 when 0 then 'IV. ' when 1 then '12. ' else '' end, text)").alias("title")), "title")
@@ -177,12 +182,23 @@ def pending_passages(spark, d):
     return M.pending(bind(spark, d, "text_passages").select("id", "text"), bind(spark, d, "vectors"), 100).select("id")
 
 
+@query("text_passages", "SELECT id FROM text_passages WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+def pending_passages_whole(spark, d):
+    return M.pending(bind(spark, d, "text_passages").select("id", "text"), bind(spark, d, "vectors")).select("id")
+
+
 @query("", r"SELECT doc_id AS id, CAST(length(t) AS BIGINT) AS n, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens FROM (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 1200), '^\s+|\s+$', '', 'g') AS t FROM documents)")
 def prepare_texts(spark, d):
     prepared = M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 1200, markup=False)
     return prepared.select("id", F.length("clean").cast("long").alias("n"), "tokens")
 
 
+@query("", r"SELECT doc_id AS id, CAST(length(t) AS BIGINT) AS n, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens FROM (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 120000), '^\s+|\s+$', '', 'g') AS t FROM documents)")
+def prepare_texts_whole(spark, d):
+    prepared = M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), markup=False)
+    return prepared.select("id", F.length("clean").cast("long").alias("n"), "tokens")
+
+
 @query()
 def pack_batches(spark, d):
     return M.pack_batches(M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text")), most_tokens=10_000)
