@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,39 +16,43 @@ from pyspark.sql import functions as F
 
 from stemma.session import Scratch
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The pre-tokeniser's pattern of the public byte-level vocabulary; a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Name of the public vocabulary: NAME.json for its added tokens, NAME.tiktoken for its ranks.
+VOCABULARY = "byte_bpe_50k"
 
 
 @lru_cache(1)
-def encoder(path: str):
+def encoder(name: str):
+    """The vocabulary's byte-pair encoder with the added tokens that its file declares."""
+    import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def token_ids(text: str | None, path: str = VOCABULARY) -> np.ndarray:
-    """The ids of a text, then the end id 0."""
-    return np.array([*encoder(path).encode_ordinary(text or ""), 0], "<u4")
+def token_ids(text: str | None, name: str = VOCABULARY) -> np.ndarray:
+    """The ids of a text, then the end id 0. An added token in the text is its own id, as the vocabulary's file says."""
+    return np.array([*encoder(name).encode(text or "", allowed_special="all"), 0], "<u4")
 
 
-def pieces(docs: DataFrame, size: int = 1024, path: str = VOCABULARY) -> DataFrame:
-    """Documents as runs of up to ``size`` ids: all but a document's last piece are full."""
+def pieces(docs: DataFrame, size: int = 1024, name: str = VOCABULARY) -> DataFrame:
+    """Documents as runs of up to ``size`` ids: all but a document's last piece are full. ``at`` numbers the rows of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        names = ["at", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = token_ids(text.as_py(), path)
-                rows += [(doc, s, len(p := ids[s : s + size]), zlib.crc32(p.tobytes()), len(ids)) for s in range(0, len(ids), size)]
+            for at, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                ids = token_ids(text.as_py(), name)
+                rows += [(at, doc, s, len(p := ids[s : s + size]), zlib.crc32(p.tobytes()), len(ids)) for s in range(0, len(ids), size)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    source = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "at long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,24 +79,29 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pack(docs: DataFrame, size: int = 1024, group: int = 16384, seed: int = 7, path: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, group: int = 16384, seed: int = 7, name: str = VOCABULARY) -> DataFrame:
     """All ids of ``docs`` (doc_id, text) in sequences of up to ``size``: one row per piece, with its sequence and offset.
 
-    A document's ids are cut at multiples of ``size``; pieces go to random groups of about ``group`` and each group is packed
-    on its own, so no task holds more than a group's lengths. sequence_id is the group's number times 2^32 plus the bin's.
-    A null or empty text is the end id alone. Repeated rows are packed each; ties in length go by doc_id and start.
+    A document's ids are cut at multiples of ``size``. A full piece is a sequence of its own, which is what first-fit decreasing
+    makes of it. What is left of a document is one shorter piece at most: documents go to random groups of about ``group`` and the
+    rests of each group are packed on their own, so no task holds more than a group's lengths, however long a document is or
+    however often a row repeats. sequence_id is the group's number times 2^32 plus the bin's; those of full pieces start at 2^62.
+
+    A null or empty text is the end id alone. Repeated rows are packed each; ties in length go by doc_id and what follows.
     Other columns are not read. An empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession)
-    cut = scratch.cut(pieces(docs, size, path))
-    groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    cut = Scratch(docs.sparkSession).cut(pieces(docs, size, name))
+    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    full = cut.where(F.col("length") == size).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rests = cut.where(F.col("length") < size)
+    groups = max(1, -(-rests.count() // group))
+    dealt = rests.withColumn("g", F.pmod(F.xxhash64("at", "doc_id", F.lit(seed)), F.lit(groups))).drop("at")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
         bins, part["offset"] = first_fit_decreasing(part["length"].to_numpy(), size)
         part["sequence_id"] = (int(key[0]) << 32) + bins
-        return part.drop(columns="g")
+        return part[out]
 
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("g").applyInPandas(run, kinds.replace("sequence_id long, offset long", "offset long, sequence_id long")).selectExpr(*[c.split()[0] for c in kinds.split(", ")])
+    packed = dealt.groupBy("g").applyInPandas(run, "".join(f"{c} long, " for c in out)[:-2])
+    return packed.unionByName(full.select(out))
