@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders opened inside each open ``freed`` block, innermost last.
+_open: list[list["Scratch"]] = []
+
 
 def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -28,17 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, so that lost executors cost no lineage.
 
-    A written table is read back with its true size, which lets the planner choose a broadcast only where it is small.
+    A written table is read back with its true size, which lets the planner choose a broadcast only where it is small. Where the
+    setting is missing, a local master gets a temporary folder; a cluster must name one that its machines share. What is
+    not freed before goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="stemma-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/stemma-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+            base = tempfile.mkdtemp(prefix="stemma-")
+            spark.conf.set("spark.checkpoint.dir", base)
+        self.root = f"{base.rstrip('/')}/stemma-{uuid.uuid4().hex}"
         self.n = 0
+        fs, path = self._file(self.root)
+        fs.deleteOnExit(path)
+        if _open:
+            _open[-1].append(self)
+
+    def _file(self, name: str) -> tuple:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()), path
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -50,6 +68,21 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Free a table of this folder that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._file(df._scratch)
+        fs.delete(path, True)
+
+    def clear(self) -> None:
+        """Free all tables of this folder."""
+        fs, path = self._file(self.root)
+        fs.delete(path, True)
+
+
+@contextmanager
+def freed() -> Iterator[None]:
+    """Frees at its end the tables of every Scratch opened inside; for callers that have written their result by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.clear()
