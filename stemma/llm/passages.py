@@ -1,4 +1,4 @@
-"""Substring dedup: seeds from winnowed anchors, extended both ways to windows, merged into maximal repeats."""
+"""Substring dedup: seeds from winnowed anchors, joined and extended both ways, merged into maximal repeats."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.llm.expr import let
 from stemma.session import Scratch
 
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -42,12 +43,13 @@ def winnow(g: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.concatenate(picked))
 
 
-def ranges(starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged [from, to) of windows of ``span`` words at sorted ``starts``."""
-    if not len(starts):
-        return starts, starts
-    new = np.flatnonzero(np.diff(starts) > span)
-    return starts[np.r_[0, new + 1]], starts[np.r_[new, len(starts) - 1]] + span
+def ranges(froms: np.ndarray, tos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merged [from, to) of ranges sorted by their starts; ranges that touch are one."""
+    if not len(froms):
+        return froms, tos
+    ends = np.maximum.accumulate(tos)
+    new = np.flatnonzero(froms[1:] > ends[:-1])
+    return froms[np.r_[0, new + 1]], ends[np.r_[new, len(froms) - 1]]
 
 
 def _text_words(text) -> list[bytes]:
@@ -66,14 +68,21 @@ def rows_of(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, rid, froms, tos): in each text, the maximal repeats of documents with a smaller doc_id. rid names a text of a doc_id.
 
-    1. Every distinct text gives its winnowed anchors: of each ``span - seed + 1`` consecutive ``seed``-word grams the one with the
-       smallest hash, so that any ``span`` equal words share one. 2. Anchors are joined across texts. 3. Around a shared anchor
-       the match is extended both ways: all windows of ``span`` words that contain it are compared, by a 96-bit hash, with those of
-       every other document at once (a grouped minimum of doc_id; no pair of documents is ever built). 4. Windows that an earlier
-       document has are merged into maximal repeats [from, to) in words. A text that an earlier document has too is a
-       copy and is settled by its hash alone.
+    1. Seeds: every distinct text gives its winnowed anchors: of each ``span - seed + 1`` consecutive ``seed``-word grams the one with
+       the smallest hash, so that equal runs of ``span`` words have the same anchor at the same place. Anchors of two documents or more are seeds.
+    2. Join and extend: every occurrence of a seed is joined to the seed's first one (the smallest doc_id, then text and place), and
+       the match is extended word by word to both sides, up to the words that a window with this seed can reach; a longer match
+       goes on at the next seed. A match of ``span`` words or more is a repeat if its document comes later than the first.
+    3. What does not equal the seed's first occurrence can still equal another one: of such occurrences the windows outside the match
+       are compared among themselves, by 128-bit hashes, as a grouped minimum of doc_id. Windows inside a match need
+       not be there, as whatever equals them equals the first occurrence too.
+    4. Repeats of a document are merged into maximal ones, [from, to) in words.
+
+    So every document meets one partner a seed, never each other, and a passage in thousands of documents costs as many
+    rows as it has occurrences. A text that an earlier document has too is a copy and is settled by its hash alone.
     """
     scratch = scratch or Scratch(docs.sparkSession)
+    reach = span - seed
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,8 +93,8 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
                 counts.append(len(words))
                 at = g = np.empty(0, np.uint64)
                 if len(words) >= span:
-                    g = rolling(word_hashes(words), seed, BASES[0])
-                    at = winnow(g, span - seed + 1)
+                    g = rolling(word_hashes(words), seed, BASE)
+                    at = winnow(g, reach + 1)
                     g = g[at]
                 spots.append(at.astype(np.int32)), grams.append(g.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), _lists(spots, pa.int32()), _lists(grams, pa.int64())], ["doc_id", "rid", "words_id", "n_words", "at", "gram"])
@@ -103,37 +112,54 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
     seeds = scratch.cut(own.join(shared, "gram").groupBy("doc_id", "rid").agg(F.collect_set("at").alias("seeds")))
     scratch.drop(own), scratch.drop(shared)
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every seed of a text with the hashes of the words before it, nearest first, and after it."""
+        names = ["doc_id", "rid", "at", "gram", "before", "after"]
         for b in batches:
             for i in range(b.num_rows):
                 h = word_hashes(_text_words(b.column(2)[i]))
                 if len(h) < span:
                     continue
-                at = np.asarray(b.column(3)[i].values)
-                near = np.zeros(len(h) - span + 2, np.int32)
-                np.add.at(near, np.clip(at - (span - seed), 0, len(near) - 1), 1)
-                np.add.at(near, np.clip(at + 1, 0, len(near) - 1), -1)
-                starts = np.flatnonzero(np.cumsum(near[:-1]) > 0).astype(np.int32)
-                if not len(starts):
-                    continue
-                one, two = (rolling(h, span, base)[starts] for base in BASES)
-                ids = [pa.array(np.full(len(starts), b.column(c)[i].as_py()), pa.int64()) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(starts), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "rid", "start", "h1", "h2"])
-
-    windows = scratch.cut(source.join(seeds, ["doc_id", "rid"]).select("doc_id", "rid", "text", "seeds").mapInArrow(extend, "doc_id long, rid long, start int, h1 long, h2 int"))
+                at = np.unique(np.asarray(b.column(3)[i].values))
+                gram, signed = rolling(h, seed, BASE)[at], h.view(np.int64)
+                before = [signed[max(0, p - reach) : p][::-1] for p in at]
+                after = [signed[p + seed : p + span] for p in at]
+                ids = [pa.array(np.full(len(at), b.column(c)[i].as_py()), pa.int64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), _lists(before, pa.int64()), _lists(after, pa.int64())], names)
+
+    met = source.join(seeds, ["doc_id", "rid"]).select("doc_id", "rid", "text", "seeds")
+    occurrences = scratch.cut(met.mapInArrow(sides, "doc_id long, rid long, at int, gram long, before array<long>, after array<long>"))
     scratch.drop(seeds)
+    place = F.struct("doc_id", "rid", "at")
+    first = occurrences.groupBy("gram").agg(F.min(F.struct("doc_id", "rid", "at", "before", "after")).alias("first"))
+    first = scratch.cut(first.select("gram", F.col("first.doc_id").alias("lo"), F.struct("first.doc_id", "first.rid", "first.at").alias("place"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after")))
+    equal = lambda side: f"array_position(zip_with({side}, first_{side}, (x, y) -> not (x <=> y) or x is null), true)"
+    run = lambda side: F.expr(let("p", equal(side), f"int(if(p > 0, p - 1, least(size({side}), size(first_{side}))))"))
+    pairs = occurrences.join(first, "gram").where(place != F.col("place"))
+    pairs = pairs.select("doc_id", "rid", "at", "gram", "before", "after", "lo", run("before").alias("left"), run("after").alias("right"))
+    ends = "size(before) = left and size(after) = right"
+    extended = scratch.cut(pairs.withColumn("before", F.expr(f"if({ends}, null, before)")).withColumn("after", F.expr("if(before is null, null, after)")))
+    scratch.drop(occurrences), scratch.drop(first)
+    matches = extended.where(f"doc_id > lo and left + right >= {reach}").select("doc_id", "rid", F.expr("at - left").alias("s"), F.expr(f"at + {seed} + right").alias("e"))
+
+    # windows with this seed start from at - size(before) to at + size(after) - reach; those in the match from at - left to at + right - reach
+    starts = f"filter(sequence(-size(before), size(after) - {reach}), o -> o < -left or o > right - {reach})"
+    hashes = f"gram, o, slice(before, 1, -o), slice(after, 1, {reach} + o)"
+    rest = extended.where("before is not null").select("doc_id", "rid", "at", "gram", "before", "after", F.explode(F.expr(starts)).alias("o"))
+    windows = scratch.cut(rest.select("doc_id", "rid", F.expr("at + o").alias("s"), F.expr(f"xxhash64({hashes})").alias("h1"), F.expr(f"xxhash64('window', {hashes})").alias("h2")))
     earliest = scratch.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
-    later = scratch.cut(windows.join(earliest, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("start")).alias("starts")))
-    scratch.drop(windows), scratch.drop(earliest)
+    others = windows.join(earliest, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "rid", "s", F.expr(f"s + {span}").alias("e"))
+    found = scratch.cut(matches.union(others).groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("parts")))
+    scratch.drop(extended), scratch.drop(windows), scratch.drop(earliest)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            merged = [ranges(np.asarray(s.values), span) for s in b.column(2)]
+            merged = [ranges(*(np.asarray(p.values.field(k)) for k in (0, 1))) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists([m[0] for m in merged], pa.int32()), _lists([m[1] for m in merged], pa.int32())], ["doc_id", "rid", "froms", "tos"])
 
-    found = later.mapInArrow(merge, "doc_id long, rid long, froms array<int>, tos array<int>")
+    repeated = found.mapInArrow(merge, "doc_id long, rid long, froms array<int>, tos array<int>")
     whole = known.where("copy").select("doc_id", "rid", F.expr("array(0)").alias("froms"), F.expr("array(int(n_words))").alias("tos"))
-    return found.union(whole)
+    return repeated.union(whole)
 
 
 def remove_repeats(docs: DataFrame, span: int = 50, seed: int = 16) -> DataFrame:
