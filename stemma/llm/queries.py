@@ -50,7 +50,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,7 @@ FROM hist LEFT JOIN far USING (r)
 
 OP8 = rf"""
 WITH doc AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
          (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM doc GROUP BY source),
 ordered AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] :: DOUBLE AS weight, 2.0 * source_size AS cap FROM src),
@@ -169,19 +169,24 @@ aim AS (
   SELECT source, source_size, n, least(cap, coalesce(weight * max(CASE WHEN lam <= level THEN lam END) OVER (), cap)) :: DOUBLE AS target FROM running),
 share AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS ratio, floor(ratio) AS whole, ratio - whole AS part, target - whole * source_size AS lft FROM aim),
+sizes AS (SELECT d.source, size, count(*) AS k, any_value(lft) AS lft FROM doc d JOIN share s ON d.source IS NOT DISTINCT FROM s.source WHERE lft > 0 AND size > 0 GROUP BY d.source, size),
+rates AS (
+  SELECT source, max_by(c, size) AS rate FROM (
+    SELECT source, size, (lft - coalesce(sum(k * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) :: DOUBLE)
+           / sum(k * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) :: DOUBLE AS c FROM sizes)
+  WHERE c * size <= 1 GROUP BY source),
 ranked AS (
-  SELECT doc_id, d.source, size, lft, round(ln(u) - log1p_(u) - ln(part) + log1p_(part) - ln(size) + ln(source_size / n), 9) AS rank
-  FROM doc d JOIN share s ON d.source IS NOT DISTINCT FROM s.source WHERE part > 0 AND size > 0),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= lft AS inn FROM ranked),
+  SELECT r, doc_id, d.source, size, lft, CASE WHEN rate * size < 1 THEN round(ln(u) - ln(1 - u) - ln(rate * size) + ln(1 - rate * size), 9) ELSE -1000 END AS rank
+  FROM doc d JOIN share s ON d.source IS NOT DISTINCT FROM s.source JOIN rates c ON d.source IS NOT DISTINCT FROM c.source WHERE lft > 0 AND size > 0),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size, r ROWS UNBOUNDED PRECEDING) <= lft AS inn FROM ranked),
 short AS (SELECT source, any_value(lft) - sum(CASE WHEN inn THEN size ELSE 0 END) AS gap FROM summed GROUP BY source),
 closing AS (
-  SELECT s.source, s.doc_id, s.size FROM summed s JOIN short g ON s.source IS NOT DISTINCT FROM g.source WHERE NOT inn AND abs(s.size - gap) < gap
-  QUALIFY row_number() OVER (PARTITION BY s.source ORDER BY abs(s.size - gap), rank, doc_id, s.size) = 1),
-once AS (SELECT DISTINCT doc_id, source, size, 1 AS extra FROM (SELECT doc_id, source, size FROM summed WHERE inn UNION ALL SELECT doc_id, source, size FROM closing))
+  SELECT s.r FROM summed s JOIN short g ON s.source IS NOT DISTINCT FROM g.source WHERE NOT inn AND abs(s.size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY s.source ORDER BY abs(s.size - gap), rank, doc_id, s.size, r) = 1),
+once AS (SELECT r, 1 AS extra FROM summed WHERE inn UNION ALL SELECT r, 1 FROM closing)
 SELECT d.doc_id, d.size, s.source_size, s.target, CAST(d.size * (s.whole + coalesce(o.extra, 0)) AS BIGINT) AS taken
-FROM doc d JOIN share s ON d.source IS NOT DISTINCT FROM s.source
-LEFT JOIN once o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.source IS NOT DISTINCT FROM o.source AND d.size = o.size
-""".replace("log1p_(u)", "ln(1 - u)").replace("log1p_(part)", "ln(1 - part)")
+FROM doc d JOIN share s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN once o USING (r)
+"""
 
 OP9 = """
 WITH v AS (

@@ -45,6 +45,17 @@ def test_weak_parts_need_each_other(spark):
     assert spans(spark, f"key {mixed} only", "user: bob only", f"user: bob{far}{mixed}", "see https://db.example/x") == ["", "", "", ""]
 
 
+def test_many_matches_of_one_text(spark):
+    """Places after more matches than one run holds, strong spans over weak ones, against Python's own matches."""
+    import re
+
+    text = "".join(f"é{'Ab1' * 7}-{i} token=abc{i % 1000:03d} {'0f' * 12} " for i in range(1500))
+    want = [(m.start(), "assign", m.end()) for m in re.finditer(r"token=[A-Za-z0-9+/_.=-]{6,}", text)] + [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    got = find_secrets(docs(spark, [(1, text, "s"), (None, text, "s"), (None, "user: bob " + "Ab1" * 8, "s")])).collect()
+    assert all(r.spans == ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(want)) for r in got if r.n_hex) and sum(r.n_hex for r in got) == 3000
+    assert [r.spans for r in got if not r.n_hex] == ["ident:0:9,secret:10:34"]
+
+
 def test_secret_edges(spark):
     rows = [(1, None, "s"), (2, "", "s"), (None, "token=abcdef", "s"), (3, "token=abcdef", "s"), (3, "token=abcdef", "s"), (4, "token=abcdef " * 3000, None)]
     got = find_secrets(docs(spark, rows)).collect()
@@ -200,9 +211,35 @@ def test_mix_meets_its_targets(spark):
     assert abs(sum(s[1] for s in sums.values()) - 1.5 * total) < 1e-6 * total
     assert all(s[1] <= 2 * s[2] + 1e-9 for s in sums.values()) and all(abs(s[0] - s[1]) <= 30 for s in sums.values())
     assert mix(docs(spark, [])).count() == 0
+    only = mix(df, keep=("doc_id", "text")).collect()
+    assert only[0].asDict().keys() == {"doc_id", "text", "size", "source_size", "target", "taken"} and sorted((r.doc_id, r.taken) for r in only) == sorted((r.doc_id, r.taken) for r in got)
     assert mix(docs(spark, [(1, None, "a"), (2, "", None)])).where("taken <> 0 or target <> 0").count() == 0
 
 
+def test_equal_rows_at_the_limit_are_taken_one_by_one(spark):
+    rows = [(7, "w " * 50, "a")] * 60 + [(None, "v " * 40, "b")] * 30 + [(None, "u " * 40, "b")] * 30 + [(8, "w " * 50, "c")] * 60
+    got = mix(docs(spark, rows)).collect()
+    for source, size in (("a", 50), ("b", 40), ("c", 50)):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= size / 2 and all(r.taken <= 2 * r.size for r in mine)
+
+
+def test_inclusion_rates_follow_their_probabilities(spark):
+    rows = [(i, "w " * (10 + 10 * (i % 4)), "abc"[i % 3]) for i in range(1200)]
+    got = [r for seed in range(3) for r in mix(docs(spark, rows), seed=f"s{seed}", keep=("doc_id", "source")).collect()]
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        whole = int(mine[0].target // mine[0].source_size)
+        left, low, high = mine[0].target - whole * mine[0].source_size, 0.0, 1.0
+        for _ in range(60):  # the rate that makes what is left of the target expected, by bisection
+            rate = (low + high) / 2
+            low, high = (rate, high) if sum(min(1, rate * r.size) * r.size for r in mine) < 3 * left else (low, rate)
+        for size in {r.size for r in mine}:
+            of_size = [r.taken / r.size - whole for r in mine if r.size == size]
+            chance = min(1, rate * size)
+            assert abs(sum(of_size) / len(of_size) - chance) < 4 * (chance * (1 - chance) / len(of_size)) ** 0.5 + 0.02
+
+
 # top-k
 
 
