@@ -13,7 +13,7 @@ from stemma.llm.mixing import mix
 from stemma.llm.nbsvm import classify
 from stemma.llm.packing import pack
 from stemma.llm.passages import remove_repeats
-from stemma.llm.quality_rules import COMMON, VOCABULARY, judge
+from stemma.llm.quality_rules import CLASS_SPREAD, COMMON, VOCABULARY, WORD_SPREAD, judge
 from stemma.llm.secrets import find_secrets
 from stemma.llm.simhash import simhash_groups
 from stemma.llm.topk import top_k
@@ -46,7 +46,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ FROM doc LEFT JOIN kept USING (r)
 def _op7() -> str:
     listed = ", ".join(f"'{w}'" for w in VOCABULARY)
     langs = ", ".join(f"'{x}'" for x in COMMON)
-    classes = ", ".join(f"CAST(length(regexp_replace(t, '{p}', '', 'g')) AS BIGINT)" for p in (r"[^\p{Ll}]", r"[^\x20\x09-\x0D]", r"[^\p{Lu}\p{Lt}]", r"[^\p{Nd}]", r"[^.,;:?\x27\x22()-]"))
+    classes = ", ".join(f"CAST(length(regexp_replace(t, '{p}', '', 'g')) AS BIGINT)" for p in (r"[^\p{Ll}]", r"[^\x20\x09-\x0D]", r"[^\p{Lu}\p{Lt}]", r"[^\p{Nd}]", r"[^.,;:?\x27\x22()-]", r"[^\p{Lo}\p{Lm}\p{M}]"))
     return rf"""
 WITH doc AS (SELECT doc_id, lang, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 tri AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM doc WHERE len(ws) >= 3),
@@ -134,24 +134,24 @@ base AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS BIGINT) AS n_dup_lines,
          coalesce(n, 0) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         list_value({classes}) AS c5,
+         list_value({classes}) AS c6,
          list_filter(list_transform(ws, lambda w: lower(regexp_replace(w, '[.,;:?!]+$', ''))), lambda w: w IN ({listed})) AS common
   FROM doc LEFT JOIN rep USING (r)),
-hist AS (SELECT *, list_append(c5, CAST(length(t) - list_sum(c5) AS BIGINT)) AS c6, list_transform([{listed}], lambda v: CAST(len(list_filter(common, lambda w: w = v)) AS BIGINT)) AS cw FROM base),
-refc AS (SELECT lang, i, sum(c) AS s FROM (SELECT lang, unnest(c6) AS c, unnest(range(1, 7)) AS i FROM hist WHERE NOT base_failed AND lang IN ({langs})) GROUP BY ALL),
+hist AS (SELECT *, list_append(c6, CAST(length(t) - list_sum(c6) AS BIGINT)) AS c7, list_transform([{listed}], lambda v: CAST(len(list_filter(common, lambda w: w = v)) AS BIGINT)) AS cw FROM base),
+refc AS (SELECT lang, i, sum(c) AS s FROM (SELECT lang, unnest(c7) AS c, unnest(range(1, 8)) AS i FROM hist WHERE NOT base_failed AND lang IN ({langs})) GROUP BY ALL),
 refw AS (SELECT lang, i, sum(c) AS s FROM (SELECT lang, unnest(list_append(cw, n_words - list_sum(cw))) AS c, unnest(range(1, {len(VOCABULARY)} + 2)) AS i FROM hist WHERE NOT base_failed AND lang IN ({langs})) GROUP BY ALL),
 refs AS (
   SELECT lang, rc, rw FROM (SELECT lang, list(q ORDER BY i) AS rc FROM (SELECT lang, i, CAST(s AS DOUBLE) / sum(s) OVER (PARTITION BY lang) AS q FROM refc) GROUP BY lang)
   JOIN (SELECT lang, list(q ORDER BY i) AS rw FROM (SELECT lang, i, CAST(s AS DOUBLE) / sum(s) OVER (PARTITION BY lang) AS q FROM refw) GROUP BY lang) USING (lang)),
 mine AS (
-  SELECT r, length(t) AS n, list_transform(c6, lambda c: CAST(c AS DOUBLE) / greatest(1, length(t))) AS pc,
-         list_transform(list_append(cw, n_words - list_sum(cw)), lambda c: CAST(c AS DOUBLE) / n_words) AS pw FROM hist WHERE NOT base_failed),
+  SELECT r, length(t) AS n, list_transform(c7, lambda c: CAST(c AS DOUBLE) / length(t)) AS pc,
+         list_transform(list_append(cw, n_words - list_sum(cw)), lambda c: CAST(c AS DOUBLE) / n_words) AS pw FROM hist WHERE NOT base_failed AND lang IN ({langs})),
 far AS (
-  SELECT r, n, min(sqrt(greatest(0, list_sum(list_transform(range(1, 7), lambda i: 0.5 * (CASE WHEN pc[i] > 0 THEN pc[i] * log2(2 * pc[i] / (pc[i] + rc[i])) ELSE 0 END + CASE WHEN rc[i] > 0 THEN rc[i] * log2(2 * rc[i] / (pc[i] + rc[i])) ELSE 0 END)))))) AS jc,
+  SELECT r, n, min(sqrt(greatest(0, list_sum(list_transform(range(1, 8), lambda i: 0.5 * (CASE WHEN pc[i] > 0 THEN pc[i] * log2(2 * pc[i] / (pc[i] + rc[i])) ELSE 0 END + CASE WHEN rc[i] > 0 THEN rc[i] * log2(2 * rc[i] / (pc[i] + rc[i])) ELSE 0 END)))))) AS jc,
          min(sqrt(greatest(0, list_sum(list_transform(range(1, {len(VOCABULARY)} + 2), lambda i: 0.5 * (CASE WHEN pw[i] > 0 THEN pw[i] * log2(2 * pw[i] / (pw[i] + rw[i])) ELSE 0 END + CASE WHEN rw[i] > 0 THEN rw[i] * log2(2 * rw[i] / (pw[i] + rw[i])) ELSE 0 END)))))) AS jw
   FROM mine, refs GROUP BY r, n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(n < 200 OR jc <= 0.3, true) AND coalesce(n_words < 200 OR jw <= 0.27, true) AS kept
+       NOT base_failed AND coalesce(jc <= sqrt(0.3 * 0.3 + {CLASS_SPREAD!r}::DOUBLE / n), true) AND coalesce(jw <= sqrt(0.23 * 0.23 + {WORD_SPREAD!r}::DOUBLE / n_words), true) AS kept
 FROM hist LEFT JOIN far USING (r)
 """
 

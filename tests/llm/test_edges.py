@@ -184,6 +184,24 @@ def test_quality_edges(spark):
     assert not judge(docs(spark, [(1, varied, "s")]).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))).first().base_failed
 
 
+def test_languages_without_a_reference_fall_to_the_base_rules(spark):
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    alphabets = {"ru": "абвгдежзийклмнопрстуфхцчшщ", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "zh": "的一是不了人我在有他这中大来上", "hi": "कखगघचछजझटठडढतथदधनपफबभमयरलव"}
+    english = ["the", "of", "and", "to", "in", "that", "was", "it", "for", "on"]
+    prose = lambda n: " ".join(rng.choice(english) if rng.random() < 0.4 else text("abcdefghilmnoprstu", 1) for _ in range(n))
+    rows = [(i, prose(n), "en") for i, n in enumerate([60, 90, 150, 199, 200, 400] * 5)]
+    rows += [(100 + 10 * k + j, text(a, n), lang) for k, (lang, a) in enumerate(alphabets.items()) for j, n in enumerate((60, 120, 199, 260))]
+    rows += [(200 + j, text(alphabets["ru"], n), None) for j, n in enumerate((60, 260))] + [(300 + j, "\u0301".join(text("ABC#$%&", n)), "en") for j, n in enumerate((60, 150, 260))]
+    df = spark.createDataFrame([(d, t, lang, "s", 0) for d, t, lang in rows], DOCS)
+    got = {r.doc_id: r for r in judge(df).collect()}
+    assert all(got[d].kept for d in got if d < 300) and not any(got[d].kept for d in got if d >= 300)
+    assert all((got[d].js_words is None) == (d >= 100 and d < 300) for d in got)
+    # letters without case count as letters, in the declared language of a reference too
+    mixed = judge(spark.createDataFrame([(d, t, "en", "s", 0) for d, t, _ in rows if d < 130], DOCS)).where("doc_id < 100 and not kept").count()
+    assert mixed == 0
+
+
 def test_repeat_words_by_hand(spark):
     text = "a b c d a b c x y z a b c\n\na b\n a b\na b"
     r = judge(docs(spark, [(1, text, "s")])).first()
