@@ -1,65 +1,5 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing, each over all that the one before kept."""
+"""The corpus pipeline over the documents table; its stages are in stemma.llm.pipeline."""
 
-from __future__ import annotations
+from stemma.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, lines, mixture, near_duplicates, packed, quality, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from stemma.llm.lines import dedup_lines
-from stemma.llm.mixing import mix
-from stemma.llm.packing import pack
-from stemma.llm.quality_rules import judge
-from stemma.llm.simhash import representatives
-from stemma.session import Scratch, table
-
-#: How far the word limit of the quality rules widens for texts under 200 words (see judge).
-SPREAD = 4.65
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return judge(docs, spread=SPREAD).where("kept").select(*COLUMNS)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines in three-line windows that occur before."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest doc_id.
-
-    A null doc_id comes after all others, so that a text without an id stays if none of its group has one. Rows that repeat
-    a doc_id are judged by their texts: of equal rows, and of near copies under one doc_id, one stays (the smallest row key);
-    texts of different groups all stay.
-    """
-    keyed = docs.select(*COLUMNS).withColumn("rid", F.md5(F.to_json(F.struct(*COLUMNS))))
-    kept = keyed.join(representatives(keyed).hint("merge"), "rid", "left_semi")
-    return kept.dropDuplicates(["rid"]).select(*COLUMNS)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mix(docs).withColumn("copies", F.expr("if(size = 0, 0, cast(taken / size as int))"))
-    return mixed.where("copies > 0").withColumn("copy", F.expr("explode(sequence(1, copies))")).select(*COLUMNS)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
-    return pack(docs)
-
-
-STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("mixing", mixture), ("packing", packed)]
-
-#: Fingerprints by XXH64 and packing are beyond SQL; tests hold every stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.cut(docs)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "lines", "mixture", "near_duplicates", "packed", "quality", "run"]
