@@ -190,12 +190,11 @@ FROM doc d JOIN share s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN once
 
 OP9 = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z, row_number() OVER () AS r FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-met AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.z) = len(c.z) WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+q AS (SELECT vec_id, z, min(r) AS no FROM v WHERE vec_id % 20 = 0 GROUP BY ALL),
+met AS (SELECT q.vec_id AS query_id, no, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.z) = len(c.z))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM met QUALIFY rank <= 20
 """
 

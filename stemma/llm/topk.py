@@ -7,97 +7,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows whose lists are read together in a task.
+LISTS = 8192
 
-def bounded_search(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray, first: float = 0.125) -> list[np.ndarray]:
-    """For every row of q the rows of x that can be among its k best, which ties included; own[i] is a row to leave out or -1.
 
-    Each component of x is a sorted list, read from its top where the query's weight is positive and from its bottom where it
-    is negative. After reading to some depth, a row's unread components lie between the list's end and its frontier, which gives
-    a lower and an upper bound for its score. Reading goes on, twice as deep each time, until rows whose upper bound is under
-    the k-th best lower bound are all but the k wanted (and their ties), or the lists end.
+def exact_type(q: np.ndarray, x: np.ndarray) -> type:
+    """The cheapest type in which sums of products of q's and x's whole numbers are exact; Python's integers if need be."""
+    most = 4.0 * max(1, x.shape[-1]) * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+
+
+def cast(a: np.ndarray, kind: type) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(a) if kind is object and a.size else a.astype(kind)
+
+
+class Lists:
+    """Rows as one list a component, with the sorted lists' two ends."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.ids = np.ascontiguousarray(x.T), ids
+        self.sorted = np.sort(self.x, axis=1)
+        self.low, self.high = self.sorted[:, 0], self.sorted[:, -1]
+
+    def depths(self, q: np.ndarray, level: float) -> list[int]:
+        """How many entries of each list, from its better end, lie ``level`` or more over its worse end."""
+        worst = np.minimum(q * self.low, q * self.high)
+        return [int((w * v - b >= level).sum()) if w else 0 for w, v, b in zip(q, self.sorted, worst)]
+
+
+def nearest(lists: Lists, q: np.ndarray, k: int, skip: int, bar: float, reads: list[int] | None = None, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the lists that can be among the k best for q and reach ``bar``, with their scores; rows with the id ``skip`` take no part.
+
+    Each list is read from the end that is better for q, down to the entries that add ``level`` over the list's worst one. So
+    every list has its own depth: heavy ones are read far, those that never add that much not at all. What a row has in
+    lists where it has not been met lies between the list's worst entry and the level, which gives a lower and an
+    upper bound for its score. Rows whose upper bound is under the k-th best lower bound are out; unmet rows are,
+    too, by the same bounds. The level starts at a ``first`` of the heaviest list's range and is quartered until few rows are left,
+    or all lists are read; the scores of these are resolved. ``reads`` takes the depth of each list.
     """
-    n, dims = x.shape
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, dims) >= 2**53:
-        return [np.arange(n)] * len(q)  # bounds would be rounded
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    weights = np.hstack([up, down])
-    order = np.sort(x, axis=0)
-    depth = max(k + 1, int(n * first))
-    left, found = np.arange(len(q)), [None] * len(q)
-    while len(left):
-        depth = min(depth, n)
-        high, low = order[n - depth], order[depth - 1]
-        if depth == n:
-            lower = upper = q[left] @ x.T
-        else:
-            top, bottom = x >= high, x <= low
-            reach = np.hstack([np.where(top, x, high), np.where(bottom, x, low)])
-            floor = np.hstack([np.where(top, x, order[0]), np.where(bottom, x, order[-1])])
-            upper, lower = weights[left] @ reach.T, weights[left] @ floor.T
-        rows = np.flatnonzero(own[left] >= 0)
-        if lower is upper:
-            lower = upper = upper.copy()
-        lower[rows, own[left][rows]] = upper[rows, own[left][rows]] = -np.inf
-        at = min(k, n) - 1
-        bar = -np.partition(-lower, at, axis=1)[:, at]
-        able = (upper >= bar[:, None]) & (upper > -np.inf)
-        done = (able.sum(axis=1) <= 2 * k) | (depth == n)
-        for i in np.flatnonzero(done):
-            found[left[i]] = np.flatnonzero(able[i])
-        left, depth = left[~done], depth * 2
-    return found
-
-
-def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; in Python's integers, held to the range of a long, where floats could round."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2**53:
-        return (x @ q).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(row, q)) for row in x]
-    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in exact], np.int64)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, query_block: int = 512, block: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of ``queries`` the k best other rows of ``vectors`` (vec_id, embedding).
+    worst = np.minimum(q * lists.low, q * lists.high)
+    spread = np.maximum(q * lists.low, q * lists.high) - worst
+    used = np.flatnonzero(spread > 0)
+    base, spread = worst.sum(), spread[used]
+    left = np.flatnonzero(lists.ids != skip)
+    over = q[used, None] * lists.x[used] - worst[used, None]
+    if len(left) < over.shape[1]:
+        over = over[:, left]
+    level = spread.max(initial=0) / first
+    while level >= 1 and len(left) > 2 * k:
+        met, slack = over >= level, np.minimum(spread, level)
+        lower = base + (over * met).sum(axis=0)
+        upper = lower + slack.sum() - slack @ met.astype(over.dtype)
+        bar = max(bar, np.partition(lower, len(left) - k)[len(left) - k])
+        able = np.flatnonzero(upper >= bar)
+        if len(able) < len(left):
+            left, over = left[able], over[:, able]
+        if reads is not None:
+            reads[:] = lists.depths(q, level)
+        level = level / 4
+    if reads is not None and len(left) > 2 * k:
+        reads[:] = lists.depths(q, 0)
+    return left, base + over.sum(axis=0)
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k highest scores, ties to the smaller id."""
+    return np.lexsort((ids, -scores))[:k]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, query_block: int = 4096, block: int = 32768) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of ``queries`` the k best rows of ``vectors`` (vec_id, embedding) with another vec_id.
 
     Components become floor(scale * x); the score is their inner product; ties go to the smaller vec_id. Both sides are dealt into
-    blocks by a hash of vec_id and every block of queries meets every block of rows; each meeting keeps its k best per query
-    and the k best of these are the result. Vectors that are null or hold null or non-finite components, and rows without
-    vec_id, take no part. Repeated rows count once. Only vectors of equal length meet. Fewer than k others: all of them.
+    blocks at random and every block of queries meets every block of rows; each meeting keeps its k best per query and
+    the k best of these are the result. A block holds up to ``block`` rows, or ``query_block`` queries (fewer while that gives
+    the cluster too few tasks), which bounds a task's memory whatever the tables' size.
+
+    Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Repeated rows of
+    ``vectors`` are candidates each. Equal queries are one; one id with several vectors is several queries, whose rows have the
+    same query_id, and none of its id's rows is a candidate. Only vectors of equal length meet. Fewer than k others: all
+    of them. Scores beyond a long are held at its ends. An empty table gives no rows.
     """
 
     def whole(df: DataFrame) -> DataFrame:
         z = F.transform("embedding", lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("double"))
         ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(F.col("vec_id").cast("long"), z.alias("z")).distinct()
+        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(F.col("vec_id").cast("long"), z.alias("z")).withColumn("key", F.xxhash64("z"))
 
-    x, q = whole(vectors), whole(queries)
-    blocks, parts = max(1, -(-x.count() // block)), max(1, -(-q.count() // query_block))
+    x, q = whole(vectors), whole(queries).distinct()
+    n_rows, n_queries = x.count(), q.count()
+    blocks = max(1, -(-n_rows // block))
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n_queries // query_block), min(-(-n_queries // 256), -(-tasks // blocks)))
 
     def dealt(df: DataFrame, own: str, mine: int, other: str, theirs: int) -> DataFrame:
-        df = df.select(F.size("z").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(mine)).alias(own), "vec_id", "z")
-        return df.select("dim", own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(theirs - 1).cast("long"))).alias(other), "vec_id", "z")
+        df = df.select(F.size("z").alias("dim"), F.pmod(F.xxhash64("vec_id", "z", F.monotonically_increasing_id()), F.lit(mine)).alias(own), "vec_id", "z", "key")
+        return df.select("dim", own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(theirs - 1).cast("long"))).alias(other), "vec_id", "z", "key")
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(ids := t.column("vec_id").to_numpy(), kind="stable")
-        flat = t.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        return ids[order], flat[order]
+        ids = t.column("vec_id").to_numpy()
+        return ids, t.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = ([], [], [], [])
         if left.num_rows and right.num_rows:
-            (qid, q), (xid, x) = matrix(left), matrix(right)
-            at = np.minimum(np.searchsorted(xid, qid), len(xid) - 1)
-            own = np.where(xid[at] == qid, at, -1)
-            for i, rows in enumerate(bounded_search(q, x, k, own)):
-                rows = rows[xid[rows] != qid[i]]
-                scores = exact_scores(q[i], x[rows])
-                best = np.lexsort((xid[rows], -scores.astype(object) if scores.min(initial=0) == -(2**63) else -scores))[:k]
-                out[0].append(np.full(len(best), qid[i])), out[1].append(xid[rows][best]), out[2].append(scores[best])
-        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    keys = ["dim", "part", "block"]
-    left = dealt(q, "part", parts, "block", blocks).groupBy(*keys)
-    right = dealt(x, "block", blocks, "part", parts).groupBy(*keys)
-    met = left.cogroup(right).applyInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            (qid, q), (xid, x), keys = matrix(left), matrix(right), left.column("key").to_numpy()
+            kind = exact_type(q, x)
+            q, found = cast(q, kind), [(np.empty(0, np.int64), np.empty(0, kind))] * len(qid)
+            for at in range(0, len(xid), LISTS):
+                lists = Lists(cast(x[at : at + LISTS], kind), xid[at : at + LISTS])
+                for i in range(len(qid)):
+                    ids, scores = found[i]
+                    rows, more = nearest(lists, q[i], k, qid[i], scores[-1] if len(scores) == k else -np.inf)
+                    ids, scores = np.concatenate([ids, lists.ids[rows]]), np.concatenate([scores, more])
+                    best = best_of(ids, scores, k)
+                    found[i] = ids[best], scores[best]
+            for i, (ids, scores) in enumerate(found):
+                held = [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
+                out[0].append(np.full(len(ids), qid[i])), out[1].append(np.full(len(ids), keys[i])), out[2].append(ids), out[3].append(np.array(held, np.int64))
+        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["query_id", "key", "vec_id", "score"])
+
+    meeting = ["dim", "part", "block"]
+    left = dealt(q, "part", parts, "block", blocks).groupBy(*meeting)
+    right = dealt(x, "block", blocks, "part", parts).groupBy(*meeting)
+    met = left.cogroup(right).applyInArrow(run, "query_id long, key long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ from stemma.llm.packing import first_fit_decreasing, pack, token_ids
 from stemma.llm.passages import remove_repeats, rolling, winnow
 from stemma.llm.quality_rules import judge
 from stemma.llm.secrets import find_secrets
-from stemma.llm.topk import top_k
+from stemma.llm.topk import Lists, nearest, top_k
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -288,6 +288,41 @@ def test_topk_against_all_products(spark):
     assert {tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0"), block=64, query_block=4).collect()} == want
 
 
+def test_topk_of_repeated_ids_and_rows(spark):
+    """Rows of the query's id are no candidates whatever their vectors; repeated rows are candidates each."""
+    rows = [(20, [float(9 - i), 0.0]) for i in range(6)] + [(i, [0.1 * i, 0.0]) for i in range(1, 5)] + [(3, [0.3, 0.0])] * 2 + [(20, [9.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.where("vec_id = 20"), 3, block=4, query_block=2).collect()
+    assert len(got) == 6 * 3 and all([x.vec_id for x in sorted(got, key=lambda x: x.rank) if x.rank == r] == [v] * 6 for r, v in ((1, 4), (2, 3), (3, 3)))
+
+
+def test_topk_of_numbers_beyond_floats(spark):
+    big = 2.0**24
+    rows = [(0, [big, 1.0, big])] + [(i, [big, float(i), -big + i % 3]) for i in range(1, 120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    z = [[int(64 * v) for v in x] for _, x in rows]
+    scores = [sum(a * b for a, b in zip(z[0], x)) for x in z]
+    want = [(i, scores[i]) for i in sorted(range(1, 120), key=lambda i: (-scores[i], i))[:5]]
+    assert [(r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()] == want
+
+
+def test_lists_are_read_only_as_far_as_the_bounds_need():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 12, (40, 32))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 2, (4000, 32)))
+    lists, read = Lists(x.astype(np.float32), np.arange(4000)), 0
+    for i in range(0, 4000, 200):
+        depths = []
+        rows, scores = nearest(lists, x[i].astype(np.float32), 20, i, -np.inf, depths)
+        all_scores = x @ x[i]
+        all_scores[i] = -np.inf
+        best = np.lexsort((np.arange(4000), -all_scores))[:20]
+        assert set(best) <= set(rows) and (all_scores[rows] == scores).all() and len(rows) < 400
+        assert len(set(depths)) > 5  # every list has a depth of its own
+        read += sum(depths)
+    assert read < 0.97 * 20 * 32 * 4000
+
+
 # lines
 
 
