@@ -23,13 +23,17 @@ ASIDE = frozenset("nav header footer aside form menu dialog fieldset figure-menu
 #: What a head can hold; anything else ends it.
 METADATA = frozenset("html head base link meta title script style noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class or id that mark what is not the article (fixed values).
+#: Words in class or id that mark what is not the article (fixed values), and others that may as well name its subject.
 MARKS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside rail widget ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus reaction reactions share sharing social related recommended recommendations "
-    "pagination pager toolbar topbar subnav sidenav sitemap logo branding copyright legal disclaimer search form skip toc tags taglist "
-    "teaser teasers trending popular discussion feedback guestbook".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav subnav widget header masthead footer copyright ad ads advert adverts advertisement advertising adsense sponsor sponsored "
+    "cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments respond replies disqus share sharing pagination pager toolbar skip".split()
 )
+WEAK_MARKS = frozenset(
+    "side aside rail promo promotion promoted banner notice notices notification alert overlay social related recommended recommendations topbar sitemap logo branding legal disclaimer search form toc tags taglist "
+    "teaser teasers trending popular discussion feedback guestbook reaction reactions".split()
+)
+#: How an element, or one around it, is marked: not at all, by a weak word, by a sure word, by its tag or role or as hidden.
+CLEAR, WEAK, SURE, HARD = range(4)
 #: Of these, what inside an article is its title.
 TITLES = frozenset("header masthead banner".split())
 #: Names of containers of an article, and of ones that may hold more.
@@ -42,11 +46,13 @@ P_STAYS = frozenset("article aside blockquote body div footer form header li mai
 LISTS = frozenset("ul ol table dl".split())
 TRAITS = frozenset("class id role hidden aria-hidden style".split())
 BLANK = re.compile(r"\s+")
+#: Characters of a path beyond which it grows no longer.
+PATH = 2000
 
 
 @lru_cache(1 << 14)
-def traits(tag: str, attrs: tuple[tuple[str, str], ...]) -> tuple[str, bool, bool, int]:
-    """An element's name in paths, if it is off outside and inside an article, and how surely it is one (4 to 0)."""
+def traits(tag: str, attrs: tuple[tuple[str, str], ...]) -> tuple[str, int, int, int]:
+    """An element's name in paths, how it is marked outside and inside an article, and how surely it is one (4 to 0)."""
     have = dict(attrs)
     label = f"{have.get('class', '')} {have.get('id', '')}".strip().lower()
     words = {w for w in re.split(r"[^a-z]+", label) if w} | {re.sub(r"[^a-z]", "", w) for w in label.split()}
@@ -55,22 +61,24 @@ def traits(tag: str, attrs: tuple[tuple[str, str], ...]) -> tuple[str, bool, boo
     main = 4 if tag == "article" or role == "article" else 3 if box and words & SURE_MARKS else 2 if tag == "main" or role == "main" else 1 if box and words & LOOSE_MARKS else 0
     hidden = "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
     plain = tag in ("html", "body")
-    mark = lambda marks: bool(words & marks) and not plain
-    outside = hidden or role in ROLES or tag in ASIDE or mark(MARKS - TITLES if main > 1 else MARKS)
+    hard = HARD if hidden or role in ROLES else CLEAR
+    mark = lambda but: CLEAR if plain else SURE if words & MARKS - but else WEAK if words & WEAK_MARKS - but else CLEAR
+    outside = max(hard, HARD if tag in ASIDE else CLEAR, mark(TITLES if main > 1 else frozenset()))
     # what an article's own header holds is its title, as long as nothing else marks it
-    inside = hidden or role in ROLES or tag in ASIDE - {"header"} or mark(MARKS - TITLES)
+    inside = max(hard, HARD if tag in ASIDE - {"header"} else CLEAR, mark(TITLES))
     name = tag + ("." + ".".join(sorted(w for w in words if w)) if label else "")
     return name, outside, inside, main
 
 
 class Page(HTMLParser):
-    """Reads a page into blocks of text (path, off, how surely in the article, text, linked characters); the path names each open element."""
+    """Reads a page into blocks of text (path, mark, how surely in the article, text, linked characters); the path names each open element."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        # tag, path, off, main, mute, in a link: what an element has from those around it included
-        self.open: list[tuple[str, str, bool, int, bool, bool]] = [("", "", False, 0, False, False)]
-        self.blocks: list[tuple[str, bool, int, str, int]] = []
+        # tag, path, mark, main, mute, in a link: what an element has from those around it included
+        self.open: list[tuple[str, str, int, int, bool, bool]] = [("", "", CLEAR, 0, False, False)]
+        self.opened: Counter[str] = Counter()
+        self.blocks: list[tuple[str, int, int, str, int]] = []
         self.paths: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
@@ -83,8 +91,8 @@ class Page(HTMLParser):
         if self.parts:
             text = BLANK.sub(" ", "".join(self.parts)).strip()
             if text:
-                _, path, off, main, _, _ = self.open[-1]
-                self.blocks.append((path, off, main, text, self.linked))
+                _, path, marked, main, _, _ = self.open[-1]
+                self.blocks.append((path, marked, main, text, self.linked))
             self.parts, self.linked = [], 0
 
     def end_head(self) -> None:
@@ -106,13 +114,17 @@ class Page(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, path, off, main, mute, link = self.open[-1]
+        _, path, marked, main, mute, link = self.open[-1]
         name, outside, inside, own = traits(tag, tuple((k, v or "") for k, v in attrs if k in TRAITS))
         gone = inside if main > 1 else outside
         if not inline:
-            path = f"{path}/{name}" if path else name
+            # elements below a path of that length are told apart no further, so that deep nesting costs no more
+            path = path if len(path) > PATH else f"{path}/{name}" if path else name
             self.paths[path] += 1
-        self.open.append((tag, path, off or gone, max(main, own), mute or tag in SILENT or (inline and gone), link or tag == "a"))
+        if own == 4 and marked == SURE:
+            marked = WEAK  # a word around an article element doesn't outvote it
+        self.open.append((tag, path, max(marked, gone), max(main, own), mute or tag in SILENT or (inline and gone >= SURE), link or tag == "a"))
+        self.opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,14 +134,15 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        self.shut((tag,), frozenset())
 
     def shut(self, tags: tuple[str, ...], barrier: frozenset[str]) -> None:
+        """Closes the innermost open element of these tags, unless one of ``barrier`` is inside it."""
+        if not any(self.opened[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
+                self.opened.subtract(x[0] for x in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i][0] in barrier:
@@ -145,7 +158,7 @@ class Page(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def read(html: str | None) -> list[tuple[str, bool, int, str, int]]:
+def read(html: str | None) -> list[tuple[str, int, int, str, int]]:
     return Page(html).blocks if html else []
 
 
@@ -159,48 +172,51 @@ def tokens(page: Page) -> list[tuple[int, int, str, bool]]:
     return [(token(p), n, p, False) for p, n in page.paths.items()] + [(token(p, t), n, p, True) for (p, t), n in texts.items()]
 
 
-def article(blocks: list[tuple[str, bool, int, str, int]], template: set[int], shared: set[int] | frozenset[int] = frozenset()) -> list[str]:
+def article(blocks: list[tuple[str, int, int, str, int]], template: set[int], shared: set[int] | frozenset[int] = frozenset()) -> list[str]:
     """The texts of the slots that hold the article.
 
-    Blocks under elements that mark navigation, notices, adverts, forms or comments never do. If the page has an article element,
-    the other blocks in it are judged by ``shared``, the template's texts on pages with unlike articles: these go, unless they
-    make up half of the article (then it is a copy of others), and so do lists of links. If not, the slots of what most surely holds it (a container named so, the main
-    element, or all) are judged by their path: texts that belong to the template, and slots most of whose characters are
-    links, are left out.
+    Slots under elements that are no article by their tag, role or a sure word never do. Words are a prior only: slots under
+    elements with a weak word count if the page has no article element outside them and they hold three times the own text (neither
+    the template's nor mostly links) of the clear ones. Of these slots, the ones that most surely hold the article are taken (an
+    article element, a container named so, the main element, or all), and the template judges each: texts that belong to
+    it are left out, as are slots most of whose characters are links. Inside article elements a text of the template goes only if
+    ``shared``, that is if unlike articles have it, and such texts are under half of the article (else it is a copy of others); a
+    single link there can be a title or a source and stays.
     """
-    useful = [b for b in blocks if not b[1]]
-    surest = max((b[2] for b in useful), default=0)
-    useful = [b for b in useful if b[2] == surest]
     size, linked, times = Counter(), Counter(), Counter()
-    for path, _, _, text, links in useful:
+    for path, _, _, text, links in blocks:
         size[path] += len(text)
         linked[path] += links
         times[path] += 1
+    prose = lambda b: 2 * linked[b[0]] <= size[b[0]]
+    clear, weak = ([b for b in blocks if b[1] == mark] for mark in (CLEAR, WEAK))
+    own = [sum(len(b[3]) for b in some if prose(b) and token(b[0], b[3]) not in template) for some in (clear, weak)]
+    useful = clear + weak if own[1] > 3 * own[0] and all(b[2] < 4 for b in clear) else clear
+    surest = max((b[2] for b in useful), default=0)
+    useful = [b for b in blocks if b[1] in {x[1] for x in useful} and b[2] == surest]
     if surest == 4:
         common = [token(b[0], b[3]) in shared for b in useful]
-        copied = 2 * sum(len(b[3]) for b, c in zip(useful, common) if c) >= sum(size.values())
-        own = [b for b, c in zip(useful, common) if copied or not c]
-        # a single link can be a title or a source
-        prose = [b for b in own if times[b[0]] == 1 or 2 * linked[b[0]] <= size[b[0]]]
-        return [b[3] for b in prose or own]
-    return [b[3] for b in useful if token(b[0], b[3]) not in template and 2 * linked[b[0]] <= size[b[0]]]
+        copied = 2 * sum(len(b[3]) for b, c in zip(useful, common) if c) >= sum(len(b[3]) for b in useful)
+        kept = [b for b, c in zip(useful, common) if copied or not c]
+        return [b[3] for b in [b for b in kept if times[b[0]] == 1 or prose(b)] or kept]
+    return [b[3] for b in useful if token(b[0], b[3]) not in template and prose(b)]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, host, html) read once: their blocks and tokens instead of html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("path", pa.string()), ("off", pa.bool_()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32())]))
+        block = pa.list_(pa.struct([("path", pa.string()), ("mark", pa.int32()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32())]))
         tokens_ = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_())]))
         for b in batches:
             blocks, found = [], []
             for html in b.column(3):
                 page = Page(html.as_py() or "")
-                blocks.append([{"path": p, "off": off, "main": main, "text": t, "linked": n} for p, off, main, t, n in page.blocks])
+                blocks.append([{"path": p, "mark": mark, "main": main, "text": t, "linked": n} for p, mark, main, t, n in page.blocks])
                 found.append([{"token": t, "n": n, "path": p, "is_text": is_text} for t, n, p, is_text in tokens(page)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array(found, tokens_)], ["page_id", "url", "host", "blocks", "tokens"])
 
-    kinds = "blocks array<struct<path:string,off:boolean,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
+    kinds = "blocks array<struct<path:string,mark:int,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
     return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id long, url string, host string, {kinds}")
 
 
@@ -213,28 +229,34 @@ def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> D
     them) and which has elements, or as many texts on each page. Texts in valid classes are the template's own words.
     """
 
-    content = F.expr("xxhash64(transform(filter(blocks, b -> b.main = 4 and not b.off), b -> b.text))")
+    content = F.expr("xxhash64(transform(filter(blocks, b -> b.main = 4 and b.mark = 0), b -> b.text))")
     seen = pages.select("host", "page_id", content.alias("content"), F.explode("tokens").alias("t")).select("host", "content", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
     per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"), (F.min("content") != F.max("content")).alias("unlike"))
     totals = pages.groupBy("host").agg(F.count("*").alias("all"))
     frequent = per_token.where(f"pages >= {least}").join(totals, "host").where(f"pages >= {share} * all")
     classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("token", "path", "is_text", "unlike")).alias("members"), F.max(~F.col("is_text")).alias("framed"))
 
+    def within(group: dict, frame: set[str]) -> bool:
+        """Whether all paths of a class run on from paths of the frame."""
+        return all(any(p[:i] in frame for i in range(len(p), 0, -1) if i == len(p) or p[i] == "/") for p in {m["path"] for m in group["members"]})
+
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, both = [], []
             for groups in b.column(1).to_pylist():
-                groups.sort(key=lambda g: (-g["pages"], g["times"], g["members"][0]["token"]))
                 frame: set[str] = set()
-                chosen: list[int] = []
-                shared: list[int] = []
-                for g in groups:
-                    paths = {m["path"] for m in g["members"]}
-                    nested = all(any(p[:i] in frame for i in range(len(p), 0, -1) if i == len(p) or p[i] == "/") for p in paths)
-                    if g["framed"] and (nested or g["times"] == g["pages"]) or nested and g["times"] % g["pages"] == 0:
-                        frame |= paths
-                        chosen += [m["token"] for m in g["members"] if m["is_text"]]
-                        shared += [m["token"] for m in g["members"] if m["is_text"] and m["unlike"]]
+                valid: list[dict] = []
+                found = True
+                while found:  # until no more classes nest in valid ones
+                    found, rest = [], []
+                    for g in groups:
+                        nested = within(g, frame)
+                        fits = g["framed"] and (nested or g["times"] == g["pages"]) or nested and g["times"] % g["pages"] == 0
+                        (found if fits else rest).append(g)
+                    frame.update(m["path"] for g in found for m in g["members"])
+                    valid, groups = valid + found, rest
+                texts = [m for g in valid for m in g["members"] if m["is_text"]]
+                chosen, shared = [m["token"] for m in texts], [m["token"] for m in texts if m["unlike"]]
                 kept.append(sorted(chosen)), both.append(sorted(shared))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int64())), pa.array(both, pa.list_(pa.int64()))], ["host", "template", "shared"])
 
@@ -245,7 +267,8 @@ def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> D
 def extract(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html): the article's text, its blocks joined by \\n.
 
-    Templates are deduced per host over all its pages; a page is then read against its host's. Character references are
+    Templates are deduced per host over all its pages; a page is then read against its host's. A host needs ``least`` pages
+    for that, as one or two pages show no vectors; with fewer its template is empty and marks and links decide. Character references are
     decoded, white space inside a block becomes one space. A null or empty html gives an empty text, as does a page
     without an article. A null or odd url belongs to the host ''. Repeated rows come back each. Broken markup is read as
     far as it goes. Other columns are not read. An empty table gives no rows.
