@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.catalog import catena_by_header, top_k
+from stemma.session import Scratch
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 K1, B = 1.2, 0.75
 #: Weights of the vector, text and title signals and the fusion constant (fixed values).
 WEIGHTS, RRF_K = {"vector": 1.3, "fts": 1.0, "title": 0.5}, 60
 #: Words of names that do not tell authors apart (fixed values).
-NAME_STOPWORDS = "st st. saint pope the of and bishop martyr venerable blessed abba deacon elder great council synod letter epistle acts pseudo".split()
+NAME_STOPWORDS = ("st", "st.", "saint", "pope", "the", "of", "and", "bishop", "martyr", "venerable", "blessed", "abba", "deacon", "elder", "great", "council", "synod", "letter", "epistle", "acts", "pseudo")
 MAX_QUERY = 500
 #: Vectors that meet one block of queries in a task.
 VECTOR_BLOCK = 8192
@@ -26,12 +29,32 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def build_index(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, col, id, pos) over text, author and work, and per-passage lengths (id, dl)."""
-    cols = F.array(*(F.struct(F.lit(c).alias("col"), terms(F.col(c)).alias("terms")) for c in ("text", "author", "work")))
+@dataclass(frozen=True)
+class Index:
+    """An inverted index: postings (term, col, id, pos), lengths (id, dl), and the passages' id, author and work."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    entries: DataFrame
+
+
+def build_index(passages: DataFrame, columns: tuple[str, ...] = ("text", "author", "work")) -> Index:
+    """The index of passages (id and ``columns``), as a plan: every use of it reads the passages again."""
+    cols = F.array(*(F.struct(F.lit(c).alias("col"), terms(F.col(c)).alias("terms")) for c in columns))
     each = passages.select("id", F.explode(cols).alias("c")).select("id", "c.col", "c.terms")
     postings = each.select("id", "col", F.posexplode("terms").alias("pos", "term")).select("term", "col", "id", "pos")
-    return postings, each.groupBy("id").agg(F.sum(F.size("terms")).cast("long").alias("dl"))
+    lengths = passages.select("id", F.size(F.concat(*(terms(F.col(c)) for c in columns))).cast("long").alias("dl"))
+    return Index(postings, lengths, passages.select("id", *(c for c in ("author", "work") if c in passages.columns)))
+
+
+def store_index(passages: DataFrame, scratch: Scratch) -> Index:
+    """The index written as tables, so that searches read it and don't cut texts into terms.
+
+    Postings are dealt and ordered by term within files, so that the files' own statistics leave out what a query doesn't ask for.
+    """
+    made = build_index(passages)
+    by_term = made.postings.repartition("term").sortWithinPartitions("term")
+    return Index(scratch.cut(by_term), scratch.cut(made.lengths), scratch.cut(made.entries))
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -44,9 +67,11 @@ def query_phrases(queries: DataFrame) -> DataFrame:
 def matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, phrase, id, tf): how often each phrase stands in a passage, its terms adjacent in one column."""
     q = query_phrases(queries)
-    hit = postings.join(q, "term").withColumn("start", F.col("pos") - F.col("j"))
-    runs = hit.groupBy("query_id", "phrase", "n", "id", "col", "start").agg(F.count("*").alias("got")).where("got = n")
-    return runs.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf"))
+    asked = postings.join(q.select("term").distinct(), "term", "left_semi")
+    hit = asked.join(q, "term").withColumn("start", F.col("pos") - F.col("j"))
+    single = hit.where("n = 1").groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf"))
+    runs = hit.where("n > 1").groupBy("query_id", "phrase", "n", "id", "col", "start").agg(F.count("*").alias("got")).where("got = n")
+    return single.unionByName(runs.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf")))
 
 
 def bm25(found: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -59,22 +84,20 @@ def bm25(found: DataFrame, lengths: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("matched"))
 
 
-def bm25_search(queries: DataFrame, passages: DataFrame, k: int = 100) -> DataFrame:
+def bm25_search(queries: DataFrame, index: Index, k: int = 100) -> DataFrame:
     """The k best passages per query that hold all its tokens: query_id, rank, id, score. An author column in queries limits each to that author."""
-    postings, lengths = build_index(passages)
     need = query_phrases(queries).groupBy("query_id").agg(F.count_distinct("phrase").alias("need"))
-    found = bm25(matches(queries, postings), lengths).join(need, "query_id").where("matched = need")
+    found = bm25(matches(queries, index.postings), index.lengths).join(need, "query_id").where("matched = need")
     if "author" in queries.columns:
         scope = queries.select("query_id", F.lower("author").alias("a"))
-        found = found.join(passages.select("id", F.lower("author").alias("own")), "id").join(scope, "query_id").where("a is null or a = own")
+        found = found.join(index.entries.select("id", F.lower("author").alias("own")), "id").join(scope, "query_id").where("a is null or a = own")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k, "rank").select("query_id", "rank", "id", "score")
 
 
-def title_search(queries: DataFrame, passages: DataFrame, k: int = 50) -> DataFrame:
+def title_search(queries: DataFrame, index: Index, k: int = 50) -> DataFrame:
     """The k best passages per query by any token in the work's title; titles of commentaries are left out."""
-    postings, lengths = build_index(passages)
-    titled = passages.where(~F.col("work").ilike("Commentary on %")).select("id")
-    found = bm25(matches(queries, postings.where("col = 'work'")), lengths).join(titled, "id")
+    titled = index.entries.where(~F.col("work").ilike("Commentary on %")).select("id")
+    found = bm25(matches(queries, index.postings.where("col = 'work'")), index.lengths).join(titled, "id")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k, "rank").select("query_id", "rank", "id", "score")
 
 
@@ -138,74 +161,57 @@ def diversify(ranked: DataFrame, work_cap: int = 3, author_cap: int = 6, limit:
     return top_k(b, ["query_id"], [F.col("rank")], limit, "place").drop("nw", "na")
 
 
-def floor_page(out: list, ranked: list, writing: set, work: dict, author: dict, floor: int, window: int, work_cap: int = 3, author_cap: int = 6) -> list:
-    """A page with at least ``floor`` writings among its first ``window`` rows, taken from the ranking where it has them.
+def writing_floor(ranked: DataFrame, diversified: DataFrame, scratch: Scratch, floor: int = 2, window: int = 15, work_cap: int = 3, author_cap: int = 6) -> DataFrame:
+    """(query_id, place, id): the diversified rows with ``floor`` writings on the first page, if the ranking (query_id, rank, id, work_id, author_id, kind) has them.
 
-    The weakest other rows of the page give way from the bottom; the best writing gets the highest freed slot. A writing that
-    is further down changes places, so nothing is lost; one that is not listed replaces a row if the caps allow.
-    """
-    page = min(window, len(out))
-    lacking = floor - sum(p in writing for p in out[:page])
-    waiting = [p for p in ranked if p in writing and p not in set(out[:page])]
-    if lacking <= 0 or not waiting:
-        return out
-    works, authors = pd.Series([work[p] for p in out]).value_counts().to_dict(), pd.Series([author[p] for p in out]).value_counts().to_dict()
-    weak = [i for i in range(page - 1, -1, -1) if out[i] not in writing]
-    slots, chosen = [], []
-    for p in waiting:
-        if len(chosen) == lacking or not weak:
-            break
-        leaves = out[weak[0]]
-        if p not in out:
-            same_work, same_author = work[p] == work[leaves], author[p] == author[leaves]
-            if works.get(work[p], 0) - same_work >= work_cap or authors.get(author[p], 0) - same_author >= author_cap:
-                continue
-            for counts, gone, new in ((works, work[leaves], work[p]), (authors, author[leaves], author[p])):
-                counts[gone] = counts.get(gone, 1) - 1
-                counts[new] = counts.get(new, 0) + 1
-        slots.append(weak.pop(0))
-        chosen.append(p)
-    result = list(out)
-    place = {p: i for i, p in enumerate(result)}
-    for slot, p in zip(sorted(slots), chosen):
-        leaves, old = result[slot], place.get(p)
-        result[slot] = p
-        if old is not None:
-            result[old] = leaves
-            place[leaves] = old
-        place[p] = slot
-    return result
-
-
-def writing_floor(ranked: DataFrame, diversified: DataFrame, floor: int = 2, window: int = 15) -> DataFrame:
-    """(query_id, place, id): the diversified rows with the floor of writings; ranked has query_id, rank, id, work_id, author_id, kind.
-
-    A query's rows are a bounded candidate pool, so a group is small however large the corpus is.
+    The page's rows that are no writings are numbered from its end: the first of them may give way in the first round, the next
+    in the second, and so on for as many writings as the page lacks. In each round the best writing that is not on the page
+    and not tried before comes in: one that is listed further down, or one whose work and author stay under their caps without the row that
+    gives way. The writings then take the freed places in their own order; a row that gave way takes the old
+    place of the writing that is there now, or goes if that was not listed. Rounds are joins over the whole table of queries.
     """
-    both = ranked.join(diversified.select("query_id", "id", "place"), ["query_id", "id"], "left").select("query_id", "rank", "id", "work_id", "author_id", "kind", "place")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rank")
-        out = g[g.place.notna()].sort_values("place").id.tolist()
-        new = floor_page(out, g.id.tolist(), set(g.id[g.kind == "writing"]), dict(zip(g.id, g.work_id)), dict(zip(g.id, g.author_id)), floor, window)
-        return pd.DataFrame({"query_id": g.query_id.iloc[0], "place": range(1, len(new) + 1), "id": new})
-
-    return both.groupBy("query_id").applyInPandas(run, "query_id long, place int, id long")
-
-
-def hybrid_search(queries: DataFrame, qvecs: DataFrame, passages: DataFrame, vectors: DataFrame, dim: int, limit: int = 100, floor: bool = True) -> DataFrame:
+    q, page = Window.partitionBy("query_id"), F.col("place") <= window
+    rows = ranked.join(diversified.select("query_id", "id", "place"), ["query_id", "id"], "left").select("query_id", "rank", "id", "work_id", "author_id", "kind", "place")
+    rows = rows.withColumn("writing", F.col("kind").eqNullSafe("writing")).withColumn("on_page", F.coalesce(page, F.lit(False)))
+    same = lambda *keys: F.count("place").over(Window.partitionBy("query_id", *keys))
+    rows = rows.withColumn("lacks", floor - F.count_if(F.col("on_page") & F.col("writing")).over(q)).withColumn("of_work", same("work_id")).withColumn("of_author", same("author_id"))
+    from_end = Window.partitionBy("query_id", F.col("on_page") & ~F.col("writing")).orderBy(F.desc("place"))
+    rows = scratch.cut(rows.withColumn("weak", F.when(F.col("on_page") & ~F.col("writing"), F.row_number().over(from_end))))
+    spare = rows.where("writing and not on_page and lacks > 0")
+    state = rows.where("lacks > 0").select("query_id").distinct().withColumn("tried", F.lit(0)).withColumn("swaps", F.expr("cast(array() as array<struct<w:bigint,a:bigint,out_w:bigint,out_a:bigint>>)"))
+    took = []
+    for no in range(1, floor + 1):
+        leaving = rows.where((F.col("weak") == no) & (F.col("lacks") >= no)).select("query_id", F.col("work_id").cast("long").alias("out_w"), F.col("author_id").cast("long").alias("out_a"))
+        met = spare.join(leaving, "query_id").join(state, "query_id").where("rank > tried")
+        held = lambda n, key, own: f"{n} + aggregate(swaps, 0, (s, x) -> s + int(x.{key} <=> {own}) - int(x.out_{key} <=> {own})) - int(out_{key} <=> {own})"
+        able = met.where(f"place is not null or ({held('of_work', 'w', 'work_id')} < {work_cap} and {held('of_author', 'a', 'author_id')} < {author_cap})")
+        came = scratch.cut(able.groupBy("query_id").agg(F.min(F.struct("rank", "id", "place", "swaps", "work_id", "author_id", "out_w", "out_a")).alias("m")).select("query_id", "m.*"))
+        took.append(came.select("query_id", F.lit(no).alias("no"), "id", F.col("place").alias("old")))
+        swap = F.struct(F.col("work_id").cast("long").alias("w"), F.col("author_id").cast("long").alias("a"), "out_w", "out_a")
+        state = came.select("query_id", F.col("rank").alias("tried"), F.when(F.col("place").isNull(), F.concat("swaps", F.array(swap))).otherwise(F.col("swaps")).alias("swaps"))
+    came = reduce(DataFrame.unionByName, took)
+    # the best of m writings takes the highest of the last m weak places
+    came = came.withColumn("weak", F.count("*").over(q) + 1 - F.col("no"))
+    freed = rows.where("weak is not null").select("query_id", "weak", "place", F.col("id").alias("left"))
+    moved = scratch.cut(came.join(freed, ["query_id", "weak"]).select("query_id", "id", "place", "old", "left"))
+    changed = moved.select("query_id", "id", "place").union(moved.select("query_id", F.col("left"), F.col("old")))
+    stays = rows.where("place is not null").select("query_id", "id", "place").join(changed.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return stays.union(changed.where("place is not null")).select("query_id", "place", "id")
+
+
+def hybrid_search(queries: DataFrame, qvecs: DataFrame, passages: DataFrame, index: Index, vectors: DataFrame, dim: int, scratch: Scratch, limit: int = 100, floor: bool = True) -> DataFrame:
     """Vector, text and title hits fused, diversified and floored: query_id, place, id. Text is joined by the caller, last."""
     pool = limit * 3
-    fused = rrf_fuse({"vector": vector_topk(qvecs, vectors, dim, pool), "fts": bm25_search(queries, passages, pool), "title": title_search(queries, passages, 50)})
-    ranked = fused.join(passages.select("id", "work_id", "author_id", "kind"), "id")
+    fused = rrf_fuse({"vector": vector_topk(qvecs, vectors, dim, pool), "fts": bm25_search(queries, index, pool), "title": title_search(queries, index, 50)})
+    ranked = scratch.cut(fused.join(passages.select("id", "work_id", "author_id", "kind"), "id"))
     spread = diversify(ranked, limit=limit)
-    return writing_floor(ranked, spread) if floor else spread.select("query_id", "place", "id")
+    return writing_floor(ranked, spread, scratch) if floor else spread.select("query_id", "place", "id")
 
 
 def author_token_index(authors: DataFrame) -> DataFrame:
     """(token, name): tokens of four letters or more that name one author whose name does not begin with pseudo."""
     token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]+)"), 1)))
-    real = authors.where(~F.lower("name").startswith("pseudo")).select("name", token.alias("token")).where(F.length("token") >= 4).where(~F.col("token").isin(NAME_STOPWORDS))
+    real = authors.where(~F.lower("name").startswith("pseudo")).select("name", token.alias("token")).where(F.length("token") >= 4).where(~F.col("token").isin(*NAME_STOPWORDS))
     return real.groupBy("token").agg(F.count_distinct("name").alias("n"), F.min("name").alias("name")).where("n = 1").select("token", "name")
 
 
@@ -276,10 +282,10 @@ def highlight(results: DataFrame, queries: DataFrame, text: str = "text") -> Dat
     return results.join(q, "query_id").withColumn("marked", marked).drop("pattern", "n")
 
 
-def build_topics(specs: DataFrame, passages: DataFrame, k: int = 8, chars: int = 480) -> DataFrame:
+def build_topics(specs: DataFrame, passages: DataFrame, index: Index, k: int = 8, chars: int = 480) -> DataFrame:
     """(topic, author, hits): for each curated query the k best passages of its author with snippets."""
     numbered = specs.select("query_id", "topic", "author", "query")
-    hits = bm25_search(numbered.select("query_id", "query", "author"), passages, k)
+    hits = bm25_search(numbered.select("query_id", "query", "author"), index, k)
     rows = hits.join(passages.select("id", "work", snippet(F.trim(F.regexp_replace("text", r"\s+", " ")), chars, "…").alias("snippet")), "id").join(numbered.select("query_id", "topic", "author"), "query_id")
     return rows.groupBy("topic", "author").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "work", "snippet"))).alias("hits"))
 

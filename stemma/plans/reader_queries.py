@@ -47,7 +47,11 @@ def window_backward(spark, d):
     return R.read_windows(bind(spark, d, "runs"), anchors(spark, d), "backward", 600, 4)
 
 
-@query()
+@query("runs", """WITH s AS (SELECT work_id, size, row_number() OVER (PARTITION BY work_id ORDER BY id) - 1 AS n FROM runs),
+walk AS (SELECT work_id, n AS here, n AS lo, n AS hi, size AS used, 0 AS turn, 0 AS stuck FROM s
+  UNION ALL SELECT w.work_id, here, CASE WHEN fits AND turn % 2 = 1 THEN lo - 1 ELSE lo END, CASE WHEN fits AND turn % 2 = 0 THEN hi + 1 ELSE hi END, CASE WHEN fits THEN used + next ELSE used END, turn + 1, CASE WHEN fits THEN 0 ELSE stuck + 1 END
+  FROM (SELECT w.*, s.size AS next, coalesce(used + s.size <= 600, false) AS fits FROM walk w LEFT JOIN s ON s.work_id = w.work_id AND s.n = CASE WHEN turn % 2 = 0 THEN hi + 1 ELSE lo - 1 END WHERE stuck < 2 AND hi - lo + 1 < 4) w)
+SELECT work_id * 1000 + here AS anchor_id, work_id, CAST(min(lo) AS INTEGER) AS lo, CAST(max(hi) AS INTEGER) AS hi FROM walk GROUP BY work_id, here""")
 def window_around(spark, d):
     return R.read_windows(bind(spark, d, "runs"), anchors(spark, d), "both", 600, 4)
 

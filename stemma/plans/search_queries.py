@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stemma.operators import catalog as C
 from stemma.operators import search as S
 from stemma.plans.registry import query
+from stemma.session import Scratch
 from stemma.sources.bindings import bind
 
 DIM = 64
@@ -32,14 +33,43 @@ def queries(spark, d):
     return bind(spark, d, "search_queries")
 
 
+_stored: dict[tuple[str, str], tuple[Scratch, S.Index]] = {}
+
+
+def index(spark, d) -> S.Index:
+    """The index over the text passages of a data folder, stored once a session and read by every search in it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored or not _stored[key][0].exists():
+        scratch = Scratch(spark)
+        _stored[key] = scratch, S.store_index(bind(spark, d, "text_passages"), scratch)
+    return _stored[key][1]
+
+
 @query("search_queries text_passages", f"WITH {bm25_sql('h', 'search_queries')} SELECT * FROM h")
 def bm25_search(spark, d):
-    return S.bm25_search(queries(spark, d), bind(spark, d, "text_passages"))
+    return S.bm25_search(queries(spark, d), index(spark, d))
 
 
 @query("search_queries text_passages", f"WITH {bm25_sql('h', 'search_queries', where='lower(p.author) = ' + chr(39) + 'src3' + chr(39), k=20)} SELECT * FROM h")
 def bm25_search_in_author(spark, d):
-    return S.bm25_search(queries(spark, d).withColumn("author", F.lit("SRC3")), bind(spark, d, "text_passages"), 20)
+    return S.bm25_search(queries(spark, d).withColumn("author", F.lit("SRC3")), index(spark, d), 20)
+
+
+#: Three words of an item of which the first two are one token with an apostrophe, that is a phrase.
+PHRASES = "(SELECT item_id AS query_id, regexp_replace(regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+'), '^([^ ]+) ', '\\1' || chr(39)) AS query FROM benchmark)"
+
+
+@query("text_passages", f"""WITH tok AS (SELECT id, col, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM (SELECT id, 'text' AS col, {TERMS.format('text')} AS terms FROM text_passages UNION ALL SELECT id, 'author', {TERMS.format('author')} FROM text_passages UNION ALL SELECT id, 'work', {TERMS.format('work')} FROM text_passages)),
+dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), tot AS (SELECT count(*) AS big, avg(dl) AS avgdl FROM dl),
+ph AS (SELECT DISTINCT query_id, {TERMS.format('token')} AS ts FROM (SELECT query_id, unnest(regexp_extract_all(query, '[\\pL\pN_'']+')) AS token FROM {PHRASES})),
+one AS (SELECT query_id, array_to_string(ts, ' ') AS phrase, len(ts) AS n, ts[1] AS t1, ts[2] AS t2 FROM ph WHERE len(ts) BETWEEN 1 AND 2),
+tf AS (SELECT query_id, phrase, a.id, count(*) AS tf FROM one JOIN tok a ON a.term = t1 LEFT JOIN tok b ON b.id = a.id AND b.col = a.col AND b.pos = a.pos + 1 AND b.term = t2 WHERE n = 1 OR b.id IS NOT NULL GROUP BY ALL),
+df AS (SELECT query_id, phrase, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT query_id, id, round(sum(greatest(ln((big - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS matched FROM tf JOIN df USING (query_id, phrase) JOIN dl USING (id), tot GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM sc JOIN (SELECT query_id, count(*) AS need FROM one GROUP BY 1) USING (query_id) WHERE matched = need QUALIFY rank <= 100""")
+def bm25_phrases(spark, d):
+    asked = F.regexp_replace(F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0), "^([^ ]+) ", "$1'")
+    return S.bm25_search(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), asked.alias("query")), index(spark, d))
 
 
 TITLE_QUERIES = "(SELECT item_id AS query_id, 'en src' || CAST(item_id % 20 AS VARCHAR) || ' of' AS query FROM benchmark)"
@@ -51,13 +81,12 @@ def title_queries(spark, d):
 
 @query("text_passages", f"WITH {bm25_sql('h', TITLE_QUERIES, col='work', every=False, where='p.work NOT ILIKE ' + chr(39) + 'Commentary on %' + chr(39), k=50)} SELECT * FROM h")
 def title_search(spark, d):
-    return S.title_search(title_queries(spark, d), bind(spark, d, "text_passages"))
+    return S.title_search(title_queries(spark, d), index(spark, d))
 
 
 @query("text_passages", f"SELECT term, col, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, 'text' AS col, unnest({TERMS.format('text')}) AS term FROM text_passages UNION ALL SELECT id, 'author', unnest({TERMS.format('author')}) FROM text_passages UNION ALL SELECT id, 'work', unnest({TERMS.format('work')}) FROM text_passages) GROUP BY ALL")
 def build_index(spark, d):
-    postings, _ = S.build_index(bind(spark, d, "text_passages"))
-    return postings.groupBy("term", "col").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
+    return S.build_index(bind(spark, d, "text_passages")).postings.groupBy("term", "col").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
 
 
 UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
@@ -101,9 +130,9 @@ fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def fused(spark, d):
-    p = bind(spark, d, "text_passages")
+    own = index(spark, d)
     mixed = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.concat(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0), F.lit(" en")).alias("query"))
-    return S.rrf_fuse({"fts": S.bm25_search(queries(spark, d), p, 300), "title": S.title_search(mixed, p, 50)})
+    return S.rrf_fuse({"fts": S.bm25_search(queries(spark, d), own, 300), "title": S.title_search(mixed, own, 50)})
 
 
 @query("search_queries text_passages", f"WITH {FUSED} SELECT * FROM fused")
@@ -154,24 +183,55 @@ def highlight_whole(spark, d):
     return S.highlight(first, queries(spark, d)).select("query_id", "id", "marked")
 
 
-@query()
-def hybrid_search(spark, d):
-    v = bind(spark, d, "vectors")
-    q = queries(spark, d)
+#: The floor of two writings on a page of 15, over fused and spread: two rounds, then the exchange of places.
+FLOOR = """, fr AS (SELECT f.query_id, f.rank, f.id, p.work_id, p.author_id, p.kind = 'writing' AS wr, s.place FROM fused f JOIN text_passages p USING (id) LEFT JOIN (SELECT query_id, id, place FROM spread) s USING (query_id, id)),
+fc AS (SELECT *, coalesce(place <= 15, false) AS pg, 2 - count(*) FILTER (place <= 15 AND wr) OVER (PARTITION BY query_id) AS lacks, count(place) OVER (PARTITION BY query_id, work_id) AS nw, count(place) OVER (PARTITION BY query_id, author_id) AS na FROM fr),
+fw AS (SELECT query_id, place, id, work_id, author_id, row_number() OVER (PARTITION BY query_id ORDER BY place DESC) AS weak FROM fc WHERE pg AND NOT wr),
+p1 AS (SELECT c.*, w.work_id AS ow, w.author_id AS oa FROM fc c JOIN fw w ON w.query_id = c.query_id AND weak = 1 WHERE wr AND NOT pg AND lacks >= 1
+  AND (c.place IS NOT NULL OR (nw - CAST(w.work_id = c.work_id AS INT) < 3 AND na - CAST(w.author_id = c.author_id AS INT) < 6)) QUALIFY row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank) = 1),
+p2 AS (SELECT c.* FROM fc c JOIN fw w ON w.query_id = c.query_id AND weak = 2 JOIN p1 o ON o.query_id = c.query_id WHERE c.wr AND NOT c.pg AND c.lacks >= 2 AND c.rank > o.rank
+  AND (c.place IS NOT NULL OR (c.nw + CASE WHEN o.place IS NULL THEN CAST(o.work_id = c.work_id AS INT) - CAST(o.ow = c.work_id AS INT) ELSE 0 END - CAST(w.work_id = c.work_id AS INT) < 3
+    AND c.na + CASE WHEN o.place IS NULL THEN CAST(o.author_id = c.author_id AS INT) - CAST(o.oa = c.author_id AS INT) ELSE 0 END - CAST(w.author_id = c.author_id AS INT) < 6)) QUALIFY row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank) = 1),
+pk AS (SELECT query_id, 1 AS no, id, place AS old FROM p1 UNION ALL SELECT query_id, 2, id, place FROM p2),
+mv AS (SELECT k.query_id, k.id, w.place, old, w.id AS lf FROM (SELECT *, count(*) OVER (PARTITION BY query_id) + 1 - no AS weak FROM pk) k JOIN fw w USING (query_id, weak)),
+ch AS (SELECT query_id, id, place FROM mv UNION ALL SELECT query_id, lf, old FROM mv),
+fl AS (SELECT query_id, place, id FROM fr ANTI JOIN ch USING (query_id, id) WHERE place IS NOT NULL UNION ALL SELECT query_id, place, id FROM ch WHERE place IS NOT NULL)"""
+
+HYBRID = f"""v AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, e.u), 9) DESC, e.vec_id) AS rank, e.vec_id AS id
+  FROM (SELECT vec_id, {UNIT} AS u FROM embeddings WHERE vec_id IN (SELECT query_id FROM search_queries)) q, (SELECT vec_id, {UNIT} AS u FROM embeddings) e QUALIFY rank <= 300),
+{bm25_sql('h', 'search_queries', k=300)}, {bm25_sql('t', 'search_queries', col='work', every=False, where='p.work NOT ILIKE ' + chr(39) + 'Commentary on %' + chr(39), k=50)},
+s AS (SELECT query_id, id, 0 AS no, rank, 1.3::DOUBLE / (60 + rank) AS s FROM v UNION ALL SELECT query_id, id, 1, rank, 1.0::DOUBLE / (60 + rank) FROM h UNION ALL SELECT query_id, id, 2, rank, 0.5::DOUBLE / (60 + rank) FROM t),
+f AS (SELECT query_id, id, round(sum(s ORDER BY no), 12) AS score, min(no * 1000000 + rank) AS spot FROM s GROUP BY query_id, id),
+fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, spot) AS INTEGER) AS rank, id, score FROM f)"""
+
+
+def hybrid(spark, d, floor):
+    v, q = bind(spark, d, "vectors"), queries(spark, d)
     qvecs = v.join(q.select(F.col("query_id").alias("passage_id")), "passage_id").select(F.col("passage_id").alias("query_id"), "embedding")
-    return S.hybrid_search(q, qvecs, bind(spark, d, "text_passages"), v, DIM)
+    return S.hybrid_search(q, qvecs, bind(spark, d, "text_passages"), index(spark, d), v, DIM, Scratch(spark), floor=floor)
 
 
-@query()
+@query("search_queries text_passages", f"WITH {HYBRID}{SPREAD}{FLOOR} SELECT * FROM fl")
+def hybrid_search(spark, d):
+    return hybrid(spark, d, True)
+
+
+@query("search_queries text_passages", f"WITH {HYBRID}{SPREAD} SELECT query_id, place, id FROM spread")
+def hybrid_search_unfloored(spark, d):
+    return hybrid(spark, d, False)
+
+
+@query("search_queries text_passages", f"WITH {FUSED}{SPREAD}{FLOOR} SELECT * FROM fl")
 def writing_floor(spark, d):
-    ranked = fused(spark, d).join(bind(spark, d, "text_passages").select("id", "work_id", "author_id", "kind"), "id")
-    return S.writing_floor(ranked, S.diversify(ranked))
+    scratch = Scratch(spark)
+    ranked = scratch.cut(fused(spark, d).join(bind(spark, d, "text_passages").select("id", "work_id", "author_id", "kind"), "id"))
+    return S.writing_floor(ranked, S.diversify(ranked), scratch)
 
 
 @query("text_passages", f"WITH q AS (SELECT item_id AS query_id, regexp_extract(text, '^[^ ]+ [^ ]+') AS query, 'src' || CAST(item_id % 5 AS VARCHAR) AS author FROM benchmark), {bm25_sql('h', 'q', k=300000)}, r AS (SELECT h.query_id, h.id, CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, h.id) AS INTEGER) AS rk, q.author, p.work, trim(regexp_replace(p.text, '\\s+', ' ', 'g')) AS t FROM h JOIN q USING (query_id) JOIN text_passages p USING (id) WHERE p.author = q.author QUALIFY rk <= 8) SELECT 'topic ' || query_id AS topic, author, string_agg(id || ':' || work || ':' || CASE WHEN length(t) <= 480 THEN t ELSE regexp_replace(left(t, 480), '\\s\\S*$', '') || '…' END, '|' ORDER BY rk) AS hits FROM r GROUP BY query_id, author")
 def build_topics(spark, d):
     specs = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.expr("concat('topic ', item_id)").alias("topic"), F.expr("concat('src', item_id % 5)").alias("author"), F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("query"))
-    topics = S.build_topics(specs, bind(spark, d, "text_passages"))
+    topics = S.build_topics(specs, bind(spark, d, "text_passages"), index(spark, d))
     return topics.withColumn("hits", F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["id"], x["work"], x["snippet"])), "|"))
 
 

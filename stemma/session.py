@@ -71,6 +71,11 @@ class Scratch:
         fs, path = self._file(df._scratch)
         fs.delete(path, True)
 
+    def exists(self) -> bool:
+        """Whether the tables of this folder are still there."""
+        fs, path = self._file(self.root)
+        return fs.exists(path)
+
     def clear(self) -> None:
         """Free all tables of this folder."""
         fs, path = self._file(self.root)

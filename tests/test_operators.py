@@ -10,6 +10,7 @@ from stemma.operators import logs as L
 from stemma.operators import reader as R
 from stemma.operators import search as S
 from stemma.operators.publish import write_sitemap, write_topics
+from stemma.session import Scratch
 from stemma.streaming import jobs as J
 
 
@@ -21,7 +22,7 @@ def test_phrases_need_neighbours_in_one_column(spark):
     docs = [(1, "the Lord's day", "a", "w"), (2, "lord of s and s", "a", "w"), (3, "s", "lord", "w")]
     p = spark.createDataFrame(docs, "id long, text string, author string, work string")
     q = spark.createDataFrame([(1, "lord's"), (2, "LORD s"), (3, "?!"), (4, None)], "query_id long, query string")
-    got = {(r.query_id, r.id) for r in S.bm25_search(q, p).collect()}
+    got = {(r.query_id, r.id) for r in S.bm25_search(q, S.build_index(p)).collect()}
     assert got == {(1, 1), (2, 1), (2, 2), (2, 3)}
 
 
@@ -33,17 +34,39 @@ def test_fusion_keeps_the_order_of_signals_in_ties(spark):
     assert [r.id for r in tied.orderBy("rank").collect()] == [1, 2]
 
 
-def test_floor_exchanges_and_replaces():
+def floored(spark, out, ranked, writings, work, author, floor, window, work_cap=3, author_cap=6):
+    rows = [(1, i + 1, p, work[p], author[p], "writing" if p in writings else "commentary") for i, p in enumerate(ranked)]
+    placed = spark.createDataFrame([(1, p, i + 1) for i, p in enumerate(out)], "query_id long, id long, place int")
+    got = S.writing_floor(spark.createDataFrame(rows, "query_id long, rank int, id long, work_id long, author_id long, kind string"), placed, Scratch(spark), floor, window, work_cap, author_cap)
+    rows = got.orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1, len(out) + 1))
+    return [r.id for r in rows]
+
+
+def test_floor_exchanges_and_replaces(spark):
     work, author = {i: i for i in range(200)}, {i: i for i in range(200)}
     ranked = list(range(1, 11)) + [101, 102, 103]
     w = {101, 102, 103}
-    assert S.floor_page(ranked[:10], ranked, w, work, author, 2, 5) == [1, 2, 3, 101, 102, 6, 7, 8, 9, 10]
-    whole = S.floor_page(ranked, ranked, w, work, author, 2, 5)
+    assert floored(spark, ranked[:10], ranked, w, work, author, 2, 5) == [1, 2, 3, 101, 102, 6, 7, 8, 9, 10]
+    whole = floored(spark, ranked, ranked, w, work, author, 2, 5)
     assert sorted(whole) == sorted(ranked) and whole[:5] == [1, 2, 3, 101, 102]
-    assert S.floor_page([101, 102, 1], ranked, w, work, author, 2, 3) == [101, 102, 1]
-    assert S.floor_page([1, 2], [1, 2], w, work, author, 2, 5) == [1, 2]
+    assert floored(spark, [101, 102, 1], ranked, w, work, author, 2, 3) == [101, 102, 1]
+    assert floored(spark, [1, 2], [1, 2], w, work, author, 2, 5) == [1, 2]
     capped = dict(author) | {101: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
-    assert 101 not in S.floor_page([1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6, 7, 101, 102], {101, 102}, work, capped, 1, 7)
+    assert 101 not in floored(spark, [1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6, 7, 101, 102], {101, 102}, work, capped, 1, 7)
+
+
+def test_floor_by_page_caps_and_limits(spark):
+    work, author = {p: p for p in range(200)}, {p: p for p in range(200)}
+    ranked = list(range(1, 101))
+    out = floored(spark, ranked, ranked, {40, 61, 83}, work, author, 2, 15)
+    assert [p for p in out[:15] if p in {40, 61}] == [40, 61] and out[:13] == ranked[:13] and sorted(out) == ranked
+    assert (out[39], out[60]) == (14, 15)
+    one = dict(work) | {101: 7, 102: 7, 103: 7}
+    capped = floored(spark, [1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 101, 102, 103], {101, 102, 103}, one, author, 2, 15, 1, 10)
+    assert len({101, 102, 103} & set(capped)) == 1 and len(capped) == 5
+    pool = list(range(1, 11)) + [101, 102, 103]
+    assert all(len(set(floored(spark, pool[:n], pool, {101, 102, 103}, work, author, 2, 15))) == n for n in (1, 2, 3))
 
 
 def test_caps_equal_the_greedy_list(spark):
@@ -67,12 +90,29 @@ def test_vectors_of_odd_width_and_zero_queries(spark):
     assert {(r.query_id, r.id) for r in S.vector_topk(q, v, 2, 1).collect()} == {(2, 1)}
 
 
+def windows(spark, sizes, at, budget, most, mode):
+    p = spark.createDataFrame([(1, i, x) for i, x in enumerate(sizes)], "work_id long, id long, size long")
+    rows = R.read_windows(p, spark.createDataFrame([(9, 1, at)], "anchor_id long, work_id long, at int"), mode, budget, most).collect()
+    return [(r.lo, r.hi) for r in rows]
+
+
 def test_windows_hold_their_anchor(spark):
-    assert R.grow([100] * 10, 4, 300, 60, "both") == (3, 5)
-    assert R.grow([100] * 10, 4, 300, 60, "forward") == (4, 6)
-    assert R.grow([100] * 10, 4, 300, 60, "backward") == (2, 4)
-    assert R.grow([999], 7, 10, 60, "both") == (0, 0)
-    assert R.grow([1] * 9, -3, 99, 4, "both") == (0, 3)
+    assert windows(spark, [100] * 10, 4, 300, 60, "both") == [(3, 5)]
+    assert windows(spark, [100] * 10, 4, 300, 60, "forward") == [(4, 6)]
+    assert windows(spark, [100] * 10, 4, 300, 60, "backward") == [(2, 4)]
+    assert windows(spark, [999], 7, 10, 60, "both") == [(0, 0)]
+    assert windows(spark, [1] * 9, -3, 99, 4, "both") == [(0, 3)]
+    assert windows(spark, [100] * 10, 0, 350, 60, "forward") == [(0, 2)]
+    assert windows(spark, [1] * 1000, 500, 10_000_000, 60, "both") == [(471, 530)]
+    assert windows(spark, [10] * 5, 99, 1000, 60, "forward") == [(4, 4)] and windows(spark, [10] * 5, -3, 1000, 60, "backward") == [(0, 0)]
+    assert windows(spark, [], 0, 1000, 60, "both") == []
+
+
+def test_a_side_that_ends_leaves_the_rest_to_the_other(spark):
+    assert windows(spark, [5, 5, 5, 5, 900, 5], 3, 30, 60, "both") == [(0, 3)]
+    assert windows(spark, [5, 900, 5, 5, 5, 5], 2, 18, 60, "both") == [(2, 4)]
+    assert windows(spark, [5, 0, 900, 0, 5], 2, 900, 60, "both") == [(1, 3)]
+    assert windows(spark, [5, 5, 900, 5], 2, 100, 60, "both") == [(2, 2)]
 
 
 def test_pages_tile_every_work(spark):
