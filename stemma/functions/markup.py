@@ -19,9 +19,11 @@ class Node:
         return kid
 
     def walk(self) -> Iterator[Node]:
-        for kid in list(self.kids):
-            yield kid
-            yield from kid.walk()
+        todo = self.kids[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.kids[::-1]
 
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
@@ -50,10 +52,18 @@ class Node:
         return "".join(k.outer() for k in self.kids)
 
     def outer(self) -> str:
-        if self.text is not None:
-            return html.escape(self.text, quote=False)
-        attrs = "".join(f' {k}="{html.escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{self.inner()}</{self.tag}>"
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+            elif node.text is not None:
+                out.append(html.escape(node.text, quote=False))
+            else:
+                attrs = "".join(f' {k}="{html.escape(v or "")}"' for k, v in node.attrs.items())
+                out.append(f"<{node.tag}{attrs}/>" if node.tag in VOID else f"<{node.tag}{attrs}>")
+                todo += [] if node.tag in VOID else [f"</{node.tag}>", *node.kids[::-1]]
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -93,7 +103,7 @@ def guarded(f: Callable) -> Callable:
     def run(x):
         try:
             return f(x)
-        except (ValueError, AttributeError, RecursionError, AssertionError, IndexError):
+        except (ValueError, AttributeError, AssertionError, IndexError):
             return None
 
     return run

@@ -61,7 +61,7 @@ PHRASES = "(SELECT item_id AS query_id, regexp_replace(regexp_extract(text, '^[^
 
 @query("text_passages", f"""WITH tok AS (SELECT id, col, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM (SELECT id, 'text' AS col, {TERMS.format('text')} AS terms FROM text_passages UNION ALL SELECT id, 'author', {TERMS.format('author')} FROM text_passages UNION ALL SELECT id, 'work', {TERMS.format('work')} FROM text_passages)),
 dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id), tot AS (SELECT count(*) AS big, avg(dl) AS avgdl FROM dl),
-ph AS (SELECT DISTINCT query_id, {TERMS.format('token')} AS ts FROM (SELECT query_id, unnest(regexp_extract_all(query, '[\\pL\pN_'']+')) AS token FROM {PHRASES})),
+ph AS (SELECT DISTINCT query_id, {TERMS.format('token')} AS ts FROM (SELECT query_id, unnest(regexp_extract_all(query, '[\\pL\\pN_'']+')) AS token FROM {PHRASES})),
 one AS (SELECT query_id, array_to_string(ts, ' ') AS phrase, len(ts) AS n, ts[1] AS t1, ts[2] AS t2 FROM ph WHERE len(ts) BETWEEN 1 AND 2),
 tf AS (SELECT query_id, phrase, a.id, count(*) AS tf FROM one JOIN tok a ON a.term = t1 LEFT JOIN tok b ON b.id = a.id AND b.col = a.col AND b.pos = a.pos + 1 AND b.term = t2 WHERE n = 1 OR b.id IS NOT NULL GROUP BY ALL),
 df AS (SELECT query_id, phrase, count(*) AS df FROM tf GROUP BY ALL),

@@ -168,6 +168,25 @@ def test_chunks_of_a_page(spark):
     assert [(r.page_id, r.header, r.text) for r in T.chunk_pages(df).orderBy("page_id", "seq").collect()] == [(1, "Book", "One."), (1, "Part", "Two x."), (3, "T", "Body")]
 
 
+def test_chunks_without_a_heading_of_their_own(spark):
+    """No h1, or a first one that is none: the body, through rules, named by the title; what is inherited from pub; quotes; long texts."""
+    pages = [
+        (1, "<title>T</title><body><p>one</p><hr><p>two</p></body>"),
+        (2, "<title>T</title><body><h1>Page not found</h1><p>one</p><div><h1>Later</h1><p>two</p></div></body>"),
+        (3, "<body><h1>B</h1><div class='pub'><div><p>no</p></div></div><p class='pub'>own class</p><section><p>not reached</p></section></body>"),
+        (4, "<h1>B</h1><blockquote><h3>H</h3><p>in</p></blockquote><blockquote><p>a</p>\n<p>b</p></blockquote><p>see <sup class='fn'>9</sup>Matthew 5:3 now</p>"),
+        (5, "<h1>B</h1><p>" + "A sentence that is long enough here. " * 60 + "</p>"),
+        (6, "<div>" * 3000 + "<h1>Deep</h1><p>text</p>" + "</div>" * 3000),
+        (7, None),
+    ]
+    got = {}
+    for x in T.chunk_pages(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id", "seq").collect():
+        got.setdefault(x.page_id, []).append((x.header, x.text))
+    assert got[1] == [("T", "one"), ("T", "two")] and got[2] == [("T", "one"), ("T", "two")] and got[3] == [("B", "own class")]
+    assert got[4] == [("H", "in"), ("H", "a b"), ("H", "see now")] and got[6] == [("Deep", "text")] and 7 not in got
+    assert len(got[5]) == 2 and all(len(t) <= 1500 for _, t in got[5])
+
+
 def test_sections(spark):
     rows = [(1, i, h, t) for i, (h, t) in enumerate([("A", "0"), ("Start here", "1"), ("x", "begin 2"), ("x", "3"), ("x", "stop 4"), ("The End", "5"), ("The End", "6")])]
     c = spark.createDataFrame(rows, "page_id long, seq int, header string, text string")
