@@ -31,7 +31,7 @@ def prepare_texts(passages: DataFrame, most: int = 120_000, markup: bool = True)
 
 def pack_batches(texts: DataFrame, shards: int | None = None, most_tokens: int = 100_000, most_rows: int = 128) -> DataFrame:
     """(id, shard, batch, tokens): rows by id in batches of at most ``most_tokens`` and ``most_rows``, a blank one using a place but no
-    batch, one row at least; every shard (a hash of id) counts its own batches. Only ids and estimates travel. Without ``shards`` there are so many that one has
+    batch, one row at least; every shard (id modulo their number) counts its own batches. Only ids and estimates travel. Without ``shards`` there are so many that one has
     about ``SHARD_ROWS`` rows at every size."""
     if shards is None:
         shards = max(1, -(-texts.count() // SHARD_ROWS))
@@ -50,7 +50,7 @@ def pack_batches(texts: DataFrame, shards: int | None = None, most_tokens: int =
                 used += tokens
         return g.assign(batch=pd.array(out, "Int64"))[["id", "shard", "batch", "tokens"]].dropna()
 
-    rows = texts.select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "tokens", (F.col("clean") == "").alias("blank"))
+    rows = texts.select("id", F.pmod("id", F.lit(shards).cast("long")).alias("shard"), "tokens", (F.col("clean") == "").alias("blank"))
     return rows.groupBy("shard").applyInPandas(run, "id long, shard long, batch long, tokens long")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stemma.operators import catalog as C
 from stemma.operators import search as S
-from stemma.plans.registry import query
+from stemma.plans.registry import alias, query
 from stemma.session import Scratch
 from stemma.sources.bindings import bind
 
@@ -92,30 +92,22 @@ def build_index(spark, d):
 UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
 
 
-@query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id, round(list_dot_product(q.u, v.u), 9) AS score FROM (SELECT vec_id, {UNIT} AS u FROM embeddings WHERE vec_id < 10) q, (SELECT vec_id, {UNIT} AS u FROM embeddings) v) WHERE rank <= 100")
-def vector_topk(spark, d):
-    v = bind(spark, d, "vectors")
-    return S.vector_topk(v.where("passage_id < 10").select(F.col("passage_id").alias("query_id"), "embedding"), v, DIM).withColumn("score", F.round("score", 9))
-
-
-@query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id FROM (SELECT vec_id, label, {UNIT} AS u FROM embeddings WHERE vec_id < 10) q JOIN (SELECT vec_id, label, {UNIT} AS u FROM embeddings) v USING (label)) WHERE rank <= 20")
-def vector_topk_in_author(spark, d):
-    v = bind(spark, d, "vectors").withColumn("author", F.col("label").cast("string"))
-    return S.vector_topk(v.where("passage_id < 10").select(F.col("passage_id").alias("query_id"), "embedding", "author"), v, DIM, 20).drop("score")
-
-
 @query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id, round(list_dot_product(q.u, v.u), 9) AS score FROM (SELECT vec_id, {UNIT} AS u FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, {UNIT} AS u FROM embeddings) v) WHERE rank <= 100")
-def vector_topk_whole(spark, d):
+def vector_topk(spark, d):
     v = bind(spark, d, "vectors")
     return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding"), v, DIM).withColumn("score", F.round("score", 9))
 
 
 @query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id FROM (SELECT vec_id, label, {UNIT} AS u FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT vec_id, label, {UNIT} AS u FROM embeddings) v USING (label)) WHERE rank <= 20")
-def vector_topk_in_author_whole(spark, d):
+def vector_topk_in_author(spark, d):
     v = bind(spark, d, "vectors").withColumn("author", F.col("label").cast("string"))
     return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding", "author"), v, DIM, 20).drop("score")
 
 
+alias("vector_topk_whole", "vector_topk")
+alias("vector_topk_in_author_whole", "vector_topk_in_author")
+
+
 @query("", f"SELECT vec_id AS passage_id, round(list_sum(list_transform({UNIT}, lambda x: abs(x))), 6) AS size FROM embeddings")
 def load_vectors(spark, d):
     unit = S.load_vectors(bind(spark, d, "vectors"), DIM)
@@ -170,19 +162,19 @@ def second_page(spark, d):
     return S.page(spread(spark, d), 1).select("query_id", "place", "id")
 
 
-@query("search_queries text_passages", f"WITH {FUSED}{SPREAD} SELECT query_id, id, regexp_replace(CASE WHEN length(text) <= 720 THEN text ELSE regexp_replace(left(text, 720), '\\s\\S*$', '') || '...' END, '(?i)(' || array_to_string(list_filter(list_distinct(regexp_split_to_array(lower(trim(query)), '\\s+')), lambda x: length(x) >= 3), '|') || ')', '<mark>\\1</mark>', 'g') AS marked FROM spread JOIN search_queries USING (query_id) WHERE place <= 15 AND NOT regexp_matches(query, '[^\\w\\s]') AND len(list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda x: length(x) >= 3)) > 0")
-def highlight(spark, d):
-    first = S.page(spread(spark, d)).withColumn("text", S.snippet(F.col("text"), 720, "..."))
-    plain = queries(spark, d).where(r"not query rlike '[^\\w\\s]'").where(r"size(filter(split(lower(trim(query)), '\\s+'), x -> length(x) >= 3)) > 0")
-    return S.highlight(first, plain).select("query_id", "id", "marked")
+WORDS = "list_filter(list_distinct(regexp_split_to_array(lower(trim(query)), '\\s+')), lambda x: length(x) >= 3)"
 
 
-@query()
-def highlight_whole(spark, d):
+@query("search_queries text_passages", f"""WITH {FUSED}{SPREAD}, cut AS (SELECT query_id, id, query, CASE WHEN length(text) <= 720 THEN text ELSE regexp_replace(left(text, 720), '\\s\\S*$', '') || '...' END AS t FROM spread JOIN search_queries USING (query_id) WHERE place <= 15)
+SELECT query_id, id, CASE WHEN len({WORDS}) = 0 THEN t ELSE regexp_replace(t, '(?i)(' || array_to_string(list_transform({WORDS}, lambda x: regexp_escape(x)), '|') || ')', '<mark>\\1</mark>', 'g') END AS marked FROM cut""")
+def highlight(spark, d):
     first = S.page(spread(spark, d)).withColumn("text", S.snippet(F.col("text"), 720, "..."))
     return S.highlight(first, queries(spark, d)).select("query_id", "id", "marked")
 
 
+alias("highlight_whole", "highlight")
+
+
 #: The floor of two writings on a page of 15, over fused and spread: two rounds, then the exchange of places.
 FLOOR = """, fr AS (SELECT f.query_id, f.rank, f.id, p.work_id, p.author_id, p.kind = 'writing' AS wr, s.place FROM fused f JOIN text_passages p USING (id) LEFT JOIN (SELECT query_id, id, place FROM spread) s USING (query_id, id)),
 fc AS (SELECT *, coalesce(place <= 15, false) AS pg, 2 - count(*) FILTER (place <= 15 AND wr) OVER (PARTITION BY query_id) AS lacks, count(place) OVER (PARTITION BY query_id, work_id) AS nw, count(place) OVER (PARTITION BY query_id, author_id) AS na FROM fr),

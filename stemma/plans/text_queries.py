@@ -8,7 +8,7 @@ from stemma.functions import text as T
 from stemma.operators import embed as M
 from stemma.operators import etl as E
 from stemma.operators.reader import reorder
-from stemma.plans.registry import query
+from stemma.plans.registry import alias, query
 from stemma.sources.bindings import bind
 
 CITED = "CASE doc_id % 3 WHEN 0 THEN 'As in Matthew 8:22, and 1 Corinthians 13:4-7. ' || text WHEN 1 THEN text || ' Song of  Solomon 2:1' ELSE text END"
@@ -26,24 +26,18 @@ def cited(spark, d):
     return docs(spark, d).select("doc_id", F.expr(CITED).alias("text"))
 
 
-TIDY = "trim(regexp_replace(regexp_replace(regexp_replace({}, '[ \\t\u00a0]+', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '\"\\s+', '\" ', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
-
-
-@query("", f"SELECT doc_id, {TIDY.format('regexp_replace(regexp_replace(' + CITED + chr(44) + ' ' + chr(39) + '(?i)\\b(?:Matthew|1 Corinthians|Song\\s+of\\s+Solomon)\\s+\\d+:\\d+(?:-\\d+)?\\.?' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + 'of\\s*,' + chr(39) + ', ' + chr(39) + 'of,' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS text FROM documents WHERE text NOT LIKE '%of,%'")
-def strip_citations(spark, d):
-    return cited(spark, d).where("not contains(text, 'of,')").select("doc_id", T.strip_citations(F.col("text")).alias("text"))
-
-
-#: As strip_citations, over all rows.
 WHOLE = f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({CITED}, '(?i)\\b(?:Matthew|1 Corinthians|Song\\s+of\\s+Solomon)\\s+\\d+:\\d+(?:-\\d+)?\\.?', ' ', 'g'),
   '[ \\t\u00a0]+', ' ', 'g'), '\\bof\\s*,', ',', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '"\\s+', '" ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents"""
 
 
 @query("", WHOLE)
-def strip_citations_whole(spark, d):
+def strip_citations(spark, d):
     return cited(spark, d).select("doc_id", T.strip_citations(F.col("text")).alias("text"))
 
 
+alias("strip_citations_whole", "strip_citations")
+
+
 @query()
 def strip_html(spark, d):
     return T.strip_html(pages(spark, d), "html").select("page_id", "plain")
@@ -64,7 +58,13 @@ def paragraphs(spark, d):
     return T.to_paragraphs(pages(spark, d), "html", "page_id")
 
 
-@query()
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\\s+([A-Z\"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query("", f"""WITH RECURSIVE s AS (SELECT doc_id AS id, text, {SENTENCES.format('text')} AS ss FROM documents),
+walk AS (SELECT id, 1 AS i, 0 AS part, ss[1] AS buf FROM s WHERE length(text) > 500 AND len(ss) > 0
+  UNION ALL SELECT w.id, i + 1, CASE WHEN length(buf) + 1 + length(ss[i + 1]) <= 500 THEN part ELSE part + 1 END, CASE WHEN length(buf) + 1 + length(ss[i + 1]) <= 500 THEN buf || ' ' || ss[i + 1] ELSE ss[i + 1] END FROM walk w JOIN s ON s.id = w.id WHERE i < len(ss))
+SELECT id, 'h' AS header, CAST(part AS INTEGER) AS part, arg_max(buf, i) AS text FROM walk GROUP BY id, part UNION ALL SELECT id, 'h', 0, text FROM s WHERE length(text) <= 500""")
 def split_long(spark, d):
     return T.split_long(docs(spark, d).select(F.col("doc_id").alias("id"), F.lit("h").alias("header"), "text"), 500)
 
@@ -74,6 +74,28 @@ def chunk_pages(spark, d):
     return T.chunk_pages(pages(spark, d))
 
 
+def lines(spark, d):
+    """Lines of the documents as paragraphs under headers."""
+    split = docs(spark, d).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    return split.withColumn("header", F.expr("concat('Part ', cast(page_id + seq as bigint) div 3 % 5)")).select("page_id", "seq", "header", "text")
+
+
+LINES = "l AS (SELECT doc_id AS page_id, CAST(i AS INTEGER) AS seq, 'Part ' || ((doc_id + i) // 3 % 5) AS header, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents))"
+SEEN = "coalesce(max(CASE WHEN contains(lower({col}), '{mark}') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY seq), 0)"
+
+
+@query("", f"""WITH {LINES}, a AS (SELECT * FROM l QUALIFY {SEEN.format(col='header', mark='part 2')} = 1), b AS (SELECT * FROM a QUALIFY {SEEN.format(col='header', mark='part 1')} = 0),
+c AS (SELECT * FROM b QUALIFY {SEEN.format(col='text', mark='an')} = 1) SELECT * FROM c QUALIFY {SEEN.format(col='text', mark='qu')} = 0""")
+def section_between_lines(spark, d):
+    return T.section_between(lines(spark, d), "PART 2", "Part 1", "an", "qu")
+
+
+@query("", f"""WITH {LINES}, a AS (SELECT * FROM l QUALIFY {SEEN.format(col='header', mark='part 3')} = 1), b AS (SELECT * FROM l QUALIFY {SEEN.format(col='text', mark='er')} = 0)
+SELECT *, CAST(0 AS INTEGER) AS spec_no FROM a UNION ALL SELECT *, CAST(1 AS INTEGER) FROM b""")
+def compose_sections_lines(spark, d):
+    return T.compose_sections(lines(spark, d), [{"start": "part 3"}, {"end_para": "er"}])
+
+
 @query()
 def section_between(spark, d):
     return T.section_between(T.chunk_pages(pages(spark, d)), start_para="the", end_para="that")
@@ -99,14 +121,12 @@ def citations(spark, d):
 TRUNC = r"regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(coalesce({}, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '(parparpar|par)+$', '')), '[-–— \t0-9]+$', '')"
 
 
-@query("", f"SELECT doc_id, length(v) >= 50 AND NOT regexp_matches(v, '[.!?\"'')]$') AS truncated FROM (SELECT doc_id, {TRUNC.format('left(text, 300)')} AS v FROM documents)")
+@query("", f"SELECT doc_id, length(v) >= 50 AND NOT regexp_matches(v, '[.!?\"'')]$') AS truncated FROM (SELECT doc_id, {TRUNC.format('text')} AS v FROM documents)")
 def flag_truncated(spark, d):
-    return T.flag_truncated(docs(spark, d).select("doc_id", F.substring("text", 1, 300).alias("text"))).select("doc_id", "truncated")
+    return T.flag_truncated(docs(spark, d).select("doc_id", "text")).select("doc_id", "truncated")
 
 
-@query("", f"SELECT doc_id, length(v) >= 50 AND NOT regexp_matches(v, '[.!?\"'')]$') AS truncated FROM (SELECT doc_id, {TRUNC.format('text')} AS v FROM documents)")
-def flag_truncated_whole(spark, d):
-    return T.flag_truncated(docs(spark, d).select("doc_id", "text")).select("doc_id", "truncated")
+alias("flag_truncated_whole", "flag_truncated")
 
 
 @query("", r"SELECT doc_id, left(regexp_replace(trim(regexp_replace(CASE doc_id % 3 WHEN 0 THEN 'IV. ' WHEN 1 THEN '12. ' ELSE '' END || text, '\s+', ' ', 'g')), '^(?:[IVXivx]+\.|\d+\.|§\d+\.?)\s+', ''), 200) AS title FROM documents")
@@ -114,9 +134,14 @@ def clean_titles(spark, d):
     return E.clean_titles(docs(spark, d).select("doc_id", F.expr("concat(case doc_id % 3 when 0 then 'IV. ' when 1 then '12. ' else '' end, text)").alias("title")), "title")
 
 
-@query()
+OUTLINE = r"""SELECT page_id, CAST(i AS INTEGER) AS seq, CASE WHEN length(t) > 80 THEN regexp_replace(left(t, 77), '\s+\S*$', '') || '…' ELSE t END AS heading
+FROM (SELECT page_id, i, regexp_replace(trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '\.\s*[-–—]\s*', '. ', 'g') AS t
+FROM (SELECT page_id, unnest(hs) AS h, unnest(range(0, len(hs))) AS i FROM (SELECT page_id, regexp_extract_all(replace(replace(html, '<p>', '<h2>'), '</p>', '</h2>'), '(?is)<h[23]\b[^>]*>(.*?)</h[23]\s*>', 1) AS hs FROM pages) WHERE len(hs) >= 2))"""
+
+
+@query("", OUTLINE)
 def inner_outline(spark, d):
-    h = F.regexp_replace(F.regexp_replace("html", "<b>", "<h2>"), "<br>", "</h2>")
+    h = F.expr("replace(replace(html, '<p>', '<h2>'), '</p>', '</h2>')")
     return T.inner_outline(pages(spark, d).select("page_id", h.alias("html")), "page_id", "html")
 
 
@@ -177,34 +202,36 @@ def insert_missing(spark, d):
     return E.insert_missing(works, r.where("work_id % 2 = 1"), new)[1]
 
 
-@query("text_passages", "SELECT id FROM text_passages WHERE id NOT IN (SELECT vec_id FROM embeddings) ORDER BY id LIMIT 100")
-def pending_passages(spark, d):
-    return M.pending(bind(spark, d, "text_passages").select("id", "text"), bind(spark, d, "vectors"), 100).select("id")
-
-
 @query("text_passages", "SELECT id FROM text_passages WHERE id NOT IN (SELECT vec_id FROM embeddings)")
-def pending_passages_whole(spark, d):
+def pending_passages(spark, d):
     return M.pending(bind(spark, d, "text_passages").select("id", "text"), bind(spark, d, "vectors")).select("id")
 
 
-@query("", r"SELECT doc_id AS id, CAST(length(t) AS BIGINT) AS n, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens FROM (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 1200), '^\s+|\s+$', '', 'g') AS t FROM documents)")
-def prepare_texts(spark, d):
-    prepared = M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 1200, markup=False)
-    return prepared.select("id", F.length("clean").cast("long").alias("n"), "tokens")
+alias("pending_passages_whole", "pending_passages")
 
 
 @query("", r"SELECT doc_id AS id, CAST(length(t) AS BIGINT) AS n, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens FROM (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 120000), '^\s+|\s+$', '', 'g') AS t FROM documents)")
-def prepare_texts_whole(spark, d):
+def prepare_texts(spark, d):
     prepared = M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), markup=False)
     return prepared.select("id", F.length("clean").cast("long").alias("n"), "tokens")
 
 
-@query()
+alias("prepare_texts_whole", "prepare_texts")
+
+
+@query("", r"""WITH RECURSIVE t AS (SELECT doc_id AS id, regexp_replace(left(coalesce(text, ''), 120000), '^\s+|\s+$', '', 'g') AS t FROM documents),
+n AS (SELECT greatest(1, ceil(count(*) / 4096.0)) :: BIGINT AS shards FROM t),
+k AS (SELECT id, id % shards AS shard, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens, t = '' AS blank, row_number() OVER (PARTITION BY id % shards ORDER BY id) AS no FROM t, n),
+walk AS (SELECT id, shard, no, tokens, blank, CAST(0 AS BIGINT) AS batch, 1 AS win, CASE WHEN blank THEN 0 ELSE tokens END AS used, CASE WHEN blank THEN 0 ELSE 1 END AS held FROM k WHERE no = 1
+  UNION ALL SELECT k.id, k.shard, k.no, k.tokens, k.blank, CASE WHEN win = 128 OR held > 0 AND used + k.tokens > 10000 THEN batch + CAST(held > 0 AS BIGINT) ELSE batch END, CASE WHEN win = 128 OR held > 0 AND used + k.tokens > 10000 THEN 1 ELSE win + 1 END,
+    CASE WHEN win = 128 OR held > 0 AND used + k.tokens > 10000 THEN 0 ELSE used END + CASE WHEN k.blank THEN 0 ELSE k.tokens END, CASE WHEN win = 128 OR held > 0 AND used + k.tokens > 10000 THEN 0 ELSE held END + CASE WHEN k.blank THEN 0 ELSE 1 END
+  FROM walk w JOIN k ON k.shard = w.shard AND k.no = w.no + 1)
+SELECT id, shard, batch, tokens FROM walk WHERE NOT blank""")
 def pack_batches(spark, d):
-    return M.pack_batches(M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text")), most_tokens=10_000)
+    return M.pack_batches(M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), markup=False), most_tokens=10_000)
 
 
-@query()
+@query("", r"SELECT vec_id AS passage_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings UNION ALL SELECT doc_id, 64 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND regexp_matches(text, '\S')")
 def embed_pending(spark, d):
     texts = M.prepare_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
     return M.embed(texts, M.hashing_encoder(), bind(spark, d, "vectors")).select("passage_id", F.size("embedding").alias("dim"))
