@@ -86,6 +86,19 @@ def migration_summary(classified: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("gid") == 3, "category").when(F.col("gid") == 5, "tradition").otherwise("era").alias("field"), F.coalesce("category", "tradition", "era").alias("value"), "n")
 
 
+def import_summary(passages: DataFrame, verse_index: DataFrame) -> DataFrame:
+    """One row: headers scanned, verse index rows made of them, and the distinct books among these."""
+    scanned = passages.agg(F.count("header").alias("headers_scanned"))
+    return scanned.crossJoin(F.broadcast(verse_index.agg(F.count("*").alias("index_rows"), F.count_distinct("book").alias("distinct_books"))))  # one row each
+
+
+def author_totals(authors: DataFrame, works: DataFrame, passages: DataFrame) -> DataFrame:
+    """(name, works, passages, chars) imported for every author."""
+    per_work = passages.groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("p"), F.sum(F.length("text")).alias("c"))
+    per_author = works.join(per_work, "id", "left").groupBy("author_id").agg(F.count("*").alias("works"), F.coalesce(F.sum("p"), F.lit(0)).alias("passages"), F.coalesce(F.sum("c"), F.lit(0)).alias("chars"))
+    return authors.select(F.col("id").alias("author_id"), "name").join(per_author, "author_id", "left").fillna(0, ["works", "passages", "chars"]).select("author_id", "name", "works", "passages", "chars")
+
+
 def build_verse_index(passages: DataFrame) -> DataFrame:
     """(passage_id, book, chapter, verse_start, verse_end) of the passages whose header is a verse reference."""
     part = lambda n: F.regexp_extract("header", VERSE_HEADER, n)

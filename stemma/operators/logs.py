@@ -25,12 +25,22 @@ def read_search_log(df: DataFrame) -> DataFrame:
     return read_log(df, "search", SEARCH_SCHEMA)
 
 
-def call_stats(log: DataFrame, keys: tuple[str, ...] = ("call_type",), exact: bool = True) -> DataFrame:
-    """Calls, error rate and latency percentiles; exact=False uses a sketch of bounded size."""
+def call_stats(log: DataFrame, keys: tuple[str, ...] = ("call_type",), exact: bool = False) -> DataFrame:
+    """Calls, error rate and latency percentiles, from a sketch of bounded size unless ``exact``."""
     percentile = F.percentile if exact else F.percentile_approx
     return log.groupBy(*keys).agg(F.count("*").alias("calls"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 6).alias("error_rate"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"), *(F.round(percentile("latency_ms", F.lit(p / 100)), 6).alias(f"p{p}_ms") for p in (50, 95)))
 
 
+def search_stats(log: DataFrame, exact: bool = False) -> DataFrame:
+    """Searches by path: how many, mean results, latency percentiles and the mean of each phase; a phase that a path skips is null.
+
+    Percentiles are from a sketch of bounded size unless ``exact``.
+    """
+    percentile = F.percentile if exact else F.percentile_approx
+    means = [F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("results", "total_ms", "embed_ms", "parse_ms")]
+    return log.groupBy("path").agg(F.count("*").alias("searches"), *means, *(F.round(percentile("total_ms", F.lit(p / 100)), 6).alias(f"p{p}_ms") for p in (50, 95)))
+
+
 def cost_of(log: DataFrame, costs: dict[str, float]) -> DataFrame:
     table = log.sparkSession.createDataFrame(list(costs.items()), "call_type string, cost double")
     return log.join(F.broadcast(table), "call_type", "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,6 +163,26 @@ def diversify(ranked: DataFrame, work_cap: int = 3, author_cap: int = 6, limit:
     return top_k(b, ["query_id"], [F.col("rank")], limit, "place").drop("nw", "na")
 
 
+def diversify_mixed(ranked: DataFrame, work_cap: int = 3, author_cap: int = 6, limit: int = 100) -> DataFrame:
+    """As diversify, where a work can have several authors: (query_id, place, id).
+
+    A row that a full work turns away still leaves its author's place free, so the list is gone down in order. A query's rows are
+    a bounded pool of candidates, so it fits one group however large the corpus is.
+    """
+
+    def run(pool: pd.DataFrame) -> pd.DataFrame:
+        pool, works, authors, taken = pool.sort_values("rank"), Counter(), Counter(), []
+        for at, (work, author) in enumerate(zip(pool.work_id, pool.author_id)):
+            if len(taken) < limit and works[work] < work_cap and authors[author] < author_cap:
+                works[work] += 1
+                authors[author] += 1
+                taken.append(at)
+        kept = pool.iloc[taken]
+        return pd.DataFrame({"query_id": kept.query_id, "place": range(1, len(kept) + 1), "id": kept.id})
+
+    return ranked.select("query_id", "rank", "id", "work_id", "author_id").groupBy("query_id").applyInPandas(run, "query_id long, place int, id long")
+
+
 def writing_floor(ranked: DataFrame, diversified: DataFrame, scratch: Scratch, floor: int = 2, window: int = 15, work_cap: int = 3, author_cap: int = 6) -> DataFrame:
     """(query_id, place, id): the diversified rows with ``floor`` writings on the first page, if the ranking (query_id, rank, id, work_id, author_id, kind) has them.
 

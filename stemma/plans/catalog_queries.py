@@ -236,6 +236,17 @@ def migration_summary(spark, d):
     return E.migration_summary(classified(spark, d))
 
 
+@query("verse_passages", "SELECT count(header) AS headers_scanned, count(*) AS index_rows, count(DISTINCT book) AS distinct_books FROM (SELECT header, book FROM verse_passages)")
+def import_summary(spark, d):
+    p = bind(spark, d, "verse_passages").select("id", "header")
+    return E.import_summary(p, E.build_verse_index(p))
+
+
+@query("authors works passages", "SELECT a.id AS author_id, name, count(DISTINCT w.id) AS works, count(p.id) AS passages, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM authors a LEFT JOIN works w ON w.author_id = a.id LEFT JOIN passages p ON p.work_id = w.id GROUP BY a.id, name")
+def author_totals(spark, d):
+    return E.author_totals(*b1(spark, d))
+
+
 @query("authors works passages", "WITH g AS (SELECT id FROM authors WHERE name IN (SELECT name FROM authors WHERE id % 11 = 1)), gw AS (SELECT id FROM works WHERE author_id IN (SELECT id FROM g)), gp AS (SELECT id FROM passages WHERE work_id IN (SELECT id FROM gw)) SELECT 'authors' AS \"table\", count(*) AS removed FROM g UNION ALL SELECT 'works', count(*) FROM gw UNION ALL SELECT 'passages', count(*) FROM gp UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id * 1000 + 1 IN (SELECT id FROM gp) UNION ALL SELECT 'verse_index', count(*) FROM (SELECT id FROM passages) p WHERE id IN (SELECT id FROM gp)")
 def prune_authors(spark, d):
     a, w, p = b1(spark, d)

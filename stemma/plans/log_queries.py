@@ -14,12 +14,22 @@ RATE_LIMITS = {"search": 0, "reader": 0, "default": 1, "health": 1}
 
 @query("logs", "SELECT call_type, count(*) AS calls, round(count(*) FILTER (NOT ok) / count(*), 6) AS error_rate, round(avg(latency_ms), 6) AS avg_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM logs GROUP BY call_type")
 def call_stats(spark, d):
-    return L.call_stats(bind(spark, d, "logs"))
+    return L.call_stats(bind(spark, d, "logs"), exact=True)
 
 
 @query("logs", "SELECT endpoint, count(*) AS calls, round(count(*) FILTER (NOT ok) / count(*), 6) AS error_rate, round(avg(latency_ms), 6) AS avg_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM logs GROUP BY endpoint")
 def search_stats(spark, d):
-    return L.call_stats(bind(spark, d, "logs"), ("endpoint",))
+    return L.call_stats(bind(spark, d, "logs"), ("endpoint",), exact=True)
+
+
+PATHS = "CASE event_id % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'reference' WHEN 2 THEN 'author_only' ELSE 'lexical' END"
+
+
+@query("logs", f"""SELECT path, count(*) AS searches, round(avg(results), 6) AS avg_results, round(avg(total), 6) AS avg_total_ms, round(avg(embed), 6) AS avg_embed_ms, round(avg(parse), 6) AS avg_parse_ms, round(quantile_cont(total, 0.5), 6) AS p50_ms, round(quantile_cont(total, 0.95), 6) AS p95_ms
+FROM (SELECT {PATHS} AS path, event_id % 30 AS results, latency_ms AS total, CASE WHEN event_id % 4 IN (0, 3) THEN latency_ms / 4 END AS embed, CASE WHEN event_id % 4 <> 1 THEN latency_ms / 8 END AS parse FROM logs) GROUP BY path""")
+def search_paths(spark, d):
+    timed = bind(spark, d, "logs").select(F.lit("search").alias("event"), F.expr(PATHS).alias("path"), F.expr("int(event_id % 30)").alias("results"), F.col("latency_ms").alias("total_ms"), F.expr("case when event_id % 4 in (0, 3) then latency_ms / 4 end").alias("embed_ms"), F.expr("case when event_id % 4 <> 1 then latency_ms / 8 end").alias("parse_ms"))
+    return L.search_stats(L.read_search_log(timed.select(F.to_json(F.struct("*")).alias("value"))), exact=True)
 
 
 @query("logs", f"SELECT month, call_type, spent, calls, round(sum(spent) OVER (PARTITION BY month), 8) AS month_spent, round(sum(spent) OVER (PARTITION BY month), 8) >= 1.0 AS exhausted FROM (SELECT date_trunc('month', ts)::TIMESTAMP AS month, call_type, round(sum({COST_SQL}::DOUBLE), 8) AS spent, count(*) AS calls FROM logs GROUP BY ALL)")

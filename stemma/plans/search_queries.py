@@ -146,6 +146,20 @@ def diversify(spark, d):
     return spread(spark, d).select("query_id", "place", "id")
 
 
+#: Authors that differ inside a work.
+SHARED = "p.id % 5"
+
+
+@query("search_queries text_passages", f"""WITH {FUSED}, r AS (SELECT query_id, f.id, p.work_id, {SHARED} AS author_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM fused f JOIN text_passages p USING (id)),
+go AS (SELECT query_id, n, [work_id] AS ws, [author_id] AS aus, true AS took, id FROM r WHERE n = 1
+  UNION ALL SELECT g.query_id, r.n, CASE WHEN fits THEN list_append(ws, r.work_id) ELSE ws END, CASE WHEN fits THEN list_append(aus, r.author_id) ELSE aus END, fits, r.id
+  FROM (SELECT go.*, r.n AS n2, len(list_filter(ws, lambda x: x = r.work_id)) < 3 AND len(list_filter(aus, lambda x: x = r.author_id)) < 6 AND len(ws) < 100 AS fits FROM go JOIN r ON r.query_id = go.query_id AND r.n = go.n + 1) g JOIN r ON r.query_id = g.query_id AND r.n = g.n2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n) AS INTEGER) AS place, id FROM go WHERE took""")
+def diversify_mixed(spark, d):
+    shared = bind(spark, d, "text_passages").select("id", "work_id", F.expr("id % 5").alias("author_id"))
+    return S.diversify_mixed(fused(spark, d).join(shared, "id"))
+
+
 @query("search_queries text_passages", f"WITH {FUSED}{SPREAD} SELECT query_id, coalesce(string_agg(DISTINCT tradition, ',' ORDER BY tradition), '') AS traditions, count(*) FILTER (kind = 'writing') AS n_writing, count(*) FILTER (kind = 'commentary') AS n_commentary FROM spread GROUP BY query_id")
 def facets(spark, d):
     return S.facets(spread(spark, d)).withColumn("traditions", F.array_join("traditions", ","))
