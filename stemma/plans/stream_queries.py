@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.operators.etl import build_verse_index
+from stemma.operators.search import build_index
 from stemma.plans.log_queries import COST_SQL, RATE_LIMITS
 from stemma.plans.registry import query
 from stemma.session import Scratch
@@ -52,10 +53,36 @@ def call_stats_stream(spark, d):
     return settled(jobs.call_stats_stream(live_logs(spark, d)), "append").drop("_batch")
 
 
+BUCKETS = 8
+
+
+def ingest(spark: SparkSession, d: str) -> tuple[str, int]:
+    """The verse passages as they arrive in three batches: two halves, of which the first has every third header wrong, and the
+    corrections of these. Gives the folder and the last batch."""
+    scratch = Scratch(spark)
+    rows = bind(spark, d, "verse_passages").select("id", "header")
+    wrong = F.expr("case when id % 3 = 0 then concat('Unread ', id) else header end")
+    arrivals = [rows.where("id % 2 = 0").select("id", F.lit(1).alias("version"), wrong.alias("header")), rows.where("id % 2 = 1").select("id", F.lit(1).alias("version"), "header"), rows.where("id % 6 = 0").select("id", F.lit(2).alias("version"), "header")]
+    derive = {
+        "verses": ("passage_id", build_verse_index),
+        "postings": ("id", lambda p: build_index(p, ("header",)).postings),
+        "pending": ("id", lambda p: p.select("id")),
+    }
+    source = spark.readStream.schema("id long, version int, header string").parquet(f"{scratch.root}/in/*")
+    for no, arrival in enumerate(arrivals):
+        arrival.write.parquet(f"{scratch.root}/in/{no}")
+        jobs.ingest_stream(source, f"{scratch.root}/out", derive, f"{scratch.root}/log", BUCKETS).awaitTermination()
+    return f"{scratch.root}/out", len(arrivals) - 1
+
+
 @query("verse_passages", "SELECT id AS passage_id, book, chapter, verse_start, coalesce(verse_end, -1) AS verse_end FROM verse_passages")
 def ingest_stream(spark, d):
-    scratch = Scratch(spark)
-    bind(spark, d, "verse_passages").select("id", F.lit(1).alias("version"), "header").write.parquet(f"{scratch.root}/in")
-    source = spark.readStream.schema("id long, version int, header string").parquet(f"{scratch.root}/in")
-    jobs.ingest_stream(source, f"{scratch.root}/out", {"verses": ("passage_id", build_verse_index)}, f"{scratch.root}/log").awaitTermination()
-    return spark.read.parquet(f"{scratch.root}/out/0/verses").fillna(-1, "verse_end")
+    folder, last = ingest(spark, d)
+    return jobs.ingested(spark, folder, "verses", last, BUCKETS).select("passage_id", "book", "chapter", "verse_start", "verse_end").fillna(-1, "verse_end")
+
+
+@query("verse_passages", "SELECT 'postings' AS name, term AS item, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(header), '[^\\pL\\pN]+'), lambda x: x <> '')) AS term FROM verse_passages) GROUP BY term UNION ALL SELECT 'pending', CAST(id % 10 AS VARCHAR), count(*) FROM verse_passages GROUP BY id % 10")
+def ingest_refresh(spark, d):
+    folder, last = ingest(spark, d)
+    postings = jobs.ingested(spark, folder, "postings", last, BUCKETS).groupBy(F.lit("postings").alias("name"), F.col("term").alias("item")).agg(F.count("*").alias("n"))
+    return postings.unionByName(jobs.ingested(spark, folder, "pending", last, BUCKETS).groupBy(F.lit("pending").alias("name"), F.expr("cast(id % 10 as string)").alias("item")).agg(F.count("*").alias("n")))

@@ -303,10 +303,13 @@ def test_ingest_equals_a_rebuild(spark, tmp_path):
         source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         J.ingest_stream(source, f"{tmp_path}/out", derive, f"{tmp_path}/c").awaitTermination(120)
     last = spark.createDataFrame([first[0], second[0], second[2]], schema)
-    now = lambda name: {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/1/{name}").collect()}
+    now = lambda name: {tuple(r) for r in J.ingested(spark, f"{tmp_path}/out", name, 1).collect()}
     assert now("passages") == {tuple(r) for r in last.collect()}
     assert now("verses") == {tuple(r) for r in E.build_verse_index(last).collect()}
     assert now("words") == {(1, "a"), (1, "b"), (2, "d"), (2, "e"), (3, "f")}
+    # the second batch wrote the buckets of its own ids only
+    versions = J.Buckets(spark, f"{tmp_path}/out").versions(1)
+    assert sorted(versions.values()) == [0, 1, 1] and len(list((tmp_path / "out" / "passages" / "1").glob("bucket=*"))) == 2
 
 
 def test_stale_kind_is_ignored(spark):
