@@ -32,11 +32,15 @@ def folded_category(category: Column) -> Column:
 
 
 def list_authors(authors: DataFrame, works: DataFrame, filters: DataFrame) -> DataFrame:
-    """For every filter row (filter_id, category, tradition, era; null: any) its authors with work counts, numbered by name."""
+    """For every filter row (filter_id, category, tradition, era; null: any) its authors with work counts, numbered by name.
+
+    A filter asks for some of the three values, and an author answers with every choice of theirs, so that both meet by equality.
+    """
     counts = works.groupBy("author_id").agg(F.count("*").alias("n"))
     known = authors.withColumn("folded", folded_category(F.col("category"))).join(counts, F.col("id") == F.col("author_id"), "left")
     f = filters.select("filter_id", F.col("category").alias("fc"), F.col("tradition").alias("ft"), F.col("era").alias("fe"))
-    cut = known.join(f, F.expr("(fc is null or fc = folded) and (ft is null or ft = tradition) and (fe is null or fe = era)"))
+    asked = F.expr("filter(transform(sequence(0, 7), i -> named_struct('c', if(i % 2 = 1, folded, null), 't', if(i div 2 % 2 = 1, tradition, null), 'e', if(i div 4 = 1, era, null), 'i', i)), x -> (x.c is not null) = (x.i % 2 = 1) and (x.t is not null) = (x.i div 2 % 2 = 1) and (x.e is not null) = (x.i div 4 = 1))")
+    cut = known.withColumn("x", F.explode(asked)).join(f, F.expr("x.c <=> fc and x.t <=> ft and x.e <=> fe"))
     order = Window.partitionBy("filter_id").orderBy("name", "id")
     return cut.select("filter_id", F.row_number().over(order).alias("place"), "id", "name", F.coalesce("n", F.lit(0)).alias("work_count"))
 
@@ -119,6 +123,16 @@ def category_summary(authors: DataFrame, works: DataFrame, passages: DataFrame)
     return F.broadcast(labels).join(sums, "category", "left").select("place", "category", "label", *(F.coalesce(c, F.lit(0)).alias(n) for c, n in (("na", "author_count"), ("nw", "work_count"), ("np", "passage_count"))))
 
 
+def work_excerpts(passages: DataFrame, budget: int = 1200) -> DataFrame:
+    """(work_id, excerpt): the first paragraphs of each work's first passage, up to a budget."""
+    from stemma.operators.reader import excerpts
+
+    first = passages.groupBy("work_id").agg(F.min_by("text", "id").alias("text"))
+    lines = first.select(F.col("work_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("seq", "text")).where("trim(text) <> ''")
+    taken = excerpts(lines, budget)
+    return taken.groupBy(F.col("doc_id").alias("work_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("excerpt"))
+
+
 def book_rank(book: Column) -> Column:
     table = F.create_map(*(x for i, b in enumerate(BOOK_ORDER) for x in (F.lit(b.lower()), F.lit(i))))
     return F.coalesce(table[F.lower(book)], F.lit(len(BOOK_ORDER)))
@@ -171,8 +185,10 @@ def era_of(died: Column, born: Column, era: Column | None = None) -> Column:
 
 
 def authors_by_era(authors: DataFrame) -> DataFrame:
+    """(place, era_id, nr, name): the eras in order, and in each its authors numbered by name."""
     rank = F.array_position(F.array(*(F.lit(e) for e in (*ERAS, "unknown"))), F.col("era_id"))
-    return authors.withColumn("era_id", era_of(F.col("died"), F.col("born"), F.col("era"))).groupBy("era_id").agg(F.sort_array(F.collect_list("name")).alias("names")).select(rank.cast("int").alias("place"), "era_id", "names")
+    nr = F.row_number().over(Window.partitionBy("era_id").orderBy("name", "id"))
+    return authors.withColumn("era_id", era_of(F.col("died"), F.col("born"), F.col("era"))).select(rank.cast("int").alias("place"), "era_id", nr.alias("nr"), "name")
 
 
 def tile_counts(authors: DataFrame, works: DataFrame, passages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.session import Scratch
+
 #: Dollars per call and requests per minute (fixed values).
 COSTS = {"voyage_embed": 0.000002, "anthropic_parse": 0.0005, "gemini_parse": 0.00015, "groq_parse": 0.0}
 LIMITS = {"search": 10, "reader": 30, "default": 60, "health": 300}
@@ -57,14 +59,18 @@ def monthly_spend(log: DataFrame, costs: dict[str, float] = COSTS, limit: float
 def budget_gate(log: DataFrame, costs: dict[str, float], limit: float) -> DataFrame:
     """Adds allowed: whether the spend of the month before a call was under the limit.
 
-    Running sums are taken per day and then inside the day, so that a task never holds more than a day's calls.
+    Calls are dealt into ranges of time that hold about as many calls each, and running sums are taken over the ranges and then
+    inside each, so that no task holds a busy day.
     """
-    priced = cost_of(log, costs).withColumn("month", F.date_trunc("MONTH", "ts")).withColumn("day", F.to_date("ts"))
-    days = priced.groupBy("month", "day").agg(F.sum("cost").alias("spent"))
-    before = days.withColumn("before", F.coalesce(F.sum("spent").over(Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("spent")
-    inner = Window.partitionBy("month", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    summed = priced.join(before, ["month", "day"]).withColumn("prior", F.round(F.col("before") + F.coalesce(F.sum("cost").over(inner), F.lit(0.0)), 8))
-    return summed.withColumn("allowed", F.col("prior") < limit).drop("before", "day", "month")
+    spark = log.sparkSession
+    priced = cost_of(log, costs).withColumn("month", F.date_trunc("MONTH", "ts"))
+    ranges = priced.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "ts", "event_id")
+    dealt = Scratch(spark).cut(ranges.withColumn("part", F.spark_partition_id()))  # written, as ranges are sampled anew each time
+    parts = dealt.groupBy("month", "part").agg(F.sum("cost").alias("spent"))
+    before = parts.withColumn("before", F.coalesce(F.sum("spent").over(Window.partitionBy("month").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("spent")
+    inner = Window.partitionBy("month", "part").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.join(before, ["month", "part"]).withColumn("prior", F.round(F.col("before") + F.coalesce(F.sum("cost").over(inner), F.lit(0.0)), 8))
+    return summed.withColumn("allowed", F.col("prior") < limit).drop("before", "part", "month")
 
 
 def over_limit(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:

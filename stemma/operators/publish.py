@@ -19,6 +19,31 @@ def write_topics(topics: DataFrame, path: str, site: str, generated: str) -> Non
     topics.select(F.lit(site).alias("site"), F.lit(generated).alias("generated"), "*").write.mode("overwrite").json(path)
 
 
+def section_pages(topics: DataFrame, tiles: DataFrame, fixed: dict[str, tuple[str, str]], site: str, links: int = 60) -> DataFrame:
+    """(family, path, title, description, excerpt, canonical, json_ld, links) of topics (n, slug, title, description, intro), browse tiles
+    (slug, title, description) and fixed pages (path to title and description).
+
+    /topics and /browse list the first topics and tiles; a topic is an article, their list a collection; other pages have no JSON-LD.
+    """
+    spark = topics.sparkSession
+
+    def listed(rows: DataFrame, folder: str, order: str) -> DataFrame:
+        paths = F.array_sort(F.collect_list(F.struct(order, F.concat(F.lit(f"{folder}/"), "slug").alias("path"))))
+        return rows.orderBy(order).limit(links).agg(F.transform(paths, lambda x: x["path"]).alias("links")).withColumn("path", F.lit(folder))
+
+    none = F.array().cast("array<string>")
+    page = lambda family, folder, excerpt: (F.lit(family).alias("family"), F.concat(F.lit(f"{folder}/"), "slug").alias("path"), "title", "description", excerpt.alias("excerpt"), none.alias("links"))
+    named = [("topic" if p == "/topics" else "browse" if p == "/browse" else "static", p, t, text) for p, (t, text) in fixed.items()]
+    lists = listed(topics, "/topics", "n").unionByName(listed(tiles, "/browse", "slug"))
+    fixed_rows = spark.createDataFrame(named, "family string, path string, title string, description string").join(lists, "path", "left")
+    rows = fixed_rows.select("family", "path", "title", "description", F.lit("").alias("excerpt"), F.coalesce("links", none).alias("links"))
+    rows = rows.unionByName(topics.select(*page("topic", "/topics", F.col("intro")))).unionByName(tiles.select(*page("browse", "/browse", F.lit(""))))
+    url = F.concat(F.lit(site), "path")
+    collection = F.to_json(F.struct(F.lit("CollectionPage").alias("@type"), F.col("title").alias("name"), url.alias("url")))
+    article = F.to_json(F.struct(F.lit("Article").alias("@type"), F.col("title").alias("headline"), "description", url.alias("url")))
+    return rows.withColumn("canonical", url).withColumn("json_ld", F.when(F.col("path") == "/topics", collection).when(F.col("family") == "topic", article))
+
+
 def route_metadata(authors: DataFrame, works: DataFrame, passages: DataFrame, site: str, links: int = 60) -> DataFrame:
     """(family, path, title, description, canonical, json_ld, links) of every work's and author's page with a work.
 

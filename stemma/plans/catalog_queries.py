@@ -9,8 +9,11 @@ from stemma.functions.text import card_title, format_dates
 from stemma.operators import catalog as C
 from stemma.operators import etl as E
 from stemma.operators.publish import route_metadata as metadata
+from stemma.operators.publish import section_pages, write_sitemap, write_topics
 from stemma.plans.registry import query
+from stemma.session import Scratch
 from stemma.sources.bindings import bind
+from stemma.sources.corpus import load_corpus as read_corpus
 
 FOLD = "CASE WHEN category IS NULL OR category NOT IN ('father','commentary','council','liturgy','apocrypha') THEN 'misc' WHEN category = 'commentary' THEN 'father' ELSE category END"
 SECTION = "COALESCE(NULLIF(section, ''), CASE WHEN lower(trim(title)) LIKE 'commentary on%' THEN 'Commentary' ELSE 'Miscellaneous' END)"
@@ -147,9 +150,9 @@ def author_works(spark, d):
 ERA_SQL = "coalesce(nullif(era, ''), CASE WHEN coalesce(died, born) IS NULL THEN 'unknown' WHEN coalesce(died, born) <= 100 THEN 'apostolic' WHEN coalesce(died, born) <= 325 THEN 'ante-nicene' WHEN coalesce(died, born) <= 381 THEN 'nicene' ELSE 'post-nicene' END)"
 
 
-@query("authors", f"SELECT CAST(list_position(['apostolic','ante-nicene','nicene','post-nicene','unknown'], era_id) AS INTEGER) AS place, era_id, names FROM (SELECT {ERA_SQL} AS era_id, string_agg(name, ';' ORDER BY name) AS names FROM authors GROUP BY 1)")
+@query("authors", f"SELECT CAST(list_position(['apostolic','ante-nicene','nicene','post-nicene','unknown'], era_id) AS INTEGER) AS place, era_id, CAST(row_number() OVER (PARTITION BY era_id ORDER BY name, id) AS INTEGER) AS nr, name FROM (SELECT {ERA_SQL} AS era_id, id, name FROM authors)")
 def authors_by_era(spark, d):
-    return C.authors_by_era(bind(spark, d, "authors")).withColumn("names", F.array_join("names", ";"))
+    return C.authors_by_era(bind(spark, d, "authors"))
 
 
 @query("authors works", f"SELECT l.category, coalesce(n, 0) AS n FROM (VALUES ('father'),('council'),('liturgy'),('apocrypha'),('misc')) l(category) LEFT JOIN (SELECT {FOLD} AS category, count(*) AS n FROM authors GROUP BY 1) s USING (category) UNION ALL SELECT 'commentary', count(*) FROM works WHERE {SECTION} = 'Commentary'")
@@ -193,6 +196,33 @@ def route_inventory(spark, d):
     return routes(spark, d)
 
 
+@query("authors works verse_passages", f"SELECT 'https://s.example' || path AS loc FROM ({ROUTES_SQL})")
+def sitemap(spark, d):
+    scratch = Scratch(spark)
+    write_sitemap(routes(spark, d), f"{scratch.root}/sitemap", "https://s.example")
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string").load(f"{scratch.root}/sitemap")
+
+
+@query("authors", f"SELECT 'https://s.example' AS site, '2026-01-01' AS generated, category AS slug, count(*) AS n, min(name) AS first FROM authors GROUP BY category")
+def topics_file(spark, d):
+    scratch = Scratch(spark)
+    topics = bind(spark, d, "authors").groupBy(F.col("category").alias("slug")).agg(F.struct(F.count("*").alias("n"), F.min("name").alias("first")).alias("hits"))
+    write_topics(topics, f"{scratch.root}/topics", "https://s.example", "2026-01-01")
+    kinds = "site string, generated string, slug string, hits struct<n:bigint,first:string>"
+    return spark.read.schema(kinds).json(f"{scratch.root}/topics").select("site", "generated", "slug", "hits.*")
+
+
+@query("authors works passages", "SELECT a.id, name, category, CAST(NULL AS VARCHAR) AS era, CAST(NULL AS VARCHAR) AS section, w.id AS work_id, p.id AS passage_id, CAST(NULL AS VARCHAR) AS source_title FROM authors a JOIN works w ON w.author_id = a.id JOIN passages p ON p.work_id = w.id")
+def load_corpus(spark, d):
+    scratch = Scratch(spark)
+    a, w, p = b1(spark, d)
+    for name, df in (("authors", a.drop("era")), ("works", w.drop("section")), ("passages", p)):
+        df.write.parquet(f"{scratch.root}/{name}.parquet")
+    c = read_corpus(spark, scratch.root)
+    works = c.works.select(F.col("id").alias("work_id"), F.col("author_id").alias("id"), "section")
+    return c.authors.select("id", "name", "category", "era").join(works, "id").join(c.passages.select(F.col("id").alias("passage_id"), "work_id", "source_title"), "work_id")
+
+
 @query("authors works verse_passages", f"SELECT coalesce(family, 'total') AS family, count(*) AS n FROM ({ROUTES_SQL}) GROUP BY ROLLUP (family)")
 def route_counts(spark, d):
     return C.route_counts(routes(spark, d))
@@ -314,3 +344,33 @@ DATES = "CASE WHEN born IS NULL AND died IS NULL THEN '' WHEN born = died THEN '
 def route_metadata(spark, d):
     rows = metadata(*b1(spark, d), "https://s.example")
     return rows.drop("json_ld").withColumn("links", F.array_join("links", " "))
+
+
+TOPICS = "SELECT s_suppkey AS n, 'topic-' || s_suppkey AS slug, s_name AS title, 'On ' || s_name AS description, 'What is said on ' || s_name || '.' AS intro FROM supplier"
+
+
+@query("authors", f"""WITH t AS ({TOPICS}), k AS (SELECT category AS slug, count(*) AS n FROM authors WHERE category IS NOT NULL GROUP BY 1),
+x AS (SELECT 'topic' AS family, '/topics' AS path, 'Topics' AS title, 'All topics.' AS description, '' AS excerpt, (SELECT string_agg('/topics/' || slug, ' ' ORDER BY n) FROM (SELECT * FROM t ORDER BY n LIMIT 60)) AS links
+UNION ALL SELECT 'topic', '/topics/' || slug, title, description, intro, '' FROM t
+UNION ALL SELECT 'browse', '/browse', 'Browse', 'All categories.', '', (SELECT string_agg('/browse/' || slug, ' ' ORDER BY slug) FROM (SELECT * FROM k ORDER BY slug LIMIT 60))
+UNION ALL SELECT 'browse', '/browse/' || slug, slug, n || ' authors.', '', '' FROM k
+UNION ALL SELECT 'static', '/about', 'About', 'What this is.', '', '')
+SELECT *, 'https://s.example' || path AS canonical, CASE WHEN path = '/topics' THEN 'CollectionPage' WHEN family = 'topic' THEN 'Article' ELSE '' END AS kind FROM x""")
+def section_metadata(spark, d):
+    topics = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as n", "concat('topic-', s_suppkey) as slug", "s_name as title", "concat('On ', s_name) as description", "concat('What is said on ', s_name, '.') as intro")
+    tiles = bind(spark, d, "authors").where("category is not null").groupBy(F.col("category").alias("slug")).agg(F.count("*").alias("n"))
+    tiles = tiles.select("slug", F.col("slug").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" authors.")).alias("description"))
+    rows = section_pages(topics, tiles, {"/about": ("About", "What this is."), "/topics": ("Topics", "All topics."), "/browse": ("Browse", "All categories.")}, "https://s.example")
+    return rows.withColumn("links", F.array_join("links", " ")).withColumn("kind", F.coalesce(F.get_json_object("json_ld", "$['@type']"), F.lit(""))).drop("json_ld")
+
+
+@query("text_passages", """WITH f AS (SELECT work_id AS doc_id, arg_min(text, id) AS text FROM text_passages GROUP BY 1),
+p AS (SELECT doc_id, i AS seq, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM f) WHERE trim(t) <> ''),
+s AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM p),
+o AS (SELECT *, upto - length(text) AS used, sum(CASE WHEN upto > 1200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS overs FROM s),
+e AS (SELECT doc_id, seq, text FROM o WHERE overs = 0 AND used < 1200
+UNION ALL SELECT doc_id, seq, rtrim(CASE WHEN length(cut) - instr(reverse(cut), ' ') > 0 AND instr(cut, ' ') > 0 THEN substring(cut, 1, length(cut) - instr(reverse(cut), ' ')) ELSE cut END, ' ,;:') || '…'
+FROM (SELECT doc_id, seq, substring(text, 1, CAST(1200 - used AS INTEGER)) AS cut FROM o WHERE overs = 1 AND upto > 1200 AND used < 600))
+SELECT doc_id AS work_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS excerpt FROM e GROUP BY 1""")
+def work_excerpts(spark, d):
+    return C.work_excerpts(bind(spark, d, "text_passages").select("work_id", "id", "text"))
