@@ -77,7 +77,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         # tag, path, mark, main, mute, in a link: what an element has from those around it included
         self.open: list[tuple[str, str, int, int, bool, bool]] = [("", "", CLEAR, 0, False, False)]
-        self.opened: Counter[str] = Counter()
+        self.opened: dict[str, int] = {}
         self.blocks: list[tuple[str, int, int, str, int]] = []
         self.paths: Counter[str] = Counter()
         self.parts: list[str] = []
@@ -124,7 +124,7 @@ class Page(HTMLParser):
         if own == 4 and marked == SURE:
             marked = WEAK  # a word around an article element doesn't outvote it
         self.open.append((tag, path, max(marked, gone), max(main, own), mute or tag in SILENT or (inline and gone >= SURE), link or tag == "a"))
-        self.opened[tag] += 1
+        self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,11 +138,12 @@ class Page(HTMLParser):
 
     def shut(self, tags: tuple[str, ...], barrier: frozenset[str]) -> None:
         """Closes the innermost open element of these tags, unless one of ``barrier`` is inside it."""
-        if not any(self.opened[t] for t in tags):
+        if not any(self.opened.get(t) for t in tags):
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
-                self.opened.subtract(x[0] for x in self.open[i:])
+                for x in self.open[i:]:
+                    self.opened[x[0]] -= 1
                 del self.open[i:]
                 return
             if self.open[i][0] in barrier:
@@ -190,10 +191,12 @@ def article(blocks: list[tuple[str, int, int, str, int]], template: set[int], sh
         times[path] += 1
     prose = lambda b: 2 * linked[b[0]] <= size[b[0]]
     clear, weak = ([b for b in blocks if b[1] == mark] for mark in (CLEAR, WEAK))
-    own = [sum(len(b[3]) for b in some if prose(b) and token(b[0], b[3]) not in template) for some in (clear, weak)]
-    useful = clear + weak if own[1] > 3 * own[0] and all(b[2] < 4 for b in clear) else clear
+    useful = clear
+    if weak and all(b[2] < 4 for b in clear):
+        own = [sum(len(b[3]) for b in some if prose(b) and token(b[0], b[3]) not in template) for some in (clear, weak)]
+        useful = [b for b in blocks if b[1] <= WEAK] if own[1] > 3 * own[0] else clear
     surest = max((b[2] for b in useful), default=0)
-    useful = [b for b in blocks if b[1] in {x[1] for x in useful} and b[2] == surest]
+    useful = [b for b in useful if b[2] == surest]
     if surest == 4:
         common = [token(b[0], b[3]) in shared for b in useful]
         copied = 2 * sum(len(b[3]) for b, c in zip(useful, common) if c) >= sum(len(b[3]) for b in useful)
