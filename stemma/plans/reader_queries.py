@@ -136,10 +136,23 @@ def split_speaker(spark, d):
     return R.split_speaker(said).select("id", "speaker", "speech")
 
 
-@query("runs", "SELECT id, CASE id % 4 WHEN 0 THEN 14 WHEN 1 THEN 105 WHEN 2 THEN 10 ELSE -1 END AS number, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'A' WHEN 2 THEN '' END AS suffix FROM runs")
+#: Headers of the documents' own lines, some under a section's word with a number, a roman numeral or an ordinal.
+HEADS = "CASE (doc_id + i) % 7 WHEN 0 THEN 'Chapter ' || (i % 60 + 1) || CASE WHEN i % 2 = 0 THEN 'b' ELSE '' END || '. ' || t WHEN 1 THEN 'Homily ' || list_r || ', ' || t WHEN 2 THEN (doc_id % 300) || ' ' || t WHEN 3 THEN t || ' tenth' ELSE t END"
+ROMANS = "'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIV', 'XIX', 'XL', 'XC', 'CD', 'CM', 'MCMXCIX'"
+NUMERAL = rf"(?i)^(?:(?:{R.SECTION_WORDS})\.?\s+)?([IVXLCDM]+|\d+)([A-Z]?)(?:[\s.,;:)\]]|$)"
+
+
+@query("", rf"""WITH l AS (SELECT doc_id, i, t, list_extract([{ROMANS}], CAST(i % 19 + 1 AS INTEGER)) AS list_r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
+h AS (SELECT doc_id, CAST(i AS INTEGER) AS seq, trim(regexp_replace(regexp_replace({HEADS}, '\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')) AS h FROM l),
+p AS (SELECT *, upper(regexp_extract(h, '{NUMERAL}', 1)) AS tok, upper(regexp_extract(h, '{NUMERAL}', 2)) AS suf, list_filter(regexp_extract_all(lower(h), '([a-z]+(?:-[a-z]+)?)'), lambda x: x IN ({", ".join(repr(o) for o in R.ORDINALS)}))[1] AS word FROM h),
+d AS (SELECT *, list_transform(string_split(tok, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 END) AS vs FROM p),
+n AS (SELECT doc_id, seq, tok, suf, CASE WHEN tok = '' THEN CAST(list_position([{", ".join(repr(o) for o in R.ORDINALS)}], word) AS INTEGER) WHEN regexp_matches(tok, '^[0-9]+$') THEN TRY_CAST(tok AS INTEGER)
+  ELSE CAST(list_sum(list_transform(range(1, len(vs) + 1), lambda k: CASE WHEN vs[k] < coalesce(list_max(vs[k + 1:]), 0) THEN -vs[k] ELSE vs[k] END)) AS INTEGER) END AS number FROM d)
+SELECT doc_id, seq, coalesce(number, -1) AS number, CASE WHEN number IS NOT NULL THEN CASE WHEN tok = '' THEN '' ELSE suf END END AS suffix FROM n""")
 def parse_numerals(spark, d):
-    header = "case id % 4 when 0 then 'Chapter XIV. Of works' when 1 then 'Sermon 105A [1]' when 2 then 'Commandment Tenth' else 'Introduction' end"
-    return R.parse_numeral(bind(spark, d, "runs").withColumn("header", F.expr(header))).select("id", "number", "suffix").fillna(-1, "number")
+    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    heads = lines.withColumn("list_r", F.expr(f"element_at(array({ROMANS}), i % 19 + 1)")).select("doc_id", F.col("i").alias("seq"), F.expr(HEADS).alias("header"))
+    return R.parse_numeral(heads).select("doc_id", "seq", "number", "suffix").fillna(-1, "number")
 
 
 @query("runs", "SELECT id, CAST(sum(c) OVER (PARTITION BY work_id ORDER BY id) AS BIGINT) AS run FROM (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 WHEN header IS DISTINCT FROM lag(header) OVER w THEN 1 ELSE 0 END AS c FROM runs WINDOW w AS (PARTITION BY work_id ORDER BY id))")
