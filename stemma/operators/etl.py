@@ -30,6 +30,7 @@ KNOWN_DEATHS = {
     "john chrysostom": 407, "jerome": 420, "augustine of hippo": 430, "john cassian": 435, "cyril of alexandria": 444, "theodoret of cyrus": 457,
     "leo the great": 461, "vincent of lérins": 445, "prosper of aquitaine": 455,
 }
+#: The forms of a commentary file's name and of a header that names a verse (fixed values).
 VERSE_FILE = r"(?i)^(.+?)\s+(\d+)_(\d+[a-z]?(?:-\d+[a-z]?)?)\.toml$"
 VERSE_HEADER = r"^\s*([1-3]?\s?[A-Za-z][A-Za-z.]*(?:\s+[A-Za-z.]+)*)\s+(\d{1,3}):(\d{1,3})(?:\s*[-–]\s*(\d{1,3}))?\s*$"
 
