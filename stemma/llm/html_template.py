@@ -234,7 +234,8 @@ def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> D
 
     content = F.expr("xxhash64(transform(filter(blocks, b -> b.main = 4 and b.mark = 0), b -> b.text))")
     seen = pages.select("host", "page_id", content.alias("content"), F.explode("tokens").alias("t")).select("host", "content", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
-    per_token = seen.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.min("path").alias("path"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"), (F.min("content") != F.max("content")).alias("unlike"))
+    # a token has one path, which is a key so that the sums are hashed and not sorted
+    per_token = seen.groupBy("host", "token", "is_text", "path").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"), (F.min("content") != F.max("content")).alias("unlike"))
     totals = pages.groupBy("host").agg(F.count("*").alias("all"))
     frequent = per_token.where(f"pages >= {least}").join(totals, "host").where(f"pages >= {share} * all")
     classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("token", "path", "is_text", "unlike")).alias("members"), F.max(~F.col("is_text")).alias("framed"))
