@@ -73,9 +73,10 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
     2. Join and extend: every occurrence of a seed is joined to the seed's first one (the smallest doc_id, then text and place), and
        the match is extended word by word to both sides, up to the words that a window with this seed can reach; a longer match
        goes on at the next seed. A match of ``span`` words or more is a repeat if its document comes later than the first.
-    3. What does not equal the seed's first occurrence can still equal another one: of such occurrences the windows outside the match
-       are compared among themselves, by 128-bit hashes, as a grouped minimum of doc_id. Windows inside a match need
-       not be there, as whatever equals them equals the first occurrence too.
+    3. What does not equal the seed's first occurrence can still equal another one. Such windows reach over the word where their
+       occurrence parts from the first, so only occurrences that part at the same place by the same word can share them: their
+       windows over that word are compared among themselves, by 128-bit hashes, as a grouped minimum of doc_id. Windows
+       inside a match need not be there, as whatever equals them equals the first occurrence too.
     4. Repeats of a document are merged into maximal ones, [from, to) in words.
 
     So every document meets one partner a seed, never each other, and a passage in thousands of documents costs as many
@@ -131,21 +132,26 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
     occurrences = scratch.cut(met.mapInArrow(sides, "doc_id long, rid long, at int, gram long, before array<long>, after array<long>"))
     scratch.drop(seeds)
     place = F.struct("doc_id", "rid", "at")
-    first = occurrences.groupBy("gram").agg(F.min(F.struct("doc_id", "rid", "at", "before", "after")).alias("first"))
-    first = scratch.cut(first.select("gram", F.col("first.doc_id").alias("lo"), F.struct("first.doc_id", "first.rid", "first.at").alias("place"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after")))
+    first = occurrences.groupBy("gram").agg(F.min(F.struct("doc_id", "rid", "at", "before", "after")).alias("first"), F.count("*").alias("n"))
+    first = scratch.cut(first.select("gram", "n", F.col("first.doc_id").alias("lo"), F.struct("first.doc_id", "first.rid", "first.at").alias("place"), F.col("first.before").alias("first_before"), F.col("first.after").alias("first_after")))
     equal = lambda side: f"array_position(zip_with({side}, first_{side}, (x, y) -> not (x <=> y) or x is null), true)"
     run = lambda side: F.expr(let("p", equal(side), f"int(if(p > 0, p - 1, least(size({side}), size(first_{side}))))"))
     pairs = occurrences.join(first, "gram").where(place != F.col("place"))
-    pairs = pairs.select("doc_id", "rid", "at", "gram", "before", "after", "lo", run("before").alias("left"), run("after").alias("right"))
-    ends = "size(before) = left and size(after) = right"
+    pairs = pairs.select("doc_id", "rid", "at", "gram", "before", "after", "lo", "n", run("before").alias("left"), run("after").alias("right"))
+    ends = "n < 3 or size(before) = left and size(after) = right"
     extended = scratch.cut(pairs.withColumn("before", F.expr(f"if({ends}, null, before)")).withColumn("after", F.expr("if(before is null, null, after)")))
     scratch.drop(occurrences), scratch.drop(first)
     matches = extended.where(f"doc_id > lo and left + right >= {reach}").select("doc_id", "rid", F.expr("at - left").alias("s"), F.expr(f"at + {seed} + right").alias("e"))
 
-    # windows with this seed start from at - size(before) to at + size(after) - reach; those in the match from at - left to at + right - reach
-    starts = f"filter(sequence(-size(before), size(after) - {reach}), o -> o < -left or o > right - {reach})"
+    # an occurrence that parts from the first one can equal others only beyond the word where it does: those that part there alike
+    parting = "array(named_struct('side', 0, 'n', left, 'word', get(before, left)), named_struct('side', 1, 'n', right, 'word', get(after, right)))"
+    parted = extended.where("before is not null").withColumn("p", F.explode(F.expr(parting))).where("p.word is not null").withColumn("key", F.xxhash64("gram", "p"))
+    alike = scratch.cut(parted.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
+    # windows with this seed start from at - size(before) to at + size(after) - reach; those with that word before or after the match are taken
+    most, least = f"size(after) - {reach}", "-size(before)"
+    starts = f"if(p.side = 0, if(-left - 1 < {least}, array(), sequence({least}, least(-left - 1, {most}))), if(right - {reach} + 1 > {most}, array(), sequence(greatest(right - {reach} + 1, {least}), {most})))"
     hashes = f"gram, o, slice(before, 1, -o), slice(after, 1, {reach} + o)"
-    rest = extended.where("before is not null").select("doc_id", "rid", "at", "gram", "before", "after", F.explode(F.expr(starts)).alias("o"))
+    rest = parted.join(alike, "key").select("doc_id", "rid", "at", "gram", "before", "after", F.explode(F.expr(starts)).alias("o"))
     windows = scratch.cut(rest.select("doc_id", "rid", F.expr("at + o").alias("s"), F.expr(f"xxhash64({hashes})").alias("h1"), F.expr(f"xxhash64('window', {hashes})").alias("h2")))
     earliest = scratch.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
     others = windows.join(earliest, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "rid", "s", F.expr(f"s + {span}").alias("e"))
