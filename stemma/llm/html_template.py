@@ -205,21 +205,36 @@ def article(blocks: list[tuple[str, int, int, str, int]], template: set[int], sh
     return [b[3] for b in useful if token(b[0], b[3]) not in template and prose(b)]
 
 
+BLOCK = (("path", pa.string()), ("mark", pa.int32()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32()))
+TOKEN = (("token", pa.int64()), ("n", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_()))
+
+
+def listed(rows: list[list[tuple]], kinds: tuple[tuple[str, pa.DataType], ...]) -> pa.ListArray:
+    """Rows of tuples as a list column of structs."""
+    flat = list(zip(*(t for r in rows for t in r))) or [()] * len(kinds)
+    fields = [pa.array(column, kind) for column, (_, kind) in zip(flat, kinds)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.StructArray.from_arrays(fields, [name for name, _ in kinds]))
+
+
+def tuples(column: pa.ListArray) -> Iterator[list[tuple]]:
+    """The rows of such a column."""
+    ends, flat = column.offsets.to_pylist(), column.values
+    rows = list(zip(*(flat.field(k).to_pylist()[ends[0] : ends[-1]] for k in range(flat.type.num_fields))))
+    for a, b in zip(ends, ends[1:]):
+        yield rows[a - ends[0] : b - ends[0]]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, host, html) read once: their blocks and tokens instead of html."""
+    """pages (page_id, url, host, html) read once: their blocks and tokens instead of html, and a hash of what clear article elements hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("path", pa.string()), ("mark", pa.int32()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32())]))
-        tokens_ = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_())]))
         for b in batches:
-            blocks, found = [], []
-            for html in b.column(3):
-                page = Page(html.as_py() or "")
-                blocks.append([{"path": p, "mark": mark, "main": main, "text": t, "linked": n} for p, mark, main, t, n in page.blocks])
-                found.append([{"token": t, "n": n, "path": p, "is_text": is_text} for t, n, p, is_text in tokens(page)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(blocks, block), pa.array(found, tokens_)], ["page_id", "url", "host", "blocks", "tokens"])
-
-    kinds = "blocks array<struct<path:string,mark:int,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
+            read = [Page(html.as_py() or "") for html in b.column(3)]
+            content = [token("", "\n".join(x[3] for x in page.blocks if x[2] == 4 and x[1] == CLEAR)) for page in read]
+            columns = [pa.array(content, pa.int64()), listed([page.blocks for page in read], BLOCK), listed([tokens(page) for page in read], TOKEN)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], ["page_id", "url", "host", "content", "blocks", "tokens"])
+
+    kinds = "content long, blocks array<struct<path:string,mark:int,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
     return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id long, url string, host string, {kinds}")
 
 
@@ -232,8 +247,7 @@ def templates(pages: DataFrame, scratch: Scratch, least: int, share: float) -> D
     them) and which has elements, or as many texts on each page. Texts in valid classes are the template's own words.
     """
 
-    content = F.expr("xxhash64(transform(filter(blocks, b -> b.main = 4 and b.mark = 0), b -> b.text))")
-    seen = pages.select("host", "page_id", content.alias("content"), F.explode("tokens").alias("t")).select("host", "content", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
+    seen = pages.select("host", "page_id", "content", F.explode("tokens").alias("t")).select("host", "content", "t.*", F.xxhash64("page_id", "t.n").cast("decimal(20,0)").alias("page"))
     # a token has one path, which is a key so that the sums are hashed and not sorted
     per_token = seen.groupBy("host", "token", "is_text", "path").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("page").alias("vector"), (F.min("content") != F.max("content")).alias("unlike"))
     totals = pages.groupBy("host").agg(F.count("*").alias("all"))
@@ -285,9 +299,9 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for blocks, template, shared in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
+            for blocks, template, shared in zip(tuples(b.column(2)), b.column(3), b.column(4)):
                 own, both = (set(np.asarray(x.values)) if x.is_valid else set() for x in (template, shared))
-                texts.append("\n".join(article([tuple(x.values()) for x in blocks], own, both)))
+                texts.append("\n".join(article(blocks, own, both)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     met = source.join(known, "host", "left").select("page_id", "url", "blocks", "template", "shared")
