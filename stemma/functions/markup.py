@@ -6,6 +6,8 @@ import html
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+#: Elements whose text is no words of the page (fixed values).
+HIDDEN = frozenset(("script", "style", "template"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -29,7 +31,7 @@ class Node:
         return [n for n in self.walk() if n.tag in tags]
 
     def words(self, sep: str = "") -> str:
-        parts = [n.text.strip() if sep else n.text for n in self.walk() if n.text is not None]
+        parts = [n.text.strip() if sep else n.text for n in self.walk() if n.text is not None and n.up.tag not in HIDDEN]
         return sep.join(p for p in parts if p or not sep)
 
     def classes(self) -> list[str]:

@@ -38,7 +38,21 @@ def strip_citations(spark, d):
 alias("strip_citations_whole", "strip_citations")
 
 
-@query()
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def decoded(text: str) -> str:
+    """SQL for a text with the references that the pages hold decoded."""
+    for name, to in ENTITIES:
+        text = f"replace({text}, '{name}', '{to}')"
+    return text
+
+
+BARE = rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t ]+', ' ', 'g'), '\bof\s*,', ',', 'g'), '\s+([,.;:!?])', '\1', 'g'), '"\s+', '" ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS plain FROM (
+  SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script>', '<i>', 'gis'), '<style\b[^>]*>.*?</style>', '<i>', 'gis'), '<!--.*?-->', '<i>', 'gs'), '<[^>]+>'), lambda x: trim({decoded('x')}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ') AS t FROM pages)""".replace("\\u00a0", " ")
+
+
+@query("", BARE)
 def strip_html(spark, d):
     return T.strip_html(pages(spark, d), "html").select("page_id", "plain")
 
