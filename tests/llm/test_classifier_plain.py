@@ -56,3 +56,13 @@ def test_scores_against_a_plain_version(spark):
     assert len(got) == len(texts) and len(taught) > 20 and len(set(got.values())) > 50
     for d in texts:
         assert abs(got[d] - 1 / (1 + math.exp(-(a * margin[d] + b)))) < 1e-4
+
+
+def test_other_columns_and_repeated_rows(spark):
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.selectExpr("doc_id", "quality AS label")
+    plain = {(r.doc_id, round(r.score, 6)) for r in classify(docs, labels).collect()}
+    clash = docs.selectExpr("*", "1 AS label", "2 AS y", "3 AS h", "4 AS score", "true AS held_out")
+    assert {(r.doc_id, round(r.score, 6)) for r in classify(clash, labels.selectExpr("*", "'x' AS text", "5 AS h")).collect()} == plain
+    twice = classify(docs.limit(20).union(docs.limit(20)), labels).collect()
+    assert len(twice) == 40 and len({(r.doc_id, r.score) for r in twice}) == 20

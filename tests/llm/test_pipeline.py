@@ -1,7 +1,11 @@
 """Every stage of the pipeline against a plain version of it, each on its own input."""
 
+from collections import Counter
+
 import corpus_pipeline as P
+import duckdb
 import pytest
+from stemma.llm import queries as Q
 from stemma.session import Scratch, table
 
 from tests_plain import plain_lines, plain_simhash
@@ -33,6 +37,23 @@ def test_quality_keeps_clean_documents(spark, stages):
     assert len(clean) and set(clean.doc_id) <= after < set(before.doc_id)
 
 
+def by_sql(documents, name):
+    """The rows of a query's SQL over a stage's own input."""
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return con.execute(Q.oracle_sql()[name]).df()
+
+
+def test_quality_is_its_sql(stages):
+    want = by_sql(rows(stages[0]), "op7_quality_rules")
+    assert sorted(rows(stages[1]).doc_id) == sorted(want[want.kept].doc_id)
+
+
+def test_mix_is_its_sql(stages):
+    want = by_sql(rows(stages[3]), "op8_mixing")
+    assert Counter(rows(stages[4]).doc_id) == Counter({d: t // z for d, t, z in zip(want.doc_id, want.taken, want["size"]) if t})
+
+
 def test_lines(stages):
     before, after = rows(stages[1]), rows(stages[2])
     assert dict(zip(after.doc_id, after.text)) == plain_lines(list(zip(before.doc_id, before.text)))
