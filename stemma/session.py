@@ -49,7 +49,7 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/stemma-{uuid.uuid4().hex}"
         self.n = 0
         fs, path = self._file(self.root)
-        fs.deleteOnExit(path)
+        fs.mkdirs(path), fs.deleteOnExit(path)  # only what exists is marked
         if _open:
             _open[-1].append(self)
 
