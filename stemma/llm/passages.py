@@ -151,7 +151,7 @@ def repeats(docs: DataFrame, span: int = 50, seed: int = 16, scratch: Scratch |
     most, least = f"size(after) - {reach}", "-size(before)"
     starts = f"if(p.side = 0, if(-left - 1 < {least}, array(), sequence({least}, least(-left - 1, {most}))), if(right - {reach} + 1 > {most}, array(), sequence(greatest(right - {reach} + 1, {least}), {most})))"
     hashes = f"gram, o, slice(before, 1, -o), slice(after, 1, {reach} + o)"
-    rest = parted.join(alike, "key").select("doc_id", "rid", "at", "gram", "before", "after", F.explode(F.expr(starts)).alias("o"))
+    rest = parted.join(alike.hint("merge"), "key").select("doc_id", "rid", "at", "gram", "before", "after", F.explode(F.expr(starts)).alias("o"))
     windows = scratch.cut(rest.select("doc_id", "rid", F.expr("at + o").alias("s"), F.expr(f"xxhash64({hashes})").alias("h1"), F.expr(f"xxhash64('window', {hashes})").alias("h2")))
     earliest = scratch.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
     others = windows.join(earliest, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "rid", "s", F.expr(f"s + {span}").alias("e"))
