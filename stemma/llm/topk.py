@@ -57,7 +57,7 @@ def nearest(lists: Lists, q: np.ndarray, k: int, skip: int, bar: float, reads: l
     while level >= 1 and len(left) > 2 * k:
         met, slack = over >= level, np.minimum(spread, level)
         lower = base + (over * met).sum(axis=0)
-        upper = lower + slack.sum() - slack @ met.astype(over.dtype)
+        upper = lower + slack.sum() - np.einsum("i,ij->j", slack, met.astype(over.dtype))
         bar = max(bar, np.partition(lower, len(left) - k)[len(left) - k])
         able = np.flatnonzero(upper >= bar)
         if len(able) < len(left):
