@@ -208,12 +208,21 @@ def repair_truncated(spark, d):
     return fresh_texts(spark, d)[1].select("fresh_id", "status")
 
 
-@query("runs", "SELECT work_id, 'New' AS header, CASE WHEN work_id % 2 = 1 THEN 'has passages' WHEN work_id % 4 = 0 THEN 'too short' ELSE 'inserted' END AS status FROM (SELECT DISTINCT work_id FROM runs)")
-def insert_missing(spark, d):
+def recovered(spark, d):
     r = bind(spark, d, "runs")
     works = r.select(F.col("work_id").alias("id")).distinct()
     new = works.select(F.col("id").alias("work_id"), F.lit("New").alias("header"), F.expr("case when id % 4 = 0 then 'short' else repeat('long enough ', 9) end").alias("text"))
-    return E.insert_missing(works, r.where("work_id % 2 = 1"), new)[1]
+    return E.insert_missing(works, r.where("work_id % 2 = 1"), new)
+
+
+@query("runs", "SELECT work_id, 'New' AS header, CASE WHEN work_id % 2 = 1 THEN 'has passages' WHEN work_id % 4 = 0 THEN 'too short' ELSE 'inserted' END AS status FROM (SELECT DISTINCT work_id FROM runs)")
+def insert_missing(spark, d):
+    return recovered(spark, d)[1]
+
+
+@query("runs", "WITH top AS (SELECT max(id) AS m FROM runs WHERE work_id % 2 = 1) SELECT id, work_id, header, length(text) AS n FROM runs WHERE work_id % 2 = 1 UNION ALL SELECT m + row_number() OVER (ORDER BY work_id), work_id, 'New', 108 FROM (SELECT DISTINCT work_id FROM runs WHERE work_id % 2 = 0 AND work_id % 4 <> 0), top")
+def inserted_passages(spark, d):
+    return recovered(spark, d)[0].select("id", "work_id", "header", F.length("text").cast("long").alias("n"))
 
 
 @query("text_passages", "SELECT id FROM text_passages WHERE id NOT IN (SELECT vec_id FROM embeddings)")
@@ -233,6 +242,12 @@ def prepare_texts(spark, d):
 alias("prepare_texts_whole", "prepare_texts")
 
 
+@query("", f"SELECT page_id AS id, CAST(length(t) AS BIGINT) AS n, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens FROM (SELECT page_id, regexp_replace(left(plain, 120000), '^\\s+|\\s+$', '', 'g') AS t FROM ({BARE}))")
+def prepare_pages(spark, d):
+    prepared = M.prepare_texts(pages(spark, d).select(F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return prepared.select("id", F.length("clean").cast("long").alias("n"), "tokens")
+
+
 @query("", r"""WITH RECURSIVE t AS (SELECT doc_id AS id, regexp_replace(left(coalesce(text, ''), 120000), '^\s+|\s+$', '', 'g') AS t FROM documents),
 n AS (SELECT greatest(1, ceil(count(*) / 4096.0)) :: BIGINT AS shards FROM t),
 k AS (SELECT id, id % shards AS shard, CAST(floor(length(t) / 3.0) + 1 AS BIGINT) AS tokens, t = '' AS blank, row_number() OVER (PARTITION BY id % shards ORDER BY id) AS no FROM t, n),
