@@ -30,7 +30,7 @@ def test_queries_are_all_ids_divisible_by_fifty(spark):
 def test_citations_after_of(spark):
     texts = ["He speaks of, and out of , Matthew 5:3. this", "proof, hoof , of\t,", 'a "  b" of Matthew 5:3, c', "roof of,of,"]
     got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string").orderBy("i").select(T.strip_citations(F.col("x")).alias("t")).collect()]
-    assert got == [T._plain_citations(x) for x in texts]
+    assert got == [T._citations_off(x).strip() for x in texts]
     assert got[0] == "He speaks, and out, this" and got[1] == "proof, hoof,,"
 
 
