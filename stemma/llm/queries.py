@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from stemma.llm.html_template import extract
 from stemma.llm.lines import dedup_lines
+from stemma.llm.middle import fill_in_middle, restored
 from stemma.llm.mixing import mix
 from stemma.llm.nbsvm import classify
 from stemma.llm.packing import pack
 from stemma.llm.passages import remove_repeats
+from stemma.llm.pieces import decode, encode
+from stemma.llm.pipeline import run
 from stemma.llm.quality_rules import CLASS_SPREAD, COMMON, VOCABULARY, WORD_SPREAD, judge
 from stemma.llm.secrets import find_secrets
 from stemma.llm.simhash import simhash_groups
 from stemma.llm.topk import top_k
+from stemma.llm.variants import group_variants
 from stemma.session import table
 
 
@@ -63,11 +67,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = decode(encode(table(spark, sf_dir, "documents")))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_html_extraction, op2_secret_scan, op3_simhash, op4_quality_classifier, op5_substring_dedup, op6_packing, op7_quality_rules, op8_mixing, op9_exact_topk, op10_line_dedup)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    own += (op11_fill_in_middle, op12_spelling_variants, op13_sentencepiece)
+    return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -211,5 +229,19 @@ FROM doc LEFT JOIN kept USING (r)
 """
 
 
+OP11 = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * i + 1, 8) AS BIGINT)) AS h FROM documents),
+cut AS (
+  SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM doc),
+part AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM part
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": _op7(), "op8_mixing": OP8, "op9_exact_topk": OP9, "op10_line_dedup": OP10}
+    return {"op2_secret_scan": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": _op7(), "op8_mixing": OP8, "op9_exact_topk": OP9, "op10_line_dedup": OP10, "op11_fill_in_middle": OP11}
