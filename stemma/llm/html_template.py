@@ -19,10 +19,11 @@ from stemma.session import Scratch
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select option textarea button datalist".split())
-ASIDE = frozenset("nav header footer aside form menu dialog fieldset figure-menu".split())
+ASIDE = frozenset("nav header footer aside menu dialog".split())
+FORMS = frozenset("form fieldset".split())
 #: What a head can hold; anything else ends it.
 METADATA = frozenset("html head base link meta title script style noscript template".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class or id that mark what is not the article (fixed values), and others that may as well name its subject.
 MARKS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav subnav widget header masthead footer copyright ad ads advert adverts advertisement advertising adsense sponsor sponsored "
@@ -32,8 +33,17 @@ WEAK_MARKS = frozenset(
     "side aside rail promo promotion promoted banner notice notices notification alert overlay social related recommended recommendations topbar sitemap logo branding legal disclaimer search form toc tags taglist "
     "teaser teasers trending popular discussion feedback guestbook reaction reactions".split()
 )
-#: How an element, or one around it, is marked: not at all, by a weak word, by a sure word, by its tag or role or as hidden.
-CLEAR, WEAK, SURE, HARD = range(4)
+#: Words that say no more than that something is a part or where it is, and words by which a name tells of what a page has or lacks.
+NEUTRAL = frozenset(
+    "box slot wrapper wrap container block unit bar area inner outer section list item items link links button buttons btn group panel col column row grid module zone top bottom left right main primary secondary "
+    "site page content body text wide narrow fixed sticky mobile desktop small large".split()
+)
+STATES = frozenset("no non not with without has have free enabled disabled open closed allowed on".split())
+#: Elements that hold text of their own; of their names only the last word counts, and a heading's id is what it is about.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What is said against an element: nothing, a weak word, a sure word, that it is a form; or, beyond doubt, its tag or role or that it is hidden.
+CLEAR, WEAK, SURE, FORM, HARD = range(5)
 #: Of these, what inside an article is its title.
 TITLES = frozenset("header masthead banner".split())
 #: Names of containers of an article, and of ones that may hold more.
@@ -50,35 +60,66 @@ BLANK = re.compile(r"\s+")
 PATH = 2000
 
 
+def named(name: str, but: frozenset[str]) -> int:
+    """What one name in a class or id says against its element.
+
+    The last word tells what something is (a post-comments is comments, a comments-policy a policy), but for words like box or
+    content; words before it say little, and names that tell what a page has or lacks (no-sidebar, ad-free) nothing.
+    """
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if STATES & set(words):
+        return CLEAR
+    glued, told = "".join(words), [*words]
+    while len(told) > 1 and told[-1] in NEUTRAL:
+        told.pop()
+    sure, weak = MARKS - but, WEAK_MARKS - but
+    if glued in sure or told and told[-1] in sure:
+        return SURE
+    if glued in weak or told and told[-1] in weak:
+        return WEAK
+    return WEAK / 2 if (sure | weak) & set(words) else CLEAR
+
+
 @lru_cache(1 << 14)
-def traits(tag: str, attrs: tuple[tuple[str, str], ...]) -> tuple[str, int, int, int]:
-    """An element's name in paths, how it is marked outside and inside an article, and how surely it is one (4 to 0)."""
+def traits(tag: str, attrs: tuple[tuple[str, str], ...]) -> tuple[str, int, int, int, bool]:
+    """An element's name in paths, what is said against it outside and inside an article, how surely it is one (4 to 0), and if it is hidden."""
     have = dict(attrs)
     label = f"{have.get('class', '')} {have.get('id', '')}".strip().lower()
+    names = (have.get("class", "") if tag in HEADINGS else label).lower().split()
     words = {w for w in re.split(r"[^a-z]+", label) if w} | {re.sub(r"[^a-z]", "", w) for w in label.split()}
     role = have.get("role")
     box = tag in ("div", "section", "td")
     main = 4 if tag == "article" or role == "article" else 3 if box and words & SURE_MARKS else 2 if tag == "main" or role == "main" else 1 if box and words & LOOSE_MARKS else 0
     hidden = "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
-    plain = tag in ("html", "body")
-    hard = HARD if hidden or role in ROLES else CLEAR
-    mark = lambda but: CLEAR if plain else SURE if words & MARKS - but else WEAK if words & WEAK_MARKS - but else CLEAR
-    outside = max(hard, HARD if tag in ASIDE else CLEAR, mark(TITLES if main > 1 else frozenset()))
+    form = FORM if tag in FORMS or role == "form" else CLEAR
+
+    def against(but: frozenset[str], asides: frozenset[str], alone: bool) -> int:
+        said = max((named(n, but) for n in names), default=CLEAR) if tag not in ("html", "body") else CLEAR
+        said = CLEAR if said < WEAK and alone else WEAK if 0 < said < WEAK else said
+        return HARD if hidden or role in ROLES or tag in asides else max(form, said)
+
+    outside = against(TITLES if main > 1 else frozenset(), ASIDE, tag in LEAVES)
     # what an article's own header holds is its title, as long as nothing else marks it
-    inside = max(hard, HARD if tag in ASIDE - {"header"} else CLEAR, mark(TITLES))
+    inside = against(TITLES, ASIDE - {"header"}, True)
+    if main > 2 and against(TITLES, frozenset(), True) == SURE:
+        main = 0  # a comment is no article, whatever element it is in
     name = tag + ("." + ".".join(sorted(w for w in words if w)) if label else "")
-    return name, outside, inside, main
+    return name, outside, inside, main, hidden
 
 
 class Page(HTMLParser):
-    """Reads a page into blocks of text (path, mark, how surely in the article, text, linked characters); the path names each open element."""
+    """Reads a page into blocks of text (path, what is said against it, how surely in the article, text, linked characters); the path names each open element.
+
+    What is said against a block is a number and a level for each element around it that anything is said against, outermost first.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        # tag, path, mark, main, mute, in a link: what an element has from those around it included
-        self.open: list[tuple[str, str, int, int, bool, bool]] = [("", "", CLEAR, 0, False, False)]
+        # tag, path, said, main, mute, in a link: what an element has from those around it included
+        self.open: list[tuple[str, str, str, int, bool, bool]] = [("", "", "", 0, False, False)]
         self.opened: dict[str, int] = {}
-        self.blocks: list[tuple[str, int, int, str, int]] = []
+        self.blocks: list[tuple[str, str, int, str, int]] = []
+        self.marked = 0
         self.paths: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
@@ -91,8 +132,8 @@ class Page(HTMLParser):
         if self.parts:
             text = BLANK.sub(" ", "".join(self.parts)).strip()
             if text:
-                _, path, marked, main, _, _ = self.open[-1]
-                self.blocks.append((path, marked, main, text, self.linked))
+                _, path, said, main, _, _ = self.open[-1]
+                self.blocks.append((path, said, main, text, self.linked))
             self.parts, self.linked = [], 0
 
     def end_head(self) -> None:
@@ -114,16 +155,18 @@ class Page(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, path, marked, main, mute, link = self.open[-1]
-        name, outside, inside, own = traits(tag, tuple((k, v or "") for k, v in attrs if k in TRAITS))
-        gone = inside if main > 1 else outside
+        _, path, said, main, mute, link = self.open[-1]
+        name, outside, inside, own, hidden = traits(tag, tuple((k, v or "") for k, v in attrs if k in TRAITS))
         if not inline:
             # elements below a path of that length are told apart no further, so that deep nesting costs no more
             path = path if len(path) > PATH else f"{path}/{name}" if path else name
             self.paths[path] += 1
-        if own == 4 and marked == SURE:
-            marked = WEAK  # a word around an article element doesn't outvote it
-        self.open.append((tag, path, max(marked, gone), max(main, own), mute or tag in SILENT or (inline and gone >= SURE), link or tag == "a"))
+            level = inside if main > 1 else outside
+            # beyond doubt is beyond doubt, whatever else stands around or below
+            if level and not said.endswith(f":{HARD}") and (level == HARD or len(said) < PATH):
+                self.marked += 1
+                said = f"{said},{self.marked}:{level}" if said else f"{self.marked}:{level}"
+        self.open.append((tag, path, said, max(main, own), mute or tag in SILENT or (inline and hidden), link or tag == "a"))
         self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -159,7 +202,7 @@ class Page(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def read(html: str | None) -> list[tuple[str, int, int, str, int]]:
+def read(html: str | None) -> list[tuple[str, str, int, str, int]]:
     return Page(html).blocks if html else []
 
 
@@ -173,39 +216,70 @@ def tokens(page: Page) -> list[tuple[int, int, str, bool]]:
     return [(token(p), n, p, False) for p, n in page.paths.items()] + [(token(p, t), n, p, True) for (p, t), n in texts.items()]
 
 
-def article(blocks: list[tuple[str, int, int, str, int]], template: set[int], shared: set[int] | frozenset[int] = frozenset()) -> list[str]:
+def heard(blocks: list[tuple[str, str, int, str, int]], own: list[int]) -> list[int]:
+    """What stands against each block in the end; ``own`` has each block's characters that are the page's own text.
+
+    Words and forms only vote. From the outside inwards, what is said against an element falls if it holds most of the page's
+    own text, next to that of blocks that nothing is said against; unless those have what an article has and the element
+    lacks (an element or a name for it, a first heading) and not just a few words.
+    """
+    said = [[(int(k), int(level)) for k, level in (x.split(":") for x in b[1].split(","))] if b[1] else [] for b in blocks]
+    fallen: set[int] = set()
+    final = lambda marks: max((level for k, level in marks if k not in fallen), default=CLEAR)
+    held: dict[int, list[int]] = {}
+    for i, marks in enumerate(said):
+        if own[i] and marks and marks[-1][1] < HARD:
+            for k, _ in marks:
+                held.setdefault(k, []).append(i)
+    free = [i for i, marks in enumerate(said) if own[i] and not marks]
+    outer = sum(own[i] for i in free)
+
+    def like(some: list[int]) -> int:
+        return 2 * any(blocks[i][2] > 2 for i in some) + any(blocks[i][0].rsplit("/", 1)[-1].split(".")[0] == "h1" for i in some)
+
+    for k in sorted(held):
+        inner = sum(own[i] for i in held[k])
+        # below an element that stays out, nothing else matters
+        if inner > outer and fallen.issuperset(j for j, _ in said[held[k][0]] if j < k) and not (like(free) > like(held[k]) and 10 * outer >= inner):
+            fallen.add(k)
+            freed = [i for i in held[k] if not final(said[i])]
+            free, outer = free + freed, outer + sum(own[i] for i in freed)
+    return [final(marks) for marks in said]
+
+
+def article(blocks: list[tuple[str, str, int, str, int]], template: set[int], shared: set[int] | frozenset[int] = frozenset()) -> list[str]:
     """The texts of the slots that hold the article.
 
-    Slots under elements that are no article by their tag, role or a sure word never do. Words are a prior only: slots under
-    elements with a weak word count if the page has no article element outside them and they hold three times the own text (neither
-    the template's nor mostly links) of the clear ones. Of these slots, the ones that most surely hold the article are taken (an
-    article element, a container named so, the main element, or all), and the template judges each: texts that belong to
-    it are left out, as are slots most of whose characters are links. Inside article elements a text of the template goes only if
-    ``shared``, that is if unlike articles have it, and such texts are under half of the article (else it is a copy of others); a
-    single link there can be a title or a source and stays.
+    A page's own text is what is neither the template's nor in slots that are mostly links (all that is not, if there is none).
+    Slots that something stands against (``heard``) never count. Of the others, the ones that most surely hold the
+    article are taken (an article element, a container named so, the main element, or all), as long as they have a fifth of the
+    own text; and the template judges each: texts that belong to it are left out, as are slots most of whose characters are links. Inside
+    article elements a text of the template goes only if ``shared``, that is if unlike articles have it, and such texts are under half of the
+    article (else it is a copy of others); a single link there can be a title or a source and stays.
     """
     size, linked, times = Counter(), Counter(), Counter()
     for path, _, _, text, links in blocks:
         size[path] += len(text)
         linked[path] += links
         times[path] += 1
-    prose = lambda b: 2 * linked[b[0]] <= size[b[0]]
-    clear, weak = ([b for b in blocks if b[1] == mark] for mark in (CLEAR, WEAK))
-    useful = clear
-    if weak and all(b[2] < 4 for b in clear):
-        own = [sum(len(b[3]) for b in some if prose(b) and token(b[0], b[3]) not in template) for some in (clear, weak)]
-        useful = [b for b in blocks if b[1] <= WEAK] if own[1] > 3 * own[0] else clear
-    surest = max((b[2] for b in useful), default=0)
-    useful = [b for b in useful if b[2] == surest]
+    prose = [2 * linked[b[0]] <= size[b[0]] for b in blocks]
+    known = [token(b[0], b[3]) in template for b in blocks]
+    own = [len(b[3]) * (p and not t) for b, p, t in zip(blocks, prose, known)]
+    if not any(own):
+        own = [len(b[3]) * p for b, p in zip(blocks, prose)]
+    left = [i for i, level in enumerate(heard(blocks, own) if any(b[1] for b in blocks) else [CLEAR] * len(blocks)) if not level]
+    total = sum(own[i] for i in left)
+    surest = next((m for m in (4, 3, 2, 1) if (of := [i for i in left if blocks[i][2] == m]) and 5 * sum(own[i] for i in of) >= total), 0)
+    useful = [i for i in left if blocks[i][2] == surest or not surest]
     if surest == 4:
-        common = [token(b[0], b[3]) in shared for b in useful]
-        copied = 2 * sum(len(b[3]) for b, c in zip(useful, common) if c) >= sum(len(b[3]) for b in useful)
-        kept = [b for b, c in zip(useful, common) if copied or not c]
-        return [b[3] for b in [b for b in kept if times[b[0]] == 1 or prose(b)] or kept]
-    return [b[3] for b in useful if token(b[0], b[3]) not in template and prose(b)]
+        texts = lambda some: sum(len(blocks[i][3]) for i in some)
+        common = [i for i in useful if token(blocks[i][0], blocks[i][3]) in shared]
+        kept = useful if 2 * texts(common) >= texts(useful) else [i for i in useful if i not in set(common)]
+        return [blocks[i][3] for i in [i for i in kept if times[blocks[i][0]] == 1 or prose[i]] or kept]
+    return [blocks[i][3] for i in useful if not known[i] and prose[i]]
 
 
-BLOCK = (("path", pa.string()), ("mark", pa.int32()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32()))
+BLOCK = (("path", pa.string()), ("said", pa.string()), ("main", pa.int32()), ("text", pa.string()), ("linked", pa.int32()))
 TOKEN = (("token", pa.int64()), ("n", pa.int64()), ("path", pa.string()), ("is_text", pa.bool_()))
 
 
@@ -230,11 +304,11 @@ def parsed(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             read = [Page(html.as_py() or "") for html in b.column(3)]
-            content = [token("", "\n".join(x[3] for x in page.blocks if x[2] == 4 and x[1] == CLEAR)) for page in read]
+            content = [token("", "\n".join(x[3] for x in page.blocks if x[2] == 4 and f":{HARD}" not in x[1])) for page in read]
             columns = [pa.array(content, pa.int64()), listed([page.blocks for page in read], BLOCK), listed([tokens(page) for page in read], TOKEN)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], ["page_id", "url", "host", "content", "blocks", "tokens"])
 
-    kinds = "content long, blocks array<struct<path:string,mark:int,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
+    kinds = "content long, blocks array<struct<path:string,said:string,main:int,text:string,linked:int>>, tokens array<struct<token:bigint,n:bigint,path:string,is_text:boolean>>"
     return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id long, url string, host string, {kinds}")
 
 
