@@ -1,73 +1,95 @@
-"""Exact top-k by inner product: no-random-access aggregation over sorted lists, block against block."""
+"""Exact top-k by inner product: no-random-access aggregation over sorted lists, a block of rows at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows whose lists are read together in a task.
-LISTS = 8192
-
-
-def exact_type(q: np.ndarray, x: np.ndarray) -> type:
-    """The cheapest type in which sums of products of q's and x's whole numbers are exact; Python's integers if need be."""
-    most = 4.0 * max(1, x.shape[-1]) * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+#: Rows whose lists are read together, so that what is summed of them stays in a processor's cache.
+LISTS = 2048
+#: Shares of the lists after whose reading the bounds are looked at.
+STOPS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32, 1)
 
 
-def cast(a: np.ndarray, kind: type) -> np.ndarray:
-    return np.frompyfunc(int, 1, 1)(a) if kind is object and a.size else a.astype(kind)
+def whole(a: np.ndarray) -> np.ndarray:
+    """Numbers as Python's integers."""
+    return np.frompyfunc(int, 1, 1)(a) if a.size else a.astype(object)
 
 
 class Lists:
-    """Rows as one list a component, with the sorted lists' two ends."""
-
-    def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.x, self.ids = np.ascontiguousarray(x.T), ids
-        self.sorted = np.sort(self.x, axis=1)
-        self.low, self.high = self.sorted[:, 0], self.sorted[:, -1]
-
-    def depths(self, q: np.ndarray, level: float) -> list[int]:
-        """How many entries of each list, from its better end, lie ``level`` or more over its worse end."""
-        worst = np.minimum(q * self.low, q * self.high)
-        return [int((w * v - b >= level).sum()) if w else 0 for w, v, b in zip(q, self.sorted, worst)]
+    """Rows as one list a component, in ascending order of its values: which row an entry is of, and its value.
 
+    Sums of products are exact in floats as long as they stay below 2^53; beyond, the lists hold Python's integers.
+    """
 
-def nearest(lists: Lists, q: np.ndarray, k: int, skip: int, bar: float, reads: list[int] | None = None, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the lists that can be among the k best for q and reach ``bar``, with their scores; rows with the id ``skip`` take no part.
-
-    Each list is read from the end that is better for q, down to the entries that add ``level`` over the list's worst one. So
-    every list has its own depth: heavy ones are read far, those that never add that much not at all. What a row has in
-    lists where it has not been met lies between the list's worst entry and the level, which gives a lower and an
-    upper bound for its score. Rows whose upper bound is under the k-th best lower bound are out; unmet rows are,
-    too, by the same bounds. The level starts at a ``first`` of the heaviest list's range and is quartered until few rows are left,
-    or all lists are read; the scores of these are resolved. ``reads`` takes the depth of each list.
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.ids, self.rows = ids, np.ascontiguousarray(x)
+        columns = np.ascontiguousarray(x.T)
+        self.order = np.argsort(columns, axis=1, kind="stable")
+        self.values = np.take_along_axis(columns, self.order, axis=1)
+        self.low, self.high = self.values[:, 0].copy(), self.values[:, -1].copy()
+        self.most = max(np.abs(self.low).max(initial=0), np.abs(self.high).max(initial=0))
+        self._exact: Lists | None = None
+
+    def for_query(self, q: np.ndarray) -> tuple[Lists, np.ndarray]:
+        if self.rows.dtype == object or 4.0 * len(q) * float(np.abs(q).max(initial=0)) * float(self.most) < 2**53:
+            return self, q
+        if self._exact is None:
+            self._exact = Lists(whole(self.rows), self.ids)
+        return self._exact, whole(q)
+
+    def read(self, up: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries start to end of each list, counted from its upper end where ``up`` is true, else from its lower one: rows and values."""
+        n = self.order.shape[1]
+        rows, values = self.order[:, start:end].copy(), self.values[:, start:end].copy()
+        rows[up], values[up] = self.order[up, n - end : n - start][:, ::-1], self.values[up, n - end : n - start][:, ::-1]
+        return rows, values
+
+
+def nearest(lists: Lists, q: np.ndarray, k: int, skip: int, bar: float = -np.inf, few: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows that can be among the k best for q and reach ``bar``, with their scores, and the depth to which the lists were read; rows with the id ``skip`` take no part.
+
+    Every list is read in order from the end that is better for q, all to the same depth, and nothing beyond it is looked at. A row's
+    lower bound is what its entries met so far add to the lists' worst, its upper bound has in every list where it has not been met
+    what was read there last. The k-th best lower bound is the bar: rows met whose upper bound is below it are out, and rows not met
+    at all are when the sum of what was read last is. Reading stops when only a few of the rows met, one in ``few``, can
+    still qualify; their scores are resolved.
     """
+    lists, q = lists.for_query(q)
+    n, exact = len(lists.ids), lists.rows.dtype == object
+    up = q > 0
     worst = np.minimum(q * lists.low, q * lists.high)
-    spread = np.maximum(q * lists.low, q * lists.high) - worst
-    used = np.flatnonzero(spread > 0)
-    base, spread = worst.sum(), spread[used]
-    left = np.flatnonzero(lists.ids != skip)
-    over = q[used, None] * lists.x[used] - worst[used, None]
-    if len(left) < over.shape[1]:
-        over = over[:, left]
-    level = spread.max(initial=0) / first
-    while level >= 1 and len(left) > 2 * k:
-        met, slack = over >= level, np.minimum(spread, level)
-        lower = base + (over * met).sum(axis=0)
-        upper = lower + slack.sum() - np.einsum("i,ij->j", slack, met.astype(over.dtype))
-        bar = max(bar, np.partition(lower, len(left) - k)[len(left) - k])
-        able = np.flatnonzero(upper >= bar)
-        if len(able) < len(left):
-            left, over = left[able], over[:, able]
-        if reads is not None:
-            reads[:] = lists.depths(q, level)
-        level = level / 4
-    if reads is not None and len(left) > 2 * k:
-        reads[:] = lists.depths(q, 0)
-    return left, base + over.sum(axis=0)
+    base = worst.sum()
+    lower, seen = np.zeros(n, lists.rows.dtype), np.zeros((len(q), n), bool)
+    other, left, depth = lists.ids != skip, np.arange(n), 0
+    flat, starts = seen.ravel(), n * np.arange(len(q))[:, None]
+    for stop in STOPS:
+        end = max(depth, int(np.ceil(n * stop)))
+        if end == depth:
+            continue
+        rows, values = lists.read(up, depth, end)
+        over = q[:, None] * values - worst[:, None]
+        if exact:
+            np.add.at(lower, rows.ravel(), over.ravel())
+        else:
+            lower += np.bincount(rows.ravel(), over.ravel(), n)
+        flat[(rows + starts).ravel()] = True
+        depth, last = end, over[:, -1]
+        left = np.flatnonzero(seen.any(axis=0) & other)
+        if len(left) >= k:
+            known = lower[left]
+            bar = max(bar, base + np.partition(known, len(left) - k)[len(left) - k])
+        if depth < n and base + last.sum() >= bar:
+            continue  # a row not met yet could qualify
+        upper = base + lower[left] + last.sum() - last @ seen[:, left].astype(last.dtype)
+        left = left[upper >= bar]
+        if len(left) <= max(2 * k, n // few):
+            break
+    return left, lists.rows[left] @ q, depth
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -75,13 +97,12 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, query_block: int = 4096, block: int = 32768) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` the k best rows of ``vectors`` (vec_id, embedding) with another vec_id.
 
-    Components become floor(scale * x); the score is their inner product; ties go to the smaller vec_id. Both sides are dealt into
-    blocks at random and every block of queries meets every block of rows; each meeting keeps its k best per query and
-    the k best of these are the result. A block holds up to ``block`` rows, or ``query_block`` queries (fewer while that gives
-    the cluster too few tasks), which bounds a task's memory whatever the tables' size.
+    Components become floor(scale * x); the score is their inner product; ties go to the smaller vec_id. Rows are dealt once, at random,
+    into blocks of ``block`` or fewer, whose sorted lists (of ``LISTS`` rows together) a task builds and keeps while all queries come by, a batch at a time; so
+    only queries are copied, once a block. Each block gives its k best per query, and the k best of these are the result.
 
     Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Repeated rows of
     ``vectors`` are candidates each. Equal queries are one; one id with several vectors is several queries, whose rows have the
@@ -89,47 +110,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     of them. Scores beyond a long are held at its ends. An empty table gives no rows.
     """
 
-    def whole(df: DataFrame) -> DataFrame:
+    def usable(df: DataFrame) -> DataFrame:
         z = F.transform("embedding", lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("double"))
         ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(F.col("vec_id").cast("long"), z.alias("z")).withColumn("key", F.xxhash64("z"))
+        return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select(F.col("vec_id").cast("long"), z.alias("z"))
 
-    x, q = whole(vectors), whole(queries).distinct()
-    n_rows, n_queries = x.count(), q.count()
-    blocks = max(1, -(-n_rows // block))
+    x, q = usable(vectors), usable(queries).distinct()
     tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-n_queries // query_block), min(-(-n_queries // 256), -(-tasks // blocks)))
-
-    def dealt(df: DataFrame, own: str, mine: int, other: str, theirs: int) -> DataFrame:
-        df = df.select(F.size("z").alias("dim"), F.pmod(F.xxhash64("vec_id", "z", F.monotonically_increasing_id()), F.lit(mine)).alias(own), "vec_id", "z", "key")
-        return df.select("dim", own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(theirs - 1).cast("long"))).alias(other), "vec_id", "z", "key")
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("vec_id").to_numpy()
-        return ids, t.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    n_rows = x.count()
+    blocks = max(1, -(-n_rows // block), min(tasks, n_rows // 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, lists = None, [], None
+        for b in batches:
+            at = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            ends = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for start, end in zip(ends, ends[1:]):
+                if start == end:
+                    continue
+                (dim, number, asks), part = at[:, start], b.slice(start, end - start)
+                ids = part.column(3).to_numpy()
+                z = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                if (dim, number) != now:
+                    now, held, lists = (dim, number), [], None
+                if not asks:
+                    held.append((ids, z))
+                elif held:
+                    if lists is None:
+                        of, rows = (np.concatenate(h) for h in zip(*held))
+                        lists = [Lists(rows[i : i + LISTS], of[i : i + LISTS]) for i in range(0, len(of), LISTS)]
+                    yield answered(lists, ids, z, part.column(5).to_numpy())
+
+    def answered(lists: list[Lists], ids: np.ndarray, z: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         out = ([], [], [], [])
-        if left.num_rows and right.num_rows:
-            (qid, q), (xid, x), keys = matrix(left), matrix(right), left.column("key").to_numpy()
-            kind = exact_type(q, x)
-            q, found = cast(q, kind), [(np.empty(0, np.int64), np.empty(0, kind))] * len(qid)
-            for at in range(0, len(xid), LISTS):
-                lists = Lists(cast(x[at : at + LISTS], kind), xid[at : at + LISTS])
-                for i in range(len(qid)):
-                    ids, scores = found[i]
-                    rows, more = nearest(lists, q[i], k, qid[i], scores[-1] if len(scores) == k else -np.inf)
-                    ids, scores = np.concatenate([ids, lists.ids[rows]]), np.concatenate([scores, more])
-                    best = best_of(ids, scores, k)
-                    found[i] = ids[best], scores[best]
-            for i, (ids, scores) in enumerate(found):
-                held = [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
-                out[0].append(np.full(len(ids), qid[i])), out[1].append(np.full(len(ids), keys[i])), out[2].append(ids), out[3].append(np.array(held, np.int64))
-        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], ["query_id", "key", "vec_id", "score"])
-
-    meeting = ["dim", "part", "block"]
-    left = dealt(q, "part", parts, "block", blocks).groupBy(*meeting)
-    right = dealt(x, "block", blocks, "part", parts).groupBy(*meeting)
-    met = left.cogroup(right).applyInArrow(run, "query_id long, key long, vec_id long, score long")
+        for own, q, key in zip(ids, z, keys):
+            found, scores = np.empty(0, np.int64), np.empty(0)
+            for some in lists:  # what was found before is a bar for what comes after
+                rows, more, _ = nearest(some, q, k, own, scores[-1] if len(scores) == k else -np.inf)
+                found, scores = np.concatenate([found, some.ids[rows]]), np.concatenate([scores, more])
+                best = best_of(found, scores, k)
+                found, scores = found[best], scores[best]
+            out[0].append(np.full(len(found), own)), out[1].append(np.full(len(found), key)), out[2].append(found)
+            out[3].append(np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in scores], np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "key", "vec_id", "score"])
+
+    row = x.select(F.size("z").alias("dim"), F.pmod(F.xxhash64("vec_id", "z", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "z", F.lit(0).cast("long").alias("key"))
+    ask = q.select(F.size("z").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "z", F.xxhash64("z").alias("key"))
+    dealt = row.unionByName(ask).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "dim", "asks")
+    met = dealt.mapInArrow(run, "query_id long, key long, vec_id long, score long")
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

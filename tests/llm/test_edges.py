@@ -265,7 +265,7 @@ def test_topk_edges_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, -0.5]), (20, [0.3, 0.2]), (1, [1.0, -0.5]), (2, [1.0, -0.5]), (3, None), (4, [nan, 0.0]), (5, [inf, 0.0]), (6, [None, 1.0]), (7, [0.1]), (8, [1.0, -0.5]), (8, [1.0, -0.5]), (None, [1.0, 1.0]), (40, [1e30, 1e30]), (60, [0.5])]
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    got = top_k(df, df.where("vec_id % 20 = 0"), 3, block=3, query_block=2)
+    got = top_k(df, df.where("vec_id % 20 = 0"), 3, block=3)
     by = {}
     for r in got.collect():
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -285,14 +285,14 @@ def test_topk_against_all_products(spark):
         s = z @ z[q]
         best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:20]
         want |= {(q, r + 1, i, int(s[i])) for r, i in enumerate(best)}
-    assert {tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0"), block=64, query_block=4).collect()} == want
+    assert {tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0"), block=64).collect()} == want
 
 
 def test_topk_of_repeated_ids_and_rows(spark):
     """Rows of the query's id are no candidates whatever their vectors; repeated rows are candidates each."""
     rows = [(20, [float(9 - i), 0.0]) for i in range(6)] + [(i, [0.1 * i, 0.0]) for i in range(1, 5)] + [(3, [0.3, 0.0])] * 2 + [(20, [9.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = top_k(df, df.where("vec_id = 20"), 3, block=4, query_block=2).collect()
+    got = top_k(df, df.where("vec_id = 20"), 3, block=4).collect()
     assert len(got) == 6 * 3 and all([x.vec_id for x in sorted(got, key=lambda x: x.rank) if x.rank == r] == [v] * 6 for r, v in ((1, 4), (2, 3), (3, 3)))
 
 
@@ -307,20 +307,36 @@ def test_topk_of_numbers_beyond_floats(spark):
 
 
 def test_lists_are_read_only_as_far_as_the_bounds_need():
+    """Nothing beyond the depth is looked at: with all that spoilt, the answers are the same."""
     rng = np.random.default_rng(5)
-    centres = rng.normal(0, 12, (40, 32))
-    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 2, (4000, 32)))
-    lists, read = Lists(x.astype(np.float32), np.arange(4000)), 0
-    for i in range(0, 4000, 200):
-        depths = []
-        rows, scores = nearest(lists, x[i].astype(np.float32), 20, i, -np.inf, depths)
-        all_scores = x @ x[i]
-        all_scores[i] = -np.inf
-        best = np.lexsort((np.arange(4000), -all_scores))[:20]
-        assert set(best) <= set(rows) and (all_scores[rows] == scores).all() and len(rows) < 400
-        assert len(set(depths)) > 5  # every list has a depth of its own
-        read += sum(depths)
-    assert read < 0.97 * 20 * 32 * 4000
+    x = np.floor(np.abs(rng.pareto(1.5, (4000, 6))) * 8)  # few rows are high in any list
+    clustered = np.floor(rng.normal(0, 12, (40, 32))[rng.integers(0, 40, 4000)] + rng.normal(0, 2, (4000, 32)))
+    shallow = 0
+    for rows, few in ((x, 64), (x[:, :2] - 4, 64), (clustered, 16)):
+        lists = Lists(rows, np.arange(4000))
+        for i in range(0, 4000, 200):
+            q = rows[i] * (-1.0) ** np.arange(2) if rows.shape[1] == 2 else rows[i]
+            left, scores, depth = nearest(lists, q, 20, i, few=few)
+            products = rows @ q
+            products[i] = -np.inf
+            best = np.lexsort((np.arange(4000), -products))[:20]
+            assert set(best) <= set(left) and (products[left] == scores).all()
+            spoilt = Lists(rows, np.arange(4000))
+            for c in range(rows.shape[1]):
+                unread = slice(0, 4000 - depth) if q[c] > 0 else slice(depth, 4000)
+                spoilt.order[c, unread], spoilt.values[c, unread] = -(10**9), np.nan
+            again = nearest(spoilt, q, 20, i, few=few)
+            assert (again[0] == left).all() and (again[1] == scores).all() and again[2] == depth
+            shallow += depth <= 1000
+    assert shallow > 10
+
+
+def test_a_bar_from_before_and_lists_of_one_row():
+    lists = Lists(np.array([[3.0, -1.0]]), np.array([7]))
+    assert [a.tolist() for a in nearest(lists, np.array([2.0, 5.0]), 20, 0)[:2]] == [[0], [1.0]]
+    assert nearest(lists, np.array([2.0, 5.0]), 20, 7)[0].tolist() == []
+    assert nearest(lists, np.array([2.0, 5.0]), 1, 0, bar=2.0)[0].tolist() == []
+
 
 
 # lines
