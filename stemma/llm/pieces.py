@@ -21,7 +21,7 @@ CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 KEPT, SHORT, LONG = 1 << 18, 48, 1 << 20
 NEVER = float("inf")
 #: Ids in an Arrow batch of results, about.
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 
 @lru_cache(2)
