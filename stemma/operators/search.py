@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.catalog import catena_by_header, top_k
+from stemma.operators.postings import ALL, SET, TITLE, Blocks, search_blocks, store_blocks
 from stemma.session import Scratch
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-K1, B = 1.2, 0.75
 #: Weights of the vector, text and title signals and the fusion constant (fixed values).
 WEIGHTS, RRF_K = {"vector": 1.3, "fts": 1.0, "title": 0.5}, 60
 #: Words of names that do not tell authors apart (fixed values).
@@ -49,14 +49,11 @@ def build_index(passages: DataFrame, columns: tuple[str, ...] = ("text", "author
     return Index(postings, lengths, passages.select("id", *(c for c in ("author", "work") if c in passages.columns)))
 
 
-def store_index(passages: DataFrame, scratch: Scratch) -> Index:
-    """The index written as tables, so that searches read it and don't cut texts into terms.
-
-    Postings are dealt and ordered by term within files, so that the files' own statistics leave out what a query doesn't ask for.
-    """
-    made = build_index(passages)
-    by_term = made.postings.repartition("term").sortWithinPartitions("term")
-    return Index(scratch.cut(by_term), scratch.cut(made.lengths), scratch.cut(made.entries))
+def store_index(passages: DataFrame, scratch: Scratch) -> Blocks:
+    """The index of passages (id, text, author, work) written in blocks, with the sets of each author's passages and of those that are no commentaries."""
+    cols = {c: terms(F.col(c)) for c in ("text", "author", "work")}
+    sets = F.array_compact(F.array(F.concat(F.lit("by "), F.lower("author")), F.when(~F.coalesce(F.col("work"), F.lit("")).ilike("Commentary on %") & F.col("work").isNotNull(), "titled")))
+    return store_blocks(passages, cols, sets, scratch, "work")
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -66,41 +63,27 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return phrases.select("query_id", F.concat_ws(" ", "ts").alias("phrase"), "ts").distinct().select("query_id", "phrase", F.size("ts").alias("n"), F.posexplode("ts").alias("j", "term"))
 
 
-def matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, phrase, id, tf): how often each phrase stands in a passage, its terms adjacent in one column."""
-    q = query_phrases(queries)
-    asked = postings.join(q.select("term").distinct(), "term", "left_semi")
-    hit = asked.join(q, "term").withColumn("start", F.col("pos") - F.col("j"))
-    single = hit.where("n = 1").groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf"))
-    runs = hit.where("n > 1").groupBy("query_id", "phrase", "n", "id", "col", "start").agg(F.count("*").alias("got")).where("got = n")
-    return single.unionByName(runs.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf")))
+def asked_for(queries: DataFrame, field: str, every: bool) -> DataFrame:
+    """The phrases of queries (query_id, query) as search_blocks takes them."""
+    return query_phrases(queries).select("query_id", F.lit(field).alias("field"), "phrase", "n", "j", "term", F.lit(every).alias("needed"), F.lit(True).alias("scored"))
 
 
-def bm25(found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, id, score, matched) from phrase matches by Okapi's formula over the whole corpus."""
-    totals = lengths.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
-    df = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(df, ["query_id", "phrase"]).join(lengths, "id").select("query_id", "id", part.alias("s"))
-    return scored.groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("matched"))
+def chosen(queries: DataFrame, name: Column) -> DataFrame:
+    """That a query's passages have to be in a set; those whose name is null can be any."""
+    return queries.select("query_id", name.alias("term")).where("term is not null").select("query_id", F.lit(SET).alias("field"), F.col("term").alias("phrase"), F.lit(1).alias("n"), F.lit(0).alias("j"), "term", F.lit(True).alias("needed"), F.lit(False).alias("scored"))
 
 
-def bm25_search(queries: DataFrame, index: Index, k: int = 100) -> DataFrame:
+def bm25_search(queries: DataFrame, index: Blocks, k: int = 100) -> DataFrame:
     """The k best passages per query that hold all its tokens: query_id, rank, id, score. An author column in queries limits each to that author."""
-    need = query_phrases(queries).groupBy("query_id").agg(F.count_distinct("phrase").alias("need"))
-    found = bm25(matches(queries, index.postings), index.lengths).join(need, "query_id").where("matched = need")
+    asks = asked_for(queries, ALL, True)
     if "author" in queries.columns:
-        scope = queries.select("query_id", F.lower("author").alias("a"))
-        found = found.join(index.entries.select("id", F.lower("author").alias("own")), "id").join(scope, "query_id").where("a is null or a = own")
-    return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k, "rank").select("query_id", "rank", "id", "score")
+        asks = asks.unionByName(chosen(queries, F.concat(F.lit("by "), F.lower("author"))))
+    return search_blocks(asks, index, k)
 
 
-def title_search(queries: DataFrame, index: Index, k: int = 50) -> DataFrame:
+def title_search(queries: DataFrame, index: Blocks, k: int = 50) -> DataFrame:
     """The k best passages per query by any token in the work's title; titles of commentaries are left out."""
-    titled = index.entries.where(~F.col("work").ilike("Commentary on %")).select("id")
-    found = bm25(matches(queries, index.postings.where("col = 'work'")), index.lengths).join(titled, "id")
-    return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k, "rank").select("query_id", "rank", "id", "score")
+    return search_blocks(asked_for(queries, TITLE, False).unionByName(chosen(queries, F.lit("titled"))), index, k)
 
 
 def load_vectors(vectors: DataFrame, dim: int) -> DataFrame:
@@ -221,7 +204,7 @@ def writing_floor(ranked: DataFrame, diversified: DataFrame, scratch: Scratch, f
     return stays.union(changed.where("place is not null")).select("query_id", "place", "id")
 
 
-def hybrid_search(queries: DataFrame, qvecs: DataFrame, passages: DataFrame, index: Index, vectors: DataFrame, dim: int, scratch: Scratch, limit: int = 100, floor: bool = True) -> DataFrame:
+def hybrid_search(queries: DataFrame, qvecs: DataFrame, passages: DataFrame, index: Blocks, vectors: DataFrame, dim: int, scratch: Scratch, limit: int = 100, floor: bool = True) -> DataFrame:
     """Vector, text and title hits fused, diversified and floored: query_id, place, id. Text is joined by the caller, last."""
     pool = limit * 3
     fused = rrf_fuse({"vector": vector_topk(qvecs, vectors, dim, pool), "fts": bm25_search(queries, index, pool), "title": title_search(queries, index, 50)})

@@ -24,11 +24,4 @@ def query(bindings: str = "", sql: str | None = None) -> Callable:
     return add
 
 
-def alias(name: str, other: str) -> None:
-    """Registers a query under a second name."""
-    QUERIES[name] = QUERIES[other]
-    if other in ORACLE:
-        ORACLE[name] = ORACLE[other]
-
-
 from stemma.plans import catalog_queries, log_queries, reader_queries, search_queries, stream_queries, text_queries  # noqa: E402, F401

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from stemma.operators import catalog as C
 from stemma.operators import search as S
-from stemma.plans.registry import alias, query
+from stemma.operators.postings import ALL, Blocks
+from stemma.plans.registry import query
 from stemma.session import Scratch
 from stemma.sources.bindings import bind
 
@@ -33,15 +34,23 @@ def queries(spark, d):
     return bind(spark, d, "search_queries")
 
 
-_stored: dict[tuple[str, str], tuple[Scratch, S.Index]] = {}
+_stored: dict[tuple[str, str], tuple[list, Blocks]] = {}
 
 
-def index(spark, d) -> S.Index:
-    """The index over the text passages of a data folder, stored once a session and read by every search in it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _stored or not _stored[key][0].exists():
-        scratch = Scratch(spark)
-        _stored[key] = scratch, S.store_index(bind(spark, d, "text_passages"), scratch)
+def state(spark, path: str) -> list:
+    """What tells that a table has been written anew: its files, their lengths and times."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
+
+
+def index(spark, d) -> Blocks:
+    """The index over the text passages of a data folder, stored once a session and read by every search in it, as long as the tables stay what they are."""
+    key, now = (spark.sparkContext.applicationId, d), [state(spark, f"{d}/{t}.parquet") for t in ("documents", "labels")]
+    if key not in _stored or _stored[key][0] != now or not _stored[key][1].scratch.exists():
+        if key in _stored:
+            _stored[key][1].scratch.clear()
+        _stored[key] = now, S.store_index(bind(spark, d, "text_passages"), Scratch(spark))
     return _stored[key][1]
 
 
@@ -89,6 +98,15 @@ def build_index(spark, d):
     return S.build_index(bind(spark, d, "text_passages")).postings.groupBy("term", "col").agg(F.count("*").alias("n"), F.count_distinct("id").alias("docs"))
 
 
+@query("text_passages", f"WITH tok AS (SELECT id, term, pos, row_number() OVER (PARTITION BY id, term ORDER BY col, pos) AS nth, col FROM (SELECT id, 0 AS col, unnest({TERMS.format('text')}) AS term, unnest(range(len({TERMS.format('text')}))) AS pos FROM text_passages UNION ALL SELECT id, 1, unnest({TERMS.format('author')}), unnest(range(len({TERMS.format('author')}))) FROM text_passages UNION ALL SELECT id, 2, unnest({TERMS.format('work')}), unnest(range(len({TERMS.format('work')}))) FROM text_passages)), dl AS (SELECT id, count(*) AS dl FROM tok GROUP BY id) SELECT term, CAST(count(DISTINCT id) AS BIGINT) AS docs, count(*) AS occurrences, CAST(sum(nth * (4294967296 * col + pos) % 1000003) AS BIGINT) AS places, CAST(sum(CASE WHEN nth = 1 THEN dl END) AS BIGINT) AS lengths FROM tok JOIN dl USING (id) GROUP BY term")
+def index_blocks(spark, d):
+    """What the stored blocks hold of each term: passages, occurrences, places in their order, and lengths."""
+    blocks = index(spark, d).blocks.where(F.col("field") == ALL)
+    places = F.expr("aggregate(flatten(transform(places, p -> transform(p, (x, i) -> (i + 1) * x % 1000003))), 0L, (a, x) -> a + x)")
+    each = blocks.select("term", "n", F.expr("aggregate(tfs, 0L, (a, x) -> a + x)").alias("o"), places.alias("p"), F.expr("aggregate(dls, 0L, (a, x) -> a + x)").alias("l"))
+    return each.groupBy("term").agg(F.sum("n").alias("docs"), F.sum("o").alias("occurrences"), F.sum("p").alias("places"), F.sum("l").alias("lengths"))
+
+
 UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
 
 
@@ -104,10 +122,6 @@ def vector_topk_in_author(spark, d):
     return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding", "author"), v, DIM, 20).drop("score")
 
 
-alias("vector_topk_whole", "vector_topk")
-alias("vector_topk_in_author_whole", "vector_topk_in_author")
-
-
 @query("", f"SELECT vec_id AS passage_id, round(list_sum(list_transform({UNIT}, lambda x: abs(x))), 6) AS size FROM embeddings")
 def load_vectors(spark, d):
     unit = S.load_vectors(bind(spark, d, "vectors"), DIM)
@@ -186,9 +200,6 @@ def highlight(spark, d):
     return S.highlight(first, queries(spark, d)).select("query_id", "id", "marked")
 
 
-alias("highlight_whole", "highlight")
-
-
 #: The floor of two writings on a page of 15, over fused and spread: two rounds, then the exchange of places.
 FLOOR = """, fr AS (SELECT f.query_id, f.rank, f.id, p.work_id, p.author_id, p.kind = 'writing' AS wr, s.place FROM fused f JOIN text_passages p USING (id) LEFT JOIN (SELECT query_id, id, place FROM spread) s USING (query_id, id)),
 fc AS (SELECT *, coalesce(place <= 15, false) AS pg, 2 - count(*) FILTER (place <= 15 AND wr) OVER (PARTITION BY query_id) AS lacks, count(place) OVER (PARTITION BY query_id, work_id) AS nw, count(place) OVER (PARTITION BY query_id, author_id) AS na FROM fr),

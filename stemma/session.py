@@ -38,14 +38,17 @@ class Scratch:
     not freed before goes when the driver's JVM ends.
     """
 
+    #: The temporary folder of this process, if it needed one.
+    local: str | None = None
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-            base = tempfile.mkdtemp(prefix="stemma-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            # the setting can't be changed in a running session
+            base = Scratch.local = Scratch.local or tempfile.mkdtemp(prefix="stemma-")
         self.root = f"{base.rstrip('/')}/stemma-{uuid.uuid4().hex}"
         self.n = 0
         fs, path = self._file(self.root)
@@ -58,10 +61,11 @@ class Scratch:
         path = context._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(context._jsc.hadoopConfiguration()), path
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """The rows of ``df`` as a written table, in folders by some columns if they are named."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out

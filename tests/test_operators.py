@@ -22,7 +22,7 @@ def test_phrases_need_neighbours_in_one_column(spark):
     docs = [(1, "the Lord's day", "a", "w"), (2, "lord of s and s", "a", "w"), (3, "s", "lord", "w")]
     p = spark.createDataFrame(docs, "id long, text string, author string, work string")
     q = spark.createDataFrame([(1, "lord's"), (2, "LORD s"), (3, "?!"), (4, None)], "query_id long, query string")
-    got = {(r.query_id, r.id) for r in S.bm25_search(q, S.build_index(p)).collect()}
+    got = {(r.query_id, r.id) for r in S.bm25_search(q, S.store_index(p, Scratch(spark))).collect()}
     assert got == {(1, 1), (2, 1), (2, 2), (2, 3)}
 
 

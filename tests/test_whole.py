@@ -12,19 +12,19 @@ from stemma.plans import registry
 D = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, source, key", [("strip_citations_whole", "documents", "doc_id"), ("flag_truncated_whole", "documents", "doc_id"), ("prepare_texts_whole", "documents", "doc_id")])
+@pytest.mark.parametrize("name, source, key", [("strip_citations", "documents", "doc_id"), ("flag_truncated", "documents", "doc_id"), ("prepare_texts", "documents", "doc_id")])
 def test_every_row_comes_back(spark, name, source, key):
     assert registry.QUERIES[name](spark, D).count() == spark.read.parquet(f"{D}/{source}.parquet").count()
 
 
 def test_whole_texts_keep_their_length(spark):
-    got = {r.id: r.n for r in registry.QUERIES["prepare_texts_whole"](spark, D).collect()}
+    got = {r.id: r.n for r in registry.QUERIES["prepare_texts"](spark, D).collect()}
     assert got == {r.doc_id: len(r.text.strip()) for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
 
 
 def test_queries_are_all_ids_divisible_by_fifty(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{D}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
-    assert {r.query_id for r in registry.QUERIES["vector_topk_whole"](spark, D).select("query_id").distinct().collect()} == ids
+    assert {r.query_id for r in registry.QUERIES["vector_topk"](spark, D).select("query_id").distinct().collect()} == ids
 
 
 def test_citations_after_of(spark):
