@@ -6,14 +6,13 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.catalog import catena_by_header, top_k
 from stemma.operators.postings import ALL, SET, TITLE, Blocks, search_blocks, store_blocks
+from stemma.operators.vectors import Vectors, nearest, store_vectors
 from stemma.session import Scratch
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -22,8 +21,6 @@ WEIGHTS, RRF_K = {"vector": 1.3, "fts": 1.0, "title": 0.5}, 60
 #: Words of names that do not tell authors apart (fixed values).
 NAME_STOPWORDS = ("st", "st.", "saint", "pope", "the", "of", "and", "bishop", "martyr", "venerable", "blessed", "abba", "deacon", "elder", "great", "council", "synod", "letter", "epistle", "acts", "pseudo")
 MAX_QUERY = 500
-#: Vectors that meet one block of queries in a task.
-VECTOR_BLOCK = 8192
 
 
 def terms(text: Column) -> Column:
@@ -86,44 +83,13 @@ def title_search(queries: DataFrame, index: Blocks, k: int = 50) -> DataFrame:
     return search_blocks(asked_for(queries, TITLE, False).unionByName(chosen(queries, F.lit("titled"))), index, k)
 
 
-def load_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    """Vectors scaled to length one; one of another length becomes zeros, a null is dropped."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    sized = vectors.where("embedding is not null").withColumn("v", F.when(F.size("embedding") == dim, v).otherwise(zeros))
-    norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-10))
-    return sized.withColumn("norm", norm).withColumn("unit", F.expr("transform(v, x -> x / norm)")).drop("v", "norm")
+def vector_topk(queries: DataFrame, vectors: DataFrame | Vectors, dim: int, k: int = 100) -> DataFrame:
+    """The k nearest passages by cosine for queries (query_id, embedding, optional author): query_id, rank, id, score.
 
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 100, block: int = 512) -> DataFrame:
-    """The k nearest passages by cosine for queries (query_id, embedding, optional author) over vectors (passage_id, embedding, optional author).
-
-    Blocks of about ``block`` queries are dealt against blocks of about ``VECTOR_BLOCK`` vectors by a cogroup; every pair of blocks
-    keeps k per query. A zero query finds nothing; an author limits the rows before they are scored.
+    ``vectors`` are stored ones, or a table (passage_id, embedding, optional author) that is stored first.
     """
-    scoped = "author" in queries.columns
-    also = ["author"] if scoped else []
-    across, down = (max(1, -(-n // size)) for n, size in ((queries.count(), block), (vectors.count(), VECTOR_BLOCK)))
-    part = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = load_vectors(queries, dim).where(F.exists("unit", lambda x: x != 0)).select("query_id", "unit", *also, part("query_id", across).alias("qb"), every(down).alias("vb"))
-    v = load_vectors(vectors, dim).select("passage_id", "unit", *also, every(across).alias("qb"), part("passage_id", down).alias("vb"))
-    kinds = pa.schema([("query_id", pa.int64()), ("passage_id", pa.int64()), ("score", pa.float64())])
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return kinds.empty_table()
-        matrix, x = (np.array(t.column("unit").to_pylist(), np.float64).reshape(t.num_rows, dim) for t in (left, right))
-        only, own = (np.array([(a or "").lower() for a in t.column("author").to_pylist()]) if scoped else None for t in (left, right))
-        ids, pids, out = left.column("query_id").to_pylist(), right.column("passage_id").to_numpy(), []
-        for i, s in enumerate(np.round(matrix @ x.T, 9)):
-            rows = np.flatnonzero(own == only[i]) if scoped and only[i] else np.arange(len(s))
-            best = rows[np.lexsort((pids[rows], -s[rows]))[:k]]
-            out.append((np.full(len(best), ids[i]), pids[best], s[best]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds.types)], schema=kinds)
-
-    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(search, "query_id long, passage_id long, score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.col("passage_id")], k, "rank").select("query_id", "rank", F.col("passage_id").alias("id"), "score")
+    scratch = Scratch(queries.sparkSession)
+    return nearest(queries, vectors if isinstance(vectors, Vectors) else store_vectors(vectors, dim, scratch), dim, k, scratch)
 
 
 def rrf_fuse(signals: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
@@ -204,7 +170,7 @@ def writing_floor(ranked: DataFrame, diversified: DataFrame, scratch: Scratch, f
     return stays.union(changed.where("place is not null")).select("query_id", "place", "id")
 
 
-def hybrid_search(queries: DataFrame, qvecs: DataFrame, passages: DataFrame, index: Blocks, vectors: DataFrame, dim: int, scratch: Scratch, limit: int = 100, floor: bool = True) -> DataFrame:
+def hybrid_search(queries: DataFrame, qvecs: DataFrame, passages: DataFrame, index: Blocks, vectors: DataFrame | Vectors, dim: int, scratch: Scratch, limit: int = 100, floor: bool = True) -> DataFrame:
     """Vector, text and title hits fused, diversified and floored: query_id, place, id. Text is joined by the caller, last."""
     pool = limit * 3
     fused = rrf_fuse({"vector": vector_topk(qvecs, vectors, dim, pool), "fts": bm25_search(queries, index, pool), "title": title_search(queries, index, 50)})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stemma.operators import catalog as C
 from stemma.operators import search as S
 from stemma.operators.postings import ALL, Blocks
+from stemma.operators.vectors import Vectors, store_vectors
+from stemma.operators.vectors import load_vectors as load_unit
 from stemma.plans.registry import query
 from stemma.session import Scratch
 from stemma.sources.bindings import bind
@@ -34,7 +36,7 @@ def queries(spark, d):
     return bind(spark, d, "search_queries")
 
 
-_stored: dict[tuple[str, str], tuple[list, Blocks]] = {}
+_stored: dict[tuple[str, str, str], tuple[list, Scratch, Blocks | Vectors]] = {}
 
 
 def state(spark, path: str) -> list:
@@ -44,14 +46,24 @@ def state(spark, path: str) -> list:
     return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
 
 
-def index(spark, d) -> Blocks:
-    """The index over the text passages of a data folder, stored once a session and read by every search in it, as long as the tables stay what they are."""
-    key, now = (spark.sparkContext.applicationId, d), [state(spark, f"{d}/{t}.parquet") for t in ("documents", "labels")]
-    if key not in _stored or _stored[key][0] != now or not _stored[key][1].scratch.exists():
+def stored(spark, d, name, tables, make):
+    """What ``make`` writes from the tables of a data folder, once a session and as long as they stay what they are; all searches in the folder read it."""
+    key, now = (spark.sparkContext.applicationId, d, name), [state(spark, f"{d}/{t}.parquet") for t in tables]
+    if key not in _stored or _stored[key][0] != now or not _stored[key][1].exists():
         if key in _stored:
-            _stored[key][1].scratch.clear()
-        _stored[key] = now, S.store_index(bind(spark, d, "text_passages"), Scratch(spark))
-    return _stored[key][1]
+            _stored[key][1].clear()
+        scratch = Scratch(spark)
+        _stored[key] = now, scratch, make(scratch)
+    return _stored[key][2]
+
+
+def index(spark, d) -> Blocks:
+    return stored(spark, d, "text", ("documents", "labels"), lambda s: S.store_index(bind(spark, d, "text_passages"), s))
+
+
+def vectors(spark, d) -> Vectors:
+    """The vectors, with their labels as authors."""
+    return stored(spark, d, "vectors", ("embeddings",), lambda s: store_vectors(bind(spark, d, "vectors").withColumn("author", F.col("label").cast("string")), DIM, s))
 
 
 @query("search_queries text_passages", f"WITH {bm25_sql('h', 'search_queries')} SELECT * FROM h")
@@ -113,18 +125,18 @@ UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(li
 @query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id, round(list_dot_product(q.u, v.u), 9) AS score FROM (SELECT vec_id, {UNIT} AS u FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, {UNIT} AS u FROM embeddings) v) WHERE rank <= 100")
 def vector_topk(spark, d):
     v = bind(spark, d, "vectors")
-    return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding"), v, DIM).withColumn("score", F.round("score", 9))
+    return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding"), vectors(spark, d), DIM).withColumn("score", F.round("score", 9))
 
 
 @query("", f"SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS INTEGER) AS rank, v.vec_id AS id FROM (SELECT vec_id, label, {UNIT} AS u FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT vec_id, label, {UNIT} AS u FROM embeddings) v USING (label)) WHERE rank <= 20")
 def vector_topk_in_author(spark, d):
     v = bind(spark, d, "vectors").withColumn("author", F.col("label").cast("string"))
-    return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding", "author"), v, DIM, 20).drop("score")
+    return S.vector_topk(v.where("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding", "author"), vectors(spark, d), DIM, 20).drop("score")
 
 
 @query("", f"SELECT vec_id AS passage_id, round(list_sum(list_transform({UNIT}, lambda x: abs(x))), 6) AS size FROM embeddings")
 def load_vectors(spark, d):
-    unit = S.load_vectors(bind(spark, d, "vectors"), DIM)
+    unit = load_unit(bind(spark, d, "vectors"), DIM)
     return unit.select("passage_id", F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("size"))
 
 
@@ -225,7 +237,7 @@ fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 def hybrid(spark, d, floor):
     v, q = bind(spark, d, "vectors"), queries(spark, d)
     qvecs = v.join(q.select(F.col("query_id").alias("passage_id")), "passage_id").select(F.col("passage_id").alias("query_id"), "embedding")
-    return S.hybrid_search(q, qvecs, bind(spark, d, "text_passages"), index(spark, d), v, DIM, Scratch(spark), floor=floor)
+    return S.hybrid_search(q, qvecs, bind(spark, d, "text_passages"), index(spark, d), vectors(spark, d), DIM, Scratch(spark), floor=floor)
 
 
 @query("search_queries text_passages", f"WITH {HYBRID}{SPREAD}{FLOOR} SELECT * FROM fl")

@@ -10,6 +10,7 @@ from stemma.operators import logs as L
 from stemma.operators import reader as R
 from stemma.operators import search as S
 from stemma.operators.publish import write_sitemap, write_topics
+from stemma.operators.vectors import load_vectors
 from stemma.session import Scratch
 from stemma.streaming import jobs as J
 
@@ -85,7 +86,7 @@ def test_caps_equal_the_greedy_list(spark):
 
 def test_vectors_of_odd_width_and_zero_queries(spark):
     v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0])], "passage_id long, embedding array<float>")
-    assert {r.passage_id: r.unit for r in S.load_vectors(v, 2).collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 4: [0.0, 0.0]}
+    assert {r.passage_id: r.unit for r in load_vectors(v, 2).collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 4: [0.0, 0.0]}
     q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert {(r.query_id, r.id) for r in S.vector_topk(q, v, 2, 1).collect()} == {(2, 1)}
 
