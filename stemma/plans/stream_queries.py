@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.operators.etl import build_verse_index
-from stemma.operators.search import build_index
+from stemma.operators.search import build_index, terms
 from stemma.plans.log_queries import COST_SQL, RATE_LIMITS
 from stemma.plans.registry import query
 from stemma.session import Scratch
 from stemma.sources.bindings import BINDINGS, bind
 from stemma.streaming import jobs
+from stemma.streaming.mergelog import MergeLog
+from stemma.streaming.mergelog import ingest_stream as start_ingest
 
 
 def live_logs(spark: SparkSession, d: str) -> DataFrame:
@@ -53,36 +55,56 @@ def call_stats_stream(spark, d):
     return settled(jobs.call_stats_stream(live_logs(spark, d)), "append").drop("_batch")
 
 
-BUCKETS = 8
+BUCKETS, PARTS = 8, 3
+#: A passage's length in terms.
+TERM_COUNT = F.size(terms(F.col("header")))
+#: Which passages are deleted for good: the sevenths of each work are deleted, and of every other work come back.
+STAYS = "(id % 10 <> 7 OR (id // 1000) % 2 = 0)"
 
 
-def ingest(spark: SparkSession, d: str) -> tuple[str, int]:
-    """The verse passages as they arrive in three batches: two halves, of which the first has every third header wrong, and the
-    corrections of these. Gives the folder and the last batch."""
+def ingest(spark: SparkSession, d: str) -> tuple[MergeLog, int]:
+    """The verse passages as they arrive in four batches: all of them, every third with a wrong header; corrections, and deletions; late rows of
+    older versions of both; and passages that come back. Gives the log and the last batch."""
     scratch = Scratch(spark)
     rows = bind(spark, d, "verse_passages").select("id", "header")
     wrong = F.expr("case when id % 3 = 0 then concat('Unread ', id) else header end")
-    arrivals = [rows.where("id % 2 = 0").select("id", F.lit(1).alias("version"), wrong.alias("header")), rows.where("id % 2 = 1").select("id", F.lit(1).alias("version"), "header"), rows.where("id % 6 = 0").select("id", F.lit(2).alias("version"), "header")]
+    row = lambda version, header, where, deleted=False: rows.where(where).select("id", F.lit(version).alias("version"), F.lit(deleted).alias("deleted"), header.alias("header"))
+    right, none = F.col("header"), F.lit(None).cast("string")
+    arrivals = [
+        row(2, wrong, "true").union(row(1, F.lit("John 1:1"), "id % 5 = 0")),
+        row(3, right, "id % 3 = 0").union(row(5, none, "id % 10 = 7", True)),
+        row(1, F.lit("Mark 9:9"), "id % 2 = 0").union(row(4, F.lit("Mark 9:9"), "id % 10 = 7")),
+        row(6, right, "id % 10 = 7 and (id div 1000) % 2 = 0"),
+    ]
     derive = {
         "verses": ("passage_id", build_verse_index),
         "postings": ("id", lambda p: build_index(p, ("header",)).postings),
         "pending": ("id", lambda p: p.select("id")),
     }
-    source = spark.readStream.schema("id long, version int, header string").parquet(f"{scratch.root}/in/*")
+    log = MergeLog(spark, f"{scratch.root}/out", derive, BUCKETS, TERM_COUNT, PARTS)
+    source = spark.readStream.schema("id long, version int, deleted boolean, header string").parquet(f"{scratch.root}/in/*")
     for no, arrival in enumerate(arrivals):
         arrival.write.parquet(f"{scratch.root}/in/{no}")
-        jobs.ingest_stream(source, f"{scratch.root}/out", derive, f"{scratch.root}/log", BUCKETS).awaitTermination()
-    return f"{scratch.root}/out", len(arrivals) - 1
+        start_ingest(source, log, f"{scratch.root}/log").awaitTermination()
+    log.vacuum(len(arrivals) - 1)
+    return log, len(arrivals) - 1
 
 
-@query("verse_passages", "SELECT id AS passage_id, book, chapter, verse_start, coalesce(verse_end, -1) AS verse_end FROM verse_passages")
+@query("verse_passages", f"SELECT id AS passage_id, book, chapter, verse_start, coalesce(verse_end, -1) AS verse_end FROM verse_passages WHERE {STAYS}")
 def ingest_stream(spark, d):
-    folder, last = ingest(spark, d)
-    return jobs.ingested(spark, folder, "verses", last, BUCKETS).select("passage_id", "book", "chapter", "verse_start", "verse_end").fillna(-1, "verse_end")
+    log, last = ingest(spark, d)
+    return log.table("verses", last).select("passage_id", "book", "chapter", "verse_start", "verse_end").fillna(-1, "verse_end")
 
 
-@query("verse_passages", "SELECT 'postings' AS name, term AS item, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(header), '[^\\pL\\pN]+'), lambda x: x <> '')) AS term FROM verse_passages) GROUP BY term UNION ALL SELECT 'pending', CAST(id % 10 AS VARCHAR), count(*) FROM verse_passages GROUP BY id % 10")
+WORDS = "list_filter(regexp_split_to_array(lower(header), '[^\\pL\\pN]+'), lambda x: x <> '')"
+
+
+@query("verse_passages", f"SELECT 'postings' AS name, term AS item, count(*) AS n FROM (SELECT unnest({WORDS}) AS term FROM verse_passages WHERE {STAYS}) GROUP BY term UNION ALL SELECT 'pending', CAST(id % 10 AS VARCHAR), count(*) FROM verse_passages WHERE {STAYS} GROUP BY id % 10 UNION ALL SELECT 'passages', 'all', count(*) FROM verse_passages WHERE {STAYS} UNION ALL SELECT 'lengths', 'all', sum(len({WORDS})) FROM verse_passages WHERE {STAYS}")
 def ingest_refresh(spark, d):
-    folder, last = ingest(spark, d)
-    postings = jobs.ingested(spark, folder, "postings", last, BUCKETS).groupBy(F.lit("postings").alias("name"), F.col("term").alias("item")).agg(F.count("*").alias("n"))
-    return postings.unionByName(jobs.ingested(spark, folder, "pending", last, BUCKETS).groupBy(F.lit("pending").alias("name"), F.expr("cast(id % 10 as string)").alias("item")).agg(F.count("*").alias("n")))
+    """What the log holds after all batches, with the count and the summed length that it kept on the way."""
+    log, last = ingest(spark, d)
+    count, mean = log.totals(last)
+    sums = spark.createDataFrame([("passages", "all", count), ("lengths", "all", round(mean * count))], "name string, item string, n long")
+    postings = log.table("postings", last).groupBy(F.lit("postings").alias("name"), F.col("term").alias("item")).agg(F.count("*").alias("n"))
+    pending = log.table("pending", last).groupBy(F.lit("pending").alias("name"), F.expr("cast(id % 10 as string)").alias("item")).agg(F.count("*").alias("n"))
+    return postings.unionByName(pending).unionByName(sums)

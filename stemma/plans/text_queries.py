@@ -11,7 +11,8 @@ from stemma.operators.reader import reorder
 from stemma.plans.registry import query
 from stemma.sources.bindings import bind
 
-CITED = "CASE doc_id % 3 WHEN 0 THEN 'As in Matthew 8:22, and 1 Corinthians 13:4-7. ' || text WHEN 1 THEN text || ' Song of  Solomon 2:1' ELSE text END"
+#: Citations in the documents' texts, some with two spaces inside a book's name, which are none.
+CITED = "CASE doc_id % 5 WHEN 0 THEN 'As in Matthew 8:22, and 1 Corinthians  13:4-7. ' || text WHEN 1 THEN text || ' Song of Solomon 2:1' WHEN 2 THEN text || ' Song of  Solomon 2:1' WHEN 3 THEN '1  Corinthians 13:4, see ' || text ELSE text END"
 
 
 def docs(spark, d):
@@ -26,7 +27,7 @@ def cited(spark, d):
     return docs(spark, d).select("doc_id", F.expr(CITED).alias("text"))
 
 
-WHOLE = f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({CITED}, '(?i)\\b(?:Matthew|1 Corinthians|Song\\s+of\\s+Solomon)\\s+\\d+:\\d+(?:-\\d+)?\\.?', ' ', 'g'),
+WHOLE = f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({CITED}, '(?i)\\b(?:Matthew|1\\sCorinthians|Song\\sof\\sSolomon)\\s+\\d+:\\d+(?:-\\d+)?\\.?', ' ', 'g'),
   '[ \\t\u00a0]+', ' ', 'g'), '\\bof\\s*,', ',', 'g'), '\\s+([,.;:!?])', '\\1', 'g'), '"\\s+', '" ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents"""
 
 

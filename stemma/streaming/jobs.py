@@ -1,10 +1,8 @@
-"""The logs and the incremental ingest as Structured Streaming jobs."""
+"""The logs as Structured Streaming jobs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.operators.logs import COSTS, cost_of, over_limit
@@ -23,76 +21,3 @@ def call_stats_stream(calls: DataFrame, width: str = "5 minutes", late: str = "1
 
 def over_limit_stream(requests: DataFrame, limits: dict[str, int], late: str = "5 minutes") -> DataFrame:
     return over_limit(requests.withWatermark("ts", late), limits)
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-class Buckets:
-    """Tables cut into buckets by a hash of a passage's id; a batch writes new versions of the buckets it touches and leaves the others.
-
-    ``folder/table/batch/bucket=k`` holds a version, ``folder/versions/batch`` the batch that wrote each bucket last, as of that batch.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
-
-    def of(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def versions(self, batch: int) -> dict[int, int]:
-        """bucket -> batch, one entry a bucket."""
-        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.folder}/versions/{batch}").collect()} if batch >= 0 else {}
-
-    def read(self, name: str, versions: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.folder}/{name}/{v}/bucket={b}" for b, v in sorted(versions.items())]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def write(self, rows: DataFrame, key: str, name: str, batch: int, touched: list[int]) -> None:
-        """A version of the touched buckets; one without rows is written too, so that it can be read."""
-        dealt = rows.withColumn("bucket", self.of(key)).repartition("bucket")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{batch}")
-        full = {r.b for r in rows.select(self.of(key).alias("b")).distinct().collect()}
-        for b in set(touched) - full:
-            rows.limit(0).write.mode("overwrite").parquet(f"{self.folder}/{name}/{batch}/bucket={b}")
-
-    def commit(self, batch: int, versions: dict[int, int]) -> None:
-        self.spark.createDataFrame(sorted(versions.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{batch}")
-
-
-def ingest_stream(source: DataFrame, folder: str, derive: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]], checkpoint: str, buckets: int = 64):
-    """Starts the ingest of new and changed passages (id, version, ...): every batch is upserted into ``passages``, and what ``derive`` lists
-    (postings, a verse index, passages whose vectors are stale) is refreshed for the touched ids only. derive: table -> (id column,
-    function of passages).
-
-    A batch reads and writes the buckets of its own ids, so its work follows the batch and not the corpus. It starts from the
-    versions of the batch before, so doing it again gives the same.
-    """
-    spark = source.sparkSession
-    tables = Buckets(spark, folder, buckets)
-
-    def run(rows: DataFrame, batch: int) -> None:
-        last = Window.partitionBy("id").orderBy(F.desc("version"))
-        newest = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-        newest.write.mode("overwrite").parquet(f"{folder}/incoming/{batch}")
-        new = spark.read.parquet(f"{folder}/incoming/{batch}")
-        touched = [r.b for r in new.select(tables.of("id").alias("b")).distinct().collect()]  # at most one a bucket
-        before = tables.versions(batch - 1)
-        mine = {b: v for b, v in before.items() if b in touched}
-        old = tables.read("passages", mine)
-        tables.write(new if old is None else upsert(old, new), "id", "passages", batch, touched)
-        for name, (key, make) in derive.items():
-            fresh, stale = make(new), tables.read(name, mine)
-            if stale is not None:
-                fresh = stale.join(new.select(F.col("id").alias(key)), key, "left_anti").unionByName(fresh)
-            tables.write(fresh, key, name, batch, touched)
-        tables.commit(batch, before | {b: batch for b in touched})
-
-    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def ingested(spark: SparkSession, folder: str, name: str, batch: int, buckets: int = 64) -> DataFrame:
-    """A table as it stands after a batch."""
-    tables = Buckets(spark, folder, buckets)
-    return tables.read(name, tables.versions(batch))

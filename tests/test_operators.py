@@ -294,25 +294,6 @@ def test_streams_equal_their_batches(spark, tmp_path):
     assert over == {(r.client, r.n) for r in L.over_limit(calls, {"search": 2}).collect()}
 
 
-def test_ingest_equals_a_rebuild(spark, tmp_path):
-    schema = "id long, version long, header string, text string"
-    first = [(1, 1, "John 1:1", "a b"), (2, 1, "John 1:2", "c")]
-    second = [(2, 2, "Preface", "d e"), (2, 1, "John 1:2", "c"), (3, 1, "Mark 2:3", "f")]
-    derive = {"verses": ("passage_id", E.build_verse_index), "words": ("id", lambda p: p.select("id", F.explode(S.terms(F.col("text"))).alias("term")))}
-    for part in (first, second):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        J.ingest_stream(source, f"{tmp_path}/out", derive, f"{tmp_path}/c").awaitTermination(120)
-    last = spark.createDataFrame([first[0], second[0], second[2]], schema)
-    now = lambda name: {tuple(r) for r in J.ingested(spark, f"{tmp_path}/out", name, 1).collect()}
-    assert now("passages") == {tuple(r) for r in last.collect()}
-    assert now("verses") == {tuple(r) for r in E.build_verse_index(last).collect()}
-    assert now("words") == {(1, "a"), (1, "b"), (2, "d"), (2, "e"), (3, "f")}
-    # the second batch wrote the buckets of its own ids only
-    versions = J.Buckets(spark, f"{tmp_path}/out").versions(1)
-    assert sorted(versions.values()) == [0, 1, 1] and len(list((tmp_path / "out" / "passages" / "1").glob("bucket=*"))) == 2
-
-
 def test_stale_kind_is_ignored(spark):
     r = spark.createDataFrame([(1, "x", "writing"), (1, "y", "writing"), (2, "x", "writing"), (2, "x", "commentary")], "query_id long, tradition string, kind string")
     s = spark.createDataFrame([(1, None, "commentary"), (2, "x", "commentary")], "query_id long, tradition string, kind string")
