@@ -10,86 +10,84 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows whose lists are read together, so that what is summed of them stays in a processor's cache.
-LISTS = 2048
+LISTS = 4096
+#: Queries whose bounds are held at once.
+TOGETHER = 256
 #: Shares of the lists after whose reading the bounds are looked at.
 STOPS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32, 1)
 
 
-def whole(a: np.ndarray) -> np.ndarray:
-    """Numbers as Python's integers."""
-    return np.frompyfunc(int, 1, 1)(a) if a.size else a.astype(object)
+def exact_type(q: np.ndarray, most: float) -> type:
+    """The cheapest type in which sums of products of q's and a row's whole numbers are exact; Python's integers if need be."""
+    bound = 4.0 * max(1, len(q)) * float(np.abs(q).max(initial=0)) * most
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
 
 
-class Lists:
-    """Rows as one list a component, in ascending order of its values: which row an entry is of, and its value.
+def cast(a: np.ndarray, kind: type) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(a) if kind is object and a.size else a.astype(kind)
 
-    Sums of products are exact in floats as long as they stay below 2^53; beyond, the lists hold Python's integers.
-    """
+
+class Lists:
+    """Rows as one list a component in ascending order: the values, and which row each is of."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray):
-        self.ids, self.rows = ids, np.ascontiguousarray(x)
-        columns = np.ascontiguousarray(x.T)
-        self.order = np.argsort(columns, axis=1, kind="stable")
-        self.values = np.take_along_axis(columns, self.order, axis=1)
-        self.low, self.high = self.values[:, 0].copy(), self.values[:, -1].copy()
-        self.most = max(np.abs(self.low).max(initial=0), np.abs(self.high).max(initial=0))
-        self._exact: Lists | None = None
-
-    def for_query(self, q: np.ndarray) -> tuple[Lists, np.ndarray]:
-        if self.rows.dtype == object or 4.0 * len(q) * float(np.abs(q).max(initial=0)) * float(self.most) < 2**53:
-            return self, q
-        if self._exact is None:
-            self._exact = Lists(whole(self.rows), self.ids)
-        return self._exact, whole(q)
-
-    def read(self, up: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries start to end of each list, counted from its upper end where ``up`` is true, else from its lower one: rows and values."""
+        self.ids, self.x = ids, x
+        self.order = np.argsort(x.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
+        self.low, self.high = self.values[:, :1].copy(), self.values[:, -1:].copy()
+        self.most = float(np.abs(x).max(initial=0))
+        self.first = 0
+
+    def read(self, depth: int, up: bool, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of all rows once the lists have been read to a depth, from their upper ends if ``up``, else from their lower ones.
+
+        Two tables of components by rows: both hold the values that were read; for the others the first has the value at the list's far
+        end, the second the one that was read last.
+        """
         n = self.order.shape[1]
-        rows, values = self.order[:, start:end].copy(), self.values[:, start:end].copy()
-        rows[up], values[up] = self.order[up, n - end : n - start][:, ::-1], self.values[up, n - end : n - start][:, ::-1]
-        return rows, values
-
-
-def nearest(lists: Lists, q: np.ndarray, k: int, skip: int, bar: float = -np.inf, few: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows that can be among the k best for q and reach ``bar``, with their scores, and the depth to which the lists were read; rows with the id ``skip`` take no part.
-
-    Every list is read in order from the end that is better for q, all to the same depth, and nothing beyond it is looked at. A row's
-    lower bound is what its entries met so far add to the lists' worst, its upper bound has in every list where it has not been met
-    what was read there last. The k-th best lower bound is the bar: rows met whose upper bound is below it are out, and rows not met
-    at all are when the sum of what was read last is. Reading stops when only a few of the rows met, one in ``few``, can
-    still qualify; their scores are resolved.
+        part = slice(n - depth, n) if up else slice(0, depth)
+        values, places = cast(self.values[:, part], kind), self.order[:, part]
+        tables = []
+        for rest in (cast(self.low if up else self.high, kind), values[:, :1] if up else values[:, -1:]):
+            table = np.repeat(rest, n, axis=1)
+            np.put_along_axis(table, places, values, axis=1)
+            tables.append(table)
+        return tables[0], tables[1]
+
+
+def nearest(lists: Lists, q: np.ndarray, k: int, skip: np.ndarray, bars: np.ndarray, few: int = 4) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query, a row of q: the rows that can be among its k best and reach its bar, their scores, and the depth to which the lists were read for it. Rows with the id ``skip`` take no part.
+
+    Each list is read in order, from its upper end for the queries to which more of the component is better and from the lower one for the
+    others, all to the same depth, once for all queries; nothing beyond it is looked at. A row's lower bound takes an entry that was not read for the worst
+    of its list, its upper bound takes it for the one that was read last. The k-th best lower bound is a query's bar; rows with an upper
+    bound below it are out, and those not met at all by the same bound. A query stops when only a few rows, one in ``few``, can still
+    qualify; their scores are resolved. The others read on. Reading begins with the depth before the one at which the last queries stopped.
     """
-    lists, q = lists.for_query(q)
-    n, exact = len(lists.ids), lists.rows.dtype == object
-    up = q > 0
-    worst = np.minimum(q * lists.low, q * lists.high)
-    base = worst.sum()
-    lower, seen = np.zeros(n, lists.rows.dtype), np.zeros((len(q), n), bool)
-    other, left, depth = lists.ids != skip, np.arange(n), 0
-    flat, starts = seen.ravel(), n * np.arange(len(q))[:, None]
-    for stop in STOPS:
-        end = max(depth, int(np.ceil(n * stop)))
-        if end == depth:
+    kind = exact_type(q, lists.most)
+    q, x, n = cast(q, kind), cast(lists.x, kind), len(lists.ids)
+    more, less = np.maximum(q, 0), np.minimum(q, 0)
+    other = lists.ids[None, :] != skip[:, None]
+    out: list[tuple[np.ndarray, np.ndarray, int]] = [(np.empty(0, np.int64), np.empty(0, kind), 0)] * len(q)
+    going, depth, bars = np.arange(len(q)), 0, bars.copy()
+    for at, stop in enumerate(STOPS):
+        to = max(depth, int(np.ceil(n * stop)))
+        if to == depth or at < lists.first:
             continue
-        rows, values = lists.read(up, depth, end)
-        over = q[:, None] * values - worst[:, None]
-        if exact:
-            np.add.at(lower, rows.ravel(), over.ravel())
-        else:
-            lower += np.bincount(rows.ravel(), over.ravel(), n)
-        flat[(rows + starts).ravel()] = True
-        depth, last = end, over[:, -1]
-        left = np.flatnonzero(seen.any(axis=0) & other)
-        if len(left) >= k:
-            known = lower[left]
-            bar = max(bar, base + np.partition(known, len(left) - k)[len(left) - k])
-        if depth < n and base + last.sum() >= bar:
-            continue  # a row not met yet could qualify
-        upper = base + lower[left] + last.sum() - last @ seen[:, left].astype(last.dtype)
-        left = left[upper >= bar]
-        if len(left) <= max(2 * k, n // few):
+        depth, (worst_up, last_up), (worst_down, last_down) = to, lists.read(to, True, kind), lists.read(to, False, kind)
+        lower = np.where(other[going], more[going] @ worst_up + less[going] @ worst_down, -np.inf)
+        if n >= k:
+            bars[going] = np.maximum(bars[going], np.partition(lower, n - k, axis=1)[:, n - k])
+        able = (more[going] @ last_up + less[going] @ last_down >= bars[going][:, None]) & other[going]
+        done = (able.sum(axis=1) <= max(2 * k, n // few)) | (depth == n)
+        for i, can in zip(going[done], able[done]):
+            rows = np.flatnonzero(can)
+            out[i] = rows, x[rows] @ q[i], depth
+        going = going[~done]
+        if not len(going):
+            lists.first = max(0, at - 1)
             break
-    return left, lists.rows[left] @ q, depth
+    return out
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -142,17 +140,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
                     yield answered(lists, ids, z, part.column(5).to_numpy())
 
     def answered(lists: list[Lists], ids: np.ndarray, z: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        out = ([], [], [], [])
-        for own, q, key in zip(ids, z, keys):
-            found, scores = np.empty(0, np.int64), np.empty(0)
-            for some in lists:  # what was found before is a bar for what comes after
-                rows, more, _ = nearest(some, q, k, own, scores[-1] if len(scores) == k else -np.inf)
-                found, scores = np.concatenate([found, some.ids[rows]]), np.concatenate([scores, more])
-                best = best_of(found, scores, k)
-                found, scores = found[best], scores[best]
-            out[0].append(np.full(len(found), own)), out[1].append(np.full(len(found), key)), out[2].append(found)
-            out[3].append(np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in scores], np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "key", "vec_id", "score"])
+        found = [(np.empty(0, np.int64), np.empty(0, z.dtype))] * len(ids)
+        for some in lists:  # what was found before is a bar for what comes after
+            for at in range(0, len(ids), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                bars = np.array([float(scores[-1]) if len(scores) == k else -np.inf for _, scores in found[part]])
+                for i, (rows, more, _) in enumerate(nearest(some, z[part], k, ids[part], bars), at):
+                    have, scores = np.concatenate([found[i][0], some.ids[rows]]), np.concatenate([found[i][1], more])
+                    best = best_of(have, scores, k)
+                    found[i] = have[best], scores[best]
+        counts = [len(have) for have, _ in found]
+        held = np.array([max(-(2**63), min(2**63 - 1, int(s))) for _, scores in found for s in scores], np.int64)
+        columns = np.repeat(ids, counts), np.repeat(keys, counts), np.concatenate([have for have, _ in found]), held
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "key", "vec_id", "score"])
 
     row = x.select(F.size("z").alias("dim"), F.pmod(F.xxhash64("vec_id", "z", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "z", F.lit(0).cast("long").alias("key"))
     ask = q.select(F.size("z").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "z", F.xxhash64("z").alias("key"))

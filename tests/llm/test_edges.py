@@ -306,37 +306,66 @@ def test_topk_of_numbers_beyond_floats(spark):
     assert [(r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()] == want
 
 
+def clean_or_zero(read, lists, depth, up, kind, q):
+    """The tables of spoilt lists for the side that a query reads, and whatever for the other."""
+    mine = (q > 0) == up
+    n = lists.order.shape[1]
+    part = slice(n - depth, n) if up else slice(0, depth)
+    spoilt = read.__self__
+    whole = Lists.__new__(Lists)
+    whole.order, whole.values = (np.where(mine[:, None], a, b) for a, b in ((spoilt.order, lists.order), (spoilt.values, lists.values)))
+    whole.low, whole.high = lists.low, lists.high
+    assert (whole.order[:, part] < n).all()  # nothing spoilt is read
+    return Lists.read(whole, depth, up, kind)
+
+
 def test_lists_are_read_only_as_far_as_the_bounds_need():
     """Nothing beyond the depth is looked at: with all that spoilt, the answers are the same."""
     rng = np.random.default_rng(5)
     x = np.floor(np.abs(rng.pareto(1.5, (4000, 6))) * 8)  # few rows are high in any list
     clustered = np.floor(rng.normal(0, 12, (40, 32))[rng.integers(0, 40, 4000)] + rng.normal(0, 2, (4000, 32)))
-    shallow = 0
+    depths, ids, none = [], np.arange(4000), np.full(1, -np.inf)
     for rows, few in ((x, 64), (x[:, :2] - 4, 64), (clustered, 16)):
-        lists = Lists(rows, np.arange(4000))
+        lists = Lists(rows, ids)
         for i in range(0, 4000, 200):
             q = rows[i] * (-1.0) ** np.arange(2) if rows.shape[1] == 2 else rows[i]
-            left, scores, depth = nearest(lists, q, 20, i, few=few)
+            first = lists.first
+            ((left, scores, depth),) = nearest(lists, q[None], 20, ids[i : i + 1], none, few)
             products = rows @ q
             products[i] = -np.inf
-            best = np.lexsort((np.arange(4000), -products))[:20]
+            best = np.lexsort((ids, -products))[:20]
             assert set(best) <= set(left) and (products[left] == scores).all()
-            spoilt = Lists(rows, np.arange(4000))
+            spoilt = Lists(rows, ids)
+            spoilt.first = first
             for c in range(rows.shape[1]):
                 unread = slice(0, 4000 - depth) if q[c] > 0 else slice(depth, 4000)
-                spoilt.order[c, unread], spoilt.values[c, unread] = -(10**9), np.nan
-            again = nearest(spoilt, q, 20, i, few=few)
-            assert (again[0] == left).all() and (again[1] == scores).all() and again[2] == depth
-            shallow += depth <= 1000
-    assert shallow > 10
+                if q[c]:
+                    spoilt.order[c, unread], spoilt.values[c, unread] = 10**9, np.nan
+            clean = spoilt.read
+            # the side of a list that a query does not read from is not its business
+            spoilt.read = lambda d, up, kind: tuple(np.where((q > 0)[:, None] == up, t, 0) for t in clean_or_zero(clean, lists, d, up, kind, q))  # noqa: B023
+            ((rows_again, scores_again, depth_again),) = nearest(spoilt, q[None], 20, ids[i : i + 1], none, few)
+            assert (rows_again == left).all() and (scores_again == scores).all() and depth_again == depth
+            depths.append(depth)
+    assert sum(d <= 1000 for d in depths) > 10 and max(depths) <= 4000
+
+
+def test_many_queries_read_together():
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(0, 9, (700, 10)))
+    lists = Lists(x, np.arange(700) % 350)
+    found = nearest(lists, x[:90], 5, np.arange(90) % 350, np.full(90, -np.inf))
+    for i, (rows, scores, depth) in enumerate(found):
+        products = np.where(np.arange(700) % 350 == i, -np.inf, x @ x[i])
+        best = np.sort(products)[::-1][:5]
+        assert (np.sort(scores)[::-1][:5] == best).all() and (products[rows] == scores).all() and 0 < depth <= 700
 
 
 def test_a_bar_from_before_and_lists_of_one_row():
-    lists = Lists(np.array([[3.0, -1.0]]), np.array([7]))
-    assert [a.tolist() for a in nearest(lists, np.array([2.0, 5.0]), 20, 0)[:2]] == [[0], [1.0]]
-    assert nearest(lists, np.array([2.0, 5.0]), 20, 7)[0].tolist() == []
-    assert nearest(lists, np.array([2.0, 5.0]), 1, 0, bar=2.0)[0].tolist() == []
-
+    lists, q, none = Lists(np.array([[3.0, -1.0]]), np.array([7])), np.array([[2.0, 5.0]]), np.array([-np.inf])
+    assert [a.tolist() for a in nearest(lists, q, 20, np.array([0]), none)[0][:2]] == [[0], [1.0]]
+    assert nearest(lists, q, 20, np.array([7]), none)[0][0].tolist() == []
+    assert nearest(lists, q, 1, np.array([0]), np.array([2.0]))[0][0].tolist() == []
 
 
 # lines
