@@ -17,6 +17,13 @@ def call_stats(spark, d):
     return L.call_stats(bind(spark, d, "logs"), exact=True)
 
 
+@query("logs", "SELECT provider, model, count(*) AS calls, round(count(*) FILTER (NOT ok) / count(*), 6) AS error_rate, round(avg(latency_ms), 6) AS avg_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM (SELECT *, split_part(call_type, '_', 1) AS provider, split_part(call_type, '_', 1) || '-' || (event_id % 2) AS model FROM logs) GROUP BY provider, model")
+def call_stats_by_model(spark, d):
+    """From the lines of a log, as they are written."""
+    calls = bind(spark, d, "logs").selectExpr("'api_call' AS event", "ts", "split_part(call_type, '_', 1) AS provider", "concat(split_part(call_type, '_', 1), '-', event_id % 2) AS model", "call_type", "latency_ms", "ok")
+    return L.call_stats(L.read_call_log(calls.select(F.to_json(F.struct("*")).alias("value"))), ("provider", "model"), exact=True)
+
+
 @query("logs", "SELECT endpoint, count(*) AS calls, round(count(*) FILTER (NOT ok) / count(*), 6) AS error_rate, round(avg(latency_ms), 6) AS avg_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM logs GROUP BY endpoint")
 def search_stats(spark, d):
     return L.call_stats(bind(spark, d, "logs"), ("endpoint",), exact=True)

@@ -98,7 +98,7 @@ def tag_structure(spark, d):
     return R.tag_structure(lines.select("doc_id", "seq", F.expr("case when (doc_id + seq) % 17 = 3 then 'h3' else 'p' end").alias("tag"), text.alias("text"))).drop("text")
 
 
-RITE = "CASE (doc_id + i) % 8 WHEN 0 THEN 'XIV' WHEN 1 THEN 'The Deacon: ' || t WHEN 2 THEN '<i>' || t || '</i>' WHEN 3 THEN 'II. Then aloud: ' || t WHEN 4 THEN '(Aloud.) ' || t WHEN 5 THEN '3. ' || t ELSE t END"
+RITE = "CASE (doc_id + i) % 9 WHEN 8 THEN '<i>' || t || '</i> <em>and so on</em>' WHEN 0 THEN 'XIV' WHEN 1 THEN 'The Deacon: ' || t WHEN 2 THEN '<i>' || t || '</i>' WHEN 3 THEN 'II. Then aloud: ' || t WHEN 4 THEN '(Aloud.) ' || t WHEN 5 THEN '3. ' || t WHEN 6 THEN '<em>' || t || '</em> but <i>not</i>' ELSE t END"
 
 
 RITE_SQL = rf"""WITH l AS (SELECT doc_id, CAST(i AS INTEGER) AS seq, {RITE} AS html FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
@@ -106,7 +106,7 @@ h AS (SELECT doc_id, seq, regexp_replace(html, '^\s+', '') AS h, trim(regexp_rep
 n AS (SELECT *, nullif(regexp_extract(h, '^((?:[IVXLCDM]+|\d+)\.)\s+', 1), '') AS number, regexp_replace(h, '^((?:[IVXLCDM]+|\d+)\.)\s+', '') AS s FROM h WHERE t <> ''),
 c AS (SELECT *, regexp_extract(s, '^([^:<]{{2,90}}?:)\s*', 1) AS cue, regexp_extract(s, '^(\([^)]{{1,40}}\))\s*', 1) AS aside FROM n),
 k AS (SELECT *, regexp_matches(cue, '(?i)\b(priests?|deacons?|sub-?deacons?|people|bishops?|readers?|singers?|choirs?|catechumens?)\b') AS speaks, regexp_matches(cue, '(?i)^(prayer\b|first\b|response\b|responsive\b|aloud\b|then\b|and again\b|again\b|the response\b)') AS directs FROM c),
-g AS (SELECT *, CASE WHEN regexp_matches(t, '^[IVXLCDM]+$') THEN 'section' WHEN starts_with(h, '<i>') AND regexp_matches(h, '</i>\s*$') THEN 'note' WHEN speaks THEN 'speaker' WHEN directs OR aside <> '' THEN 'rubric' WHEN number IS NOT NULL THEN 'line' ELSE 'body' END AS class FROM k)
+g AS (SELECT *, CASE WHEN regexp_matches(t, '^[IVXLCDM]+$') THEN 'section' WHEN regexp_matches(h, '^<(?:i|em)>') AND trim(regexp_replace(regexp_replace(h, '<i>.*?</i>', '', 'gs'), '<em>.*?</em>', '', 'gs')) = '' THEN 'note' WHEN speaks THEN 'speaker' WHEN directs OR aside <> '' THEN 'rubric' WHEN number IS NOT NULL THEN 'line' ELSE 'body' END AS class FROM k)
 SELECT doc_id, seq, last_value(CASE WHEN class = 'section' THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq) AS section, class, number, CASE WHEN speaks OR directs THEN cue WHEN aside <> '' THEN aside END AS label,
   CASE WHEN speaks OR directs THEN regexp_replace(s, '^([^:<]{{2,90}}?:)\s*', '') WHEN aside <> '' THEN regexp_replace(s, '^(\([^)]{{1,40}}\))\s*', '') ELSE s END AS rest FROM g"""
 
@@ -118,8 +118,9 @@ def tag_rite(spark, d):
 
 
 @query("verse_passages", """WITH r AS (SELECT *, CASE book WHEN 'Genesis' THEN 0 WHEN 'Exodus' THEN 1 WHEN 'Psalms' THEN 22 WHEN 'Isaiah' THEN 29 WHEN 'Matthew' THEN 48 WHEN 'Mark' THEN 49 WHEN 'Luke' THEN 50 WHEN 'John' THEN 51 WHEN 'Romans' THEN 53 WHEN '1 Corinthians' THEN 54 ELSE 999 END AS b FROM verse_passages),
-n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY id) AS old, CASE WHEN count(*) OVER (PARTITION BY work_id) >= 3 THEN row_number() OVER (PARTITION BY work_id ORDER BY b, chapter, verse_start, id) ELSE row_number() OVER (PARTITION BY work_id ORDER BY id) END AS new FROM r)
-SELECT a.id, a.work_id, c.header FROM n a JOIN n c ON a.work_id = c.work_id AND a.old = c.new""")
+n AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY id) AS old, CASE WHEN count(*) OVER (PARTITION BY work_id) >= 3 THEN row_number() OVER (PARTITION BY work_id ORDER BY b, chapter, verse_start, id) ELSE row_number() OVER (PARTITION BY work_id ORDER BY id) END AS new FROM r),
+z AS (SELECT work_id, list(id ORDER BY old) AS ids, list(header ORDER BY new) AS headers FROM n GROUP BY work_id)
+SELECT unnest(ids) AS id, work_id, unnest(headers) AS header FROM z""")
 def reorder_passages(spark, d):
     return R.reorder(bind(spark, d, "verse_passages").select("id", "work_id", "header"))[0]
 

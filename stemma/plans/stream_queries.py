@@ -50,14 +50,45 @@ def over_limit_stream(spark, d):
     return newest(settled(jobs.over_limit_stream(live_logs(spark, d), RATE_LIMITS), "update"), ["client", "endpoint", "minute"])
 
 
-@query("logs", "SELECT * FROM (SELECT time_bucket(INTERVAL '5 minutes', ts)::TIMESTAMP AS start, call_type, count(*) AS calls, count(*) FILTER (NOT ok) AS errors, round(avg(latency_ms), 6) AS avg_ms FROM logs GROUP BY 1, 2) WHERE start + INTERVAL '15 minutes' <= (SELECT max(ts) FROM logs)")
+#: How far a percentile's rank may be off, as a share of a window's calls.
+RANK_ERROR = 0.03
+PROVIDED = "split_part(call_type, '_', 1) AS provider, split_part(call_type, '_', 1) || '-' || CAST(event_id % 2 AS {text}) AS model"
+
+
+def provided(logs):
+    """Calls with provider and model."""
+    return logs.selectExpr("*", "split_part(call_type, '_', 1) AS provider", "concat(split_part(call_type, '_', 1), '-', cast(event_id % 2 as string)) AS model")
+
+
+def within(stats: DataFrame, calls: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """keys, and whether a percentile's rank among the calls themselves is as near as RANK_ERROR, or one call."""
+    at = calls.join(stats.select(*keys, f"p{p}_ms"), keys).groupBy(*keys).agg(F.count_if(F.col("latency_ms") < F.col(f"p{p}_ms")).alias("under"), F.count_if(F.col("latency_ms") <= F.col(f"p{p}_ms")).alias("upto"), F.count("*").alias("n"))
+    off = F.greatest(F.lit(1.0), RANK_ERROR * F.col("n"))
+    return at.select(*keys, ((F.col("under") - off <= p / 100 * F.col("n")) & (F.col("upto") + off >= p / 100 * F.col("n"))).alias(f"p{p}_held"))
+
+
+def with_bounds(stats: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
+    for p in (50, 95):
+        stats = stats.join(within(stats, calls, keys, p), keys)
+    return stats.drop("p50_ms", "p95_ms")
+
+
+@query("logs", f"SELECT * FROM (SELECT time_bucket(INTERVAL '5 minutes', ts)::TIMESTAMP AS start, provider, model, count(*) AS calls, count(*) FILTER (NOT ok) AS errors, round(avg(latency_ms), 6) AS avg_ms, true AS p50_held, true AS p95_held FROM (SELECT *, {PROVIDED.format(text='VARCHAR')} FROM logs) GROUP BY 1, 2, 3) WHERE start + INTERVAL '15 minutes' <= (SELECT max(ts) FROM logs)")
 def call_stats_stream(spark, d):
-    return settled(jobs.call_stats_stream(live_logs(spark, d)), "append").drop("_batch")
+    keys = ["start", "provider", "model"]
+    stats = settled(jobs.call_stats_stream(provided(live_logs(spark, d)), keys=("provider", "model")), "append").drop("_batch")
+    return with_bounds(stats, provided(bind(spark, d, "logs")).withColumn("start", F.window("ts", "5 minutes").start), keys)
+
+
+@query("logs", f"SELECT provider, model, count(*) AS calls, count(*) FILTER (NOT ok) AS errors, round(avg(latency_ms), 6) AS avg_ms, true AS p50_held, true AS p95_held FROM (SELECT *, {PROVIDED.format(text='VARCHAR')} FROM logs) GROUP BY ALL")
+def call_stats_merged(spark, d):
+    """Statistics by provider and model from sketches of each six hours; that of many windows is as near as that of one."""
+    calls = provided(bind(spark, d, "logs"))
+    stats = jobs.sketched_stats(jobs.merged_sketches(jobs.call_sketches(calls, "6 hours", ("provider", "model")), ("provider", "model")))
+    return with_bounds(stats, calls, ["provider", "model"])
 
 
 BUCKETS, PARTS = 8, 3
-#: A passage's length in terms.
-TERM_COUNT = F.size(terms(F.col("header")))
 #: Which passages are deleted for good: the sevenths of each work are deleted, and of every other work come back.
 STAYS = "(id % 10 <> 7 OR (id // 1000) % 2 = 0)"
 
@@ -81,7 +112,7 @@ def ingest(spark: SparkSession, d: str) -> tuple[MergeLog, int]:
         "postings": ("id", lambda p: build_index(p, ("header",)).postings),
         "pending": ("id", lambda p: p.select("id")),
     }
-    log = MergeLog(spark, f"{scratch.root}/out", derive, BUCKETS, TERM_COUNT, PARTS)
+    log = MergeLog(spark, f"{scratch.root}/out", derive, BUCKETS, F.size(terms(F.col("header"))), PARTS)
     source = spark.readStream.schema("id long, version int, deleted boolean, header string").parquet(f"{scratch.root}/in/*")
     for no, arrival in enumerate(arrivals):
         arrival.write.parquet(f"{scratch.root}/in/{no}")
@@ -99,7 +130,7 @@ def ingest_stream(spark, d):
 WORDS = "list_filter(regexp_split_to_array(lower(header), '[^\\pL\\pN]+'), lambda x: x <> '')"
 
 
-@query("verse_passages", f"SELECT 'postings' AS name, term AS item, count(*) AS n FROM (SELECT unnest({WORDS}) AS term FROM verse_passages WHERE {STAYS}) GROUP BY term UNION ALL SELECT 'pending', CAST(id % 10 AS VARCHAR), count(*) FROM verse_passages WHERE {STAYS} GROUP BY id % 10 UNION ALL SELECT 'passages', 'all', count(*) FROM verse_passages WHERE {STAYS} UNION ALL SELECT 'lengths', 'all', sum(len({WORDS})) FROM verse_passages WHERE {STAYS}")
+@query("verse_passages", f"SELECT 'postings' AS name, term AS item, count(*) AS n FROM (SELECT unnest({WORDS}) AS term FROM verse_passages WHERE {STAYS}) GROUP BY term UNION ALL SELECT 'pending', CAST(id % 10 AS VARCHAR), count(*) FROM verse_passages WHERE {STAYS} GROUP BY id % 10 UNION ALL SELECT 'passages', 'all', count(*) FROM verse_passages WHERE {STAYS} UNION ALL SELECT 'lengths', 'all', CAST(sum(len({WORDS})) AS BIGINT) FROM verse_passages WHERE {STAYS}")
 def ingest_refresh(spark, d):
     """What the log holds after all batches, with the count and the summed length that it kept on the way."""
     log, last = ingest(spark, d)

@@ -55,9 +55,14 @@ def strip_html(spark, d):
     return T.strip_html(pages(spark, d), "html").select("page_id", "plain")
 
 
-@query()
+#: Notes put into the pages before bold words, of which some hold other elements of their kind, or notes.
+NOTES = ("<sup class='fn'>1</sup>", '<span class="ref small">see <span>p. <sup>2</sup></span> 3</span>', "<span class='stiki'><span class=\"fn\">a</span>b</span>")
+
+
+@query("", "SELECT page_id, trim(html, ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM pages")
 def remove_ref_markup(spark, d):
-    marked = pages(spark, d).withColumn("html", F.regexp_replace("html", "<b>", "<sup class='fn'>1</sup><b>"))
+    note = F.array(*(F.lit(n) for n in NOTES))[F.col("page_id") % 3]
+    marked = pages(spark, d).withColumn("html", F.regexp_replace("html", F.lit("<b>"), F.concat(note, F.lit("<b>"))))
     return T.remove_ref_markup(marked, "html", "clean").select("page_id", "clean")
 
 
@@ -81,7 +86,20 @@ def split_long(spark, d):
     return T.split_long(docs(spark, d).select(F.col("doc_id").alias("id"), F.lit("h").alias("header"), "text"), 500)
 
 
-@query()
+TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \t\n ]+', ' ', 'g'), '\bof\s*,', ',', 'g'), '\s+([,.;:!?])', '\1', 'g'), '"\s+', '" ', 'g'), ' ' || chr(9) || chr(10) || chr(13))"""
+#: The pages' paragraphs follow their h1 in an article. One that begins in bold is never closed, nor is its bold text, so that it holds all that comes after it.
+CHUNKS = f"""WITH RECURSIVE art AS (SELECT page_id, trim({decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}) AS label, regexp_extract(html, '</h1>(.*?)</article>', 1, 's') AS a FROM pages),
+half AS (SELECT page_id, label, CASE WHEN contains(a, '<p><b>') THEN left(a, position('<p><b>' IN a) - 1) ELSE a END AS head, CASE WHEN contains(a, '<p><b>') THEN substr(a, position('<p><b>' IN a)) ELSE '' END AS tail FROM art),
+para AS (SELECT page_id, label, unnest(range(len(regexp_extract_all(head, '<p>(.*?)</p>', 1)))) AS n, {decoded("unnest(regexp_extract_all(head, '<p>(.*?)</p>', 1))")} AS t FROM half
+  UNION ALL SELECT page_id, label, 1000000, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(tail, '<b>|</b>|<br>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)), lambda x: trim({decoded('x')}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), ' ') FROM half),
+s AS (SELECT page_id, label, n, text, {SENTENCES.format('text')} AS ss FROM (SELECT page_id, label, n, {TIDY.format('t')} AS text FROM para) WHERE text <> ''),
+walk AS (SELECT page_id, n, 1 AS i, 0 AS part, ss[1] AS buf FROM s WHERE length(text) > 1500 AND len(ss) > 0
+  UNION ALL SELECT w.page_id, w.n, i + 1, CASE WHEN length(buf) + 1 + length(ss[i + 1]) <= 1500 THEN part ELSE part + 1 END, CASE WHEN length(buf) + 1 + length(ss[i + 1]) <= 1500 THEN buf || ' ' || ss[i + 1] ELSE ss[i + 1] END FROM walk w JOIN s ON s.page_id = w.page_id AND s.n = w.n WHERE i < len(ss)),
+parts AS (SELECT page_id, n, part, arg_max(buf, i) AS text FROM walk GROUP BY ALL UNION ALL SELECT page_id, n, 0, text FROM s WHERE length(text) <= 1500),
+l AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n, part) - 1 AS INTEGER) AS seq, label AS header, text FROM parts JOIN art USING (page_id))"""
+
+
+@query("", f"{CHUNKS} SELECT * FROM l")
 def chunk_pages(spark, d):
     return T.chunk_pages(pages(spark, d))
 
@@ -108,12 +126,13 @@ def compose_sections_lines(spark, d):
     return T.compose_sections(lines(spark, d), [{"start": "part 3"}, {"end_para": "er"}])
 
 
-@query()
+@query("", f"{CHUNKS}, a AS (SELECT * FROM l QUALIFY {SEEN.format(col='text', mark='the')} = 1) SELECT * FROM a QUALIFY {SEEN.format(col='text', mark='that')} = 0")
 def section_between(spark, d):
     return T.section_between(T.chunk_pages(pages(spark, d)), start_para="the", end_para="that")
 
 
-@query()
+@query("", f"""{CHUNKS}, a AS (SELECT * FROM l QUALIFY {SEEN.format(col='text', mark='and')} = 1), b AS (SELECT * FROM l QUALIFY {SEEN.format(col='text', mark='the')} = 0)
+SELECT *, CAST(0 AS INTEGER) AS spec_no FROM a UNION ALL SELECT *, CAST(1 AS INTEGER) FROM b""")
 def compose_sections(spark, d):
     return T.compose_sections(T.chunk_pages(pages(spark, d)), [{"start_para": "and"}, {"end_para": "the"}])
 
@@ -154,21 +173,6 @@ def inner_outline(spark, d):
     return T.inner_outline(pages(spark, d).select("page_id", h.alias("html")), "page_id", "html")
 
 
-@query()
-def clean_source_html(spark, d):
-    return T.clean_source_html(pages(spark, d), "page_id", "html")
-
-
-@query()
-def normalize_office_html(spark, d):
-    return T.normalize_office_html(pages(spark, d).withColumn("title", F.col("url"))).select("page_id", "html")
-
-
-@query()
-def sanitize_html(spark, d):
-    return T.sanitize_html(pages(spark, d), "html", "safe").select("page_id", "safe")
-
-
 BLOCKS = "SELECT w.id AS work_id, 'h' || (d.doc_id % 3) AS header, d.text, d.doc_id AS seq FROM documents d JOIN text_works w ON d.source = w.source AND d.lang = w.lang"
 
 

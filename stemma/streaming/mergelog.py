@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: table -> (its column of passage ids, function of passages).
 Derived = dict[str, tuple[str, Callable[[DataFrame], DataFrame]]]
 
+MANIFEST = "name string, bucket int, parts array<string>, count_ long, length_ long"
+
 
 class MergeLog:
     """Passages (id, version, optional deleted, ...) and tables derived from them, in buckets by a hash of the id.
@@ -26,6 +28,7 @@ class MergeLog:
 
     def __init__(self, spark: SparkSession, folder: str, derive: Derived, buckets: int = 64, length: Column | None = None, most: int = 4):
         self.spark, self.folder, self.derive, self.buckets, self.most = spark, folder, derive, buckets, most
+        self.schemas: dict = {}
         self.length = F.lit(0).cast("long") if length is None else F.coalesce(length.cast("long"), F.lit(0))
 
     def bucket(self, key: str) -> Column:
@@ -35,12 +38,16 @@ class MergeLog:
         """(table, bucket) -> parts, count, length."""
         if batch < 0:
             return {}
-        return {(r.name, r.bucket): (list(r.parts), r.count_, r.length_) for r in self.spark.read.parquet(f"{self.folder}/manifest/{batch}").collect()}
+        return {(r.name, r.bucket): (list(r.parts), r.count_, r.length_) for r in self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/{batch}").collect()}
 
     def parts(self, name: str, manifest: dict, buckets: set[int] | None = None) -> DataFrame | None:
         """All rows of a table's parts, of some buckets or all."""
         paths = [f"{self.folder}/{name}/{p}/bucket={b}" for (n, b), (ps, _, _) in sorted(manifest.items()) if n == name and (buckets is None or b in buckets) for p in ps]
-        return self.spark.read.parquet(*paths) if paths else None
+        if not paths:
+            return None
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(paths[0]).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(*paths)
 
     def newest(self, manifest: dict, buckets: set[int] | None = None) -> DataFrame | None:
         """Each passage's newest version, deletions included."""
@@ -72,12 +79,22 @@ class MergeLog:
         count = sum(n for n, _ in sums)
         return count, sum(size for _, size in sums) / count if count else 0.0
 
-    def write(self, rows: DataFrame, key: str, name: str, part: str, buckets: set[int]) -> None:
-        """A part of some buckets; one that gets no rows is written too, so that it can be read."""
+    def at(self, path: str) -> tuple:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def listed(self, path: str) -> list:
+        fs, place = self.at(path)
+        return list(fs.listStatus(place)) if fs.exists(place) else []
+
+    def kept(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{path}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}")
+
+    def write(self, rows: DataFrame, key: str, name: str, part: str) -> set[int]:
+        """Writes a part and gives the buckets that got rows."""
         rows.withColumn("bucket", self.bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{part}")
-        full = {r[0] for r in rows.select(self.bucket(key)).distinct().collect()}
-        for b in buckets - full:
-            rows.limit(0).write.mode("overwrite").parquet(f"{self.folder}/{name}/{part}/bucket={b}")
+        return {int(s.getPath().getName().split("=")[1]) for s in self.listed(f"{name}/{part}") if s.getPath().getName().startswith("bucket=")}
 
     def apply(self, rows: DataFrame, batch: int) -> None:
         if "deleted" not in rows.columns:
@@ -85,15 +102,13 @@ class MergeLog:
         rows = rows.where("id is not null and version is not null").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
         # of equal versions in one batch a deletion wins, and else the same row each time
         last = Window.partitionBy("id").orderBy(F.desc("version"), F.desc("deleted"), F.xxhash64(*rows.columns))
-        rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{self.folder}/incoming/{batch}")
-        new = self.spark.read.parquet(f"{self.folder}/incoming/{batch}")
+        new = self.kept(rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r"), f"incoming/{batch}")
         manifest = self.manifest(batch - 1)
         reached = {r[0] for r in new.select(self.bucket("id")).distinct().collect()}  # a number of buckets at most
         old = self.newest(manifest, reached)
         had = new.select("id").limit(0).selectExpr("id", "cast(null as bigint) as had", "false as gone", "0L as size") if old is None else old.select("id", F.col("version").alias("had"), F.col("deleted").alias("gone"), self.length.alias("size"))
         met = new.join(had, "id", "left").where("had is null or version > had")
-        met.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{self.folder}/accepted/{batch}")
-        accepted = self.spark.read.parquet(f"{self.folder}/accepted/{batch}")
+        accepted = self.kept(met.withColumn("batch", F.lit(batch)), f"accepted/{batch}")
         there = F.col("had").isNotNull() & ~F.col("gone")
         change = accepted.groupBy(self.bucket("id").alias("b")).agg(
             F.sum(F.when(F.col("deleted"), 0).otherwise(1) - F.when(there, 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("deleted"), 0).otherwise(self.length) - F.when(there, F.col("size")).otherwise(0)).alias("size")
@@ -104,32 +119,29 @@ class MergeLog:
             standing = passages.where("not deleted").drop("deleted", "batch")
             made = {"passages": ("id", passages)} | {name: (key, f(standing).withColumn("batch", F.lit(batch))) for name, (key, f) in self.derive.items()}
             for name, (key, rows) in made.items():
-                self.write(rows, key, name, f"{batch}", set(changes))
+                filled = self.write(rows, key, name, f"{batch}")
                 for b, (n, size) in changes.items():
                     parts, count, length = manifest.get((name, b), ([], 0, 0))
-                    manifest[name, b] = ([*parts, f"{batch}"], count + n, length + size)
+                    manifest[name, b] = ([*parts, f"{batch}"] if b in filled else parts, count + n, length + size)
             full = {b for b in changes if len(manifest["passages", b][0]) >= self.most}
             if full:
-                compact = {name: (key, self.table(name, batch, full, manifest, columns=True)) for name, (key, _) in made.items()}
-                for name, (key, rows) in compact.items():
-                    self.write(rows, key, name, f"{batch}-all", full)
-                for name in compact:
+                whole = {name: (key, self.table(name, batch, full, manifest, columns=True)) for name, (key, _) in made.items()}
+                filled = {name: self.write(rows, key, name, f"{batch}-all") if rows is not None else set() for name, (key, rows) in whole.items()}
+                for name in whole:
                     for b in full:
-                        manifest[name, b] = ([f"{batch}-all"], *manifest[name, b][1:])
+                        manifest[name, b] = ([f"{batch}-all"] if b in filled[name] else [], *manifest[name, b][1:])
         listed = [(name, b, parts, n, size) for (name, b), (parts, n, size) in sorted(manifest.items())]
-        self.spark.createDataFrame(listed, "name string, bucket int, parts array<string>, count_ long, length_ long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{batch}")
+        self.spark.createDataFrame(listed, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{batch}")
 
     def vacuum(self, batch: int) -> None:
         """Deletes what no batch from this one on reads: parts that its manifest doesn't list, and the work tables and manifests before it."""
         listed = {(name, p) for (name, _), (parts, _, _) in self.manifest(batch).items() for p in parts}
-        at = lambda path: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         for name in ("passages", *self.derive, "incoming", "accepted", "manifest"):
-            for s in fs.listStatus(at(f"{self.folder}/{name}")) if fs.exists(at(f"{self.folder}/{name}")) else []:
+            for s in self.listed(name):
                 part = s.getPath().getName()
                 no = int(part.split("-")[0])
                 if no <= batch and (name, part) not in listed and not (name == "manifest" and no == batch):
-                    fs.delete(s.getPath(), True)
+                    self.at(name)[0].delete(s.getPath(), True)
 
 
 def ingest_stream(source: DataFrame, log: MergeLog, checkpoint: str):
