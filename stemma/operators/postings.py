@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,41 +112,38 @@ def best_of_shard(lists: list[Postings], needed: list[bool], weights: list[float
     edges = np.unique(np.concatenate([e for x in lists for e in (x.lo, x.hi + 1)]))
     starts, ends = edges[:-1], edges[1:]
     at = np.stack([x.covering(starts) for x in lists])
-    able = (at[np.array(needed)] >= 0).all(axis=0) & (at >= 0).any(axis=0)
-    if not all(needed):
-        able &= (at[~np.array(needed)] >= 0).any(axis=0)
+    must, may = [i for i, n in enumerate(needed) if n], [i for i, n in enumerate(needed) if not n]
+    able = (at[must] >= 0).all(axis=0) & (at >= 0).any(axis=0)
+    if may:
+        able &= (at[may] >= 0).any(axis=0)
     bounds = sum(np.where(a >= 0, w * x.most[a], 0.0) for x, w, a in zip(lists, weights, at))
     ids, scores, bar = np.empty(0, np.int64), np.empty(0), -np.inf
+
+    def part(i: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+        own, tfs, dls = lists[i].between(at[i, r], starts[r], ends[r])
+        return own, weights[i] * tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * dls / mean)) if weights[i] else np.zeros(len(own))
+
+    def both(met: np.ndarray, total: np.ndarray, own: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where = np.minimum(np.searchsorted(own, met), max(0, len(own) - 1))
+        same = own[where] == met if len(own) else np.zeros(len(met), bool)
+        return met[same], total[same] + shares[where[same]]
+
     order = np.flatnonzero(able)
     for r in order[np.argsort(-bounds[order], kind="stable")]:
         if bounds[r] + 1e-6 < bar:  # scores are rounded
             break
-        met, total, scored = None, None, None
-        for i in sorted(range(len(lists)), key=lambda i: not needed[i]):
-            if at[i, r] < 0:
-                continue
-            own, tfs, dls = lists[i].between(at[i, r], starts[r], ends[r])
-            part = weights[i] * tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * dls / mean)) if weights[i] else np.zeros(len(own))
-            if needed[i]:
-                if met is None:
-                    met, total, scored = own, part, np.full(len(own), all(needed))
-                else:
-                    _, a, b = np.intersect1d(met, own, assume_unique=True, return_indices=True)
-                    met, total, scored = met[a], total[a] + part[b], scored[a]
-            elif any(needed):
-                _, a, b = np.intersect1d(met, own, assume_unique=True, return_indices=True)
-                total[a] += part[b]
-                scored[a] = True
-            elif met is None:
-                met, total, scored = own, part, np.full(len(own), True)
-            else:
-                joined = np.union1d(met, own)
-                sums = np.zeros(len(joined))
-                sums[np.searchsorted(joined, met)] += total
-                sums[np.searchsorted(joined, own)] += part
-                met, total, scored = joined, sums, np.full(len(joined), True)
-        if met is not None and scored.any():
-            ids, scores = np.concatenate([ids, met[scored]]), np.concatenate([scores, np.round(total[scored], 6)])
+        if may:
+            some = [part(i, r) for i in may if at[i, r] >= 0]
+            met, total = some[0]
+            if len(some) > 1:
+                met, of = np.unique(np.concatenate([x for x, _ in some]), return_inverse=True)
+                total = np.bincount(of, np.concatenate([x for _, x in some]), len(met))
+        else:
+            met, total = part(must[0], r)
+        for i in must if may else must[1:]:
+            met, total = both(met, total, *part(i, r))
+        if len(met):
+            ids, scores = np.concatenate([ids, met]), np.concatenate([scores, np.round(total, 6)])
             if len(ids) >= k:
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores, bar = ids[best], scores[best], scores[best[-1]]
@@ -167,50 +165,55 @@ def search_blocks(asks: DataFrame, index: Blocks, k: int) -> DataFrame:
     """query_id, rank, id, score: the k best passages for queries given as rows (query_id, field, phrase, n, j, term, needed, scored).
 
     A phrase of n terms has a row for each. Needed ones have to be in a passage, of the others one at least; those not scored only
-    choose passages. Shards stay where they are: a task gets the blocks of one shard that its queries (``ASKED`` of them or fewer) name, and
-    gives k a query.
+    choose passages. A task gets the blocks of one shard that queries name, and the queries in parts of ``ASKED``, about, that go over to
+    all tasks; it gives k a query.
     """
     scratch = Scratch(asks.sparkSession)
-    slices = [r[0] for r in asks.select(slice_of().alias("s")).distinct().collect()]  # SLICES at most
-    blocks = index.blocks.where(F.col("slice").isin(slices)).drop("slice")
+    facts = asks.agg(F.collect_set(slice_of()).alias("slices"), F.max("n").alias("longest"), F.count_distinct("query_id").alias("queries")).first()  # SLICES at most
+    blocks = index.blocks.where(F.col("slice").isin(facts["slices"])).drop("slice")
     names = asks.select("query_id", "field", "phrase", "n", "needed", "scored").distinct()
     single = blocks.drop("places").join(names.where("n = 1").select("field", F.col("phrase").alias("term")).distinct(), ["field", "term"])
     df = index.terms
-    if asks.where("n > 1").limit(1).count():
+    if (facts["longest"] or 0) > 1:
         phrases = scratch.cut(phrase_blocks(asks, index, blocks).drop("places"))
         single, df = single.unionByName(phrases), df.unionByName(phrases.groupBy("field", "term").agg(F.sum("n").alias("df")))
     weight = F.when(F.col("scored"), F.greatest(F.log((index.count - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))).otherwise(0.0)
     known = names.join(df.withColumnRenamed("term", "phrase"), ["field", "phrase"], "left")
     plan = known.groupBy("query_id").agg(F.count_if(F.col("needed") & F.col("df").isNull()).alias("lacks"), F.collect_list(F.when(F.col("df").isNotNull(), F.struct("field", "phrase", "needed", weight.alias("weight")))).alias("asked"))
     plan = plan.where("lacks = 0 and exists(asked, x -> x.weight > 0)").drop("lacks")
-    across = max(1, -(-asks.select("query_id").distinct().count() // ASKED))
+    across = max(1, -(-facts["queries"] // ASKED))
     plan = scratch.cut(plan.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")))
-    wanted = plan.select(F.col("part").alias("own_part"), F.explode("asked").alias("x")).select("own_part", "x.field", F.col("x.phrase").alias("term")).distinct()
-    left = single.join(wanted, ["field", "term"])
-    right = plan.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
-    kinds = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    mean = index.mean
-
-    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        if not blocks.num_rows or not queries.num_rows:
-            return kinds.empty_table()
-        blocks = blocks.combine_chunks()
-        arrays = [blocks.column(c).chunk(0) for c in ("ids", "tfs", "dls")]
-        lo, hi, most = (blocks.column(c).to_numpy() for c in ("lo", "hi", "most"))
-        decode = lambda row: tuple(a.slice(row, 1).flatten().to_numpy() for a in arrays)
-        of: dict[tuple[str, str], list[int]] = {}
-        for row, key in enumerate(zip(blocks.column("field").to_pylist(), blocks.column("term").to_pylist())):
-            of.setdefault(key, []).append(row)
-        lists, out = {}, []
-        for key, rows in of.items():
-            rows = np.array(sorted(rows, key=lo.__getitem__))
-            lists[key] = Postings(lo[rows], hi[rows], most[rows], rows, decode)
-        for query, asked in zip(queries.column("query_id").to_pylist(), queries.column("asked").to_pylist()):
-            here = [x for x in asked if (x["field"], x["phrase"]) in lists]
-            if any(x["weight"] for x in here) and not any(x["needed"] and (x["field"], x["phrase"]) not in lists for x in asked):
-                ids, scores = best_of_shard([lists[x["field"], x["phrase"]] for x in here], [x["needed"] for x in here], [x["weight"] for x in here], mean, k)
-                out.append((np.full(len(ids), query), ids, scores))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds.types)], schema=kinds) if out else kinds.empty_table()
-
-    found = left.groupBy("own_part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(run, "query_id long, id long, score double")
+    mean, context, found = index.mean, asks.sparkSession.sparkContext, None
+    for no in range(across):
+        rows = plan.where(F.col("part") == no).select("query_id", "asked").collect()  # ASKED of bounded length, about
+        wanted = {(x["field"], x["phrase"]) for r in rows for x in r["asked"]}
+        held = context.broadcast([(r["query_id"], [(x["field"], x["phrase"], x["needed"], x["weight"]) for x in r["asked"]]) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            blocks = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+            if blocks is None:
+                return
+            blocks = blocks.combine_chunks()
+            arrays = [blocks.column(c).chunk(0) for c in ("ids", "tfs", "dls")]
+            lo, hi, most = (blocks.column(c).to_numpy() for c in ("lo", "hi", "most"))
+            decode = lambda row: tuple(a.slice(row, 1).flatten().to_numpy() for a in arrays)
+            of: dict[tuple[str, str], list[int]] = {}
+            for row, key in enumerate(zip(blocks.column("field").to_pylist(), blocks.column("term").to_pylist())):
+                of.setdefault(key, []).append(row)
+            lists, out = {}, []
+            for key, rows in of.items():
+                rows = np.array(sorted(rows, key=lo.__getitem__))
+                lists[key] = Postings(lo[rows], hi[rows], most[rows], rows, decode)
+            for query, asked in held.value:
+                here = [(lists[f, p], needed, weight) for f, p, needed, weight in asked if (f, p) in lists]
+                if any(w for _, _, w in here) and not any(needed and (f, p) not in lists for f, p, needed, _ in asked):
+                    ids, scores = best_of_shard(*map(list, zip(*here)), mean, k)
+                    out.append((np.full(len(ids), query), ids, scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+
+        own = single if across == 1 else single.join(asks.sparkSession.createDataFrame(sorted(wanted) or [("", "")], "field string, term string"), ["field", "term"])
+        part = own.select("field", "term", "shard", "lo", "hi", "most", "ids", "tfs", "dls").repartitionById(index.shards, "shard").mapInArrow(run, "query_id long, id long, score double")
+        part = scratch.cut(part) if across > 1 else part
+        found = part if found is None else found.unionByName(part)
     return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k, "rank").select("query_id", "rank", "id", "score")
