@@ -112,7 +112,7 @@ def classify(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6
 
     held_out is crc32(doc_id as text) mod 4 = 2; such rows teach nothing. 1. The documents of all other labelled rows are
     counted per hashed n-gram and class (grouped sums over a space of 2^bits), which gives the log-count ratios r. 2. A
-    bounded sample of them (the ``sample`` smallest hashes of doc_id) trains the hinge-loss model on indicators times r, one
+    bounded sample of them (the ``sample`` smallest hashes of doc_id, a row each) trains the hinge-loss model on indicators times r, one
     quarter of it turning margins into chances. 3. Every whole text is scored; score is in [0, 1]; predicted is 1 from ``cut`` up.
 
     A null or empty text has no n-grams and gets the bias's score. Labels that are null are left out, several of one doc_id
@@ -124,25 +124,25 @@ def classify(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).alias("y"))
     known = scratch.cut(known.where(fold != 2).withColumn("h", F.xxhash64("doc_id")))
     bar = known.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    train = docs.select("doc_id", F.col("text").cast("string")).join(known.hint("merge"), "doc_id").select("text", "y", (F.col("h") <= F.lit(bar)).alias("fit"), (fold == 3).alias("tune"))
+    train = docs.select("doc_id", F.col("text").cast("string")).join(known.hint("merge"), "doc_id").select("text", "y", (F.col("h") <= F.lit(bar)).alias("fit"), (fold == 3).alias("tune"), "h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, sums = Features(bits), np.zeros((2, dims), np.int64)
-        names = ["kind", "idx", "n0", "n1"]
+        names = ["kind", "idx", "n0", "n1", "h"]
 
-        def row(kind: int, *lists: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in lists)], names)
+        def row(kind: int, h: int | None, *lists: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in lists), pa.array([h], pa.int64())], names)
 
         for b in batches:
-            for text, y, fit, tune in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for text, y, fit, tune, h in zip(b.column(0), *(b.column(c).to_pylist() for c in range(1, 5))):
                 idx = features(text.as_py())
                 sums[int(y), idx] += 1
                 if fit:
-                    yield row(1 + int(y) + 2 * int(tune), idx, idx[:0], idx[:0])
+                    yield row(1 + int(y) + 2 * int(tune), h, idx, idx[:0], idx[:0])
         at = np.flatnonzero(sums.any(axis=0))
-        yield row(0, at, sums[0, at], sums[1, at])
+        yield row(0, None, at, sums[0, at], sums[1, at])
 
-    seen = scratch.cut(train.mapInArrow(count, "kind int, idx array<long>, n0 array<long>, n1 array<long>"))
+    seen = scratch.cut(train.mapInArrow(count, "kind int, idx array<long>, n0 array<long>, n1 array<long>, h long"))
     grams = seen.where("kind = 0").select(F.explode(F.arrays_zip("idx", "n0", "n1")).alias("x")).groupBy("x.idx").agg(F.sum("x.n0").alias("n0"), F.sum("x.n1").alias("n1"))
     counts = np.full((2, dims), smoothing)
     for r in grams.toArrow().to_batches():  # at most 2^bits rows
@@ -168,8 +168,9 @@ def classify(docs: DataFrame, labels: DataFrame, bits: int = 18, sample: int = 6
             a, b = logistic(np.array([weights[rows[i]] @ values[i] + weights[-1] for i in held]), y[held])
         yield pa.RecordBatch.from_arrays([pa.array([np.append(weights, [a, b])], pa.list_(pa.float64()))], ["w"])
 
-    # one task over the bounded sample
-    weights = np.array(seen.where("kind > 0").select("kind", "idx").coalesce(1).mapInArrow(fit, "w array<double>").first()[0])
+    # one task over the bounded sample: of rows with one doc_id one
+    fitted = seen.where("kind > 0").groupBy("h").agg(F.min(F.struct("kind", "idx")).alias("x")).select("x.kind", "x.idx")
+    weights = np.array(fitted.coalesce(1).mapInArrow(fit, "w array<double>").first()[0])
     model = docs.sparkSession.sparkContext.broadcast((weights[:-3].astype(np.float32), *map(float, weights[-3:])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,3 +66,15 @@ def test_other_columns_and_repeated_rows(spark):
     assert {(r.doc_id, round(r.score, 6)) for r in classify(clash, labels.selectExpr("*", "'x' AS text", "5 AS h")).collect()} == plain
     twice = classify(docs.limit(20).union(docs.limit(20)), labels).collect()
     assert len(twice) == 40 and len({(r.doc_id, r.score) for r in twice}) == 20
+
+
+def test_a_repeated_id_is_fitted_once(spark):
+    """However many rows an id has, one of them is in the fitted sample: the model is that of the distinct rows with the same counts."""
+    rng = __import__("random").Random(4)
+    texts = [(i, " ".join(rng.choice(["good", "fine", "well"] if i % 2 else ["spam", "buy", "win"]) for _ in range(12))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, label int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    many = spark.createDataFrame([r for r in texts for _ in range(7)], "doc_id long, text string")
+    a = {r.doc_id: r.score for r in classify(once, labels, smoothing=1.0).collect()}
+    b = {r.doc_id: r.score for r in classify(many, labels, smoothing=7.0).collect()}  # counts are sevenfold, ratios the same
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-5
