@@ -83,6 +83,6 @@ def test_edges(spark, monkeypatch):
     long = "ab" * 20_000
     rows = [(1, None), (2, ""), (None, "Straße STRASSE straSSe strasse " * 3), (3, f"{long} {long}x " * 4), (3, f"{long} {long}x " * 4), (4, "...\n\t123"), (5, "É école ecole École écoLe ÉCOLE " * 4), (6, "aaaaa aaaaaa aaaaaaa " * 5)]
     got = found(spark, rows)
-    assert got == plain([r for r in rows if r[0] != 3]) + [g for g in got if g[0].startswith("abab")] or sorted(got) == sorted(plain([r for r in rows if r[0] != 3]) + [g for g in got if g[0].startswith("abab")])
+    assert [g for g in got if not g[0].startswith("abab")] == plain([r for r in rows if r[0] != 3])
     assert [g[5] for g in got if g[0].startswith("abab")] == [1, 1]
     assert found(spark, []) == [] and found(spark, [(1, "one two")]) == []
