@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.operators.intervals import holding_ranges
+
 #: Category names and labels in display order (fixed values).
 CATEGORIES = (("father", "Church Fathers"), ("council", "Councils"), ("liturgy", "Liturgies"), ("apocrypha", "Apocrypha"), ("misc", "Miscellaneous"))
 NAMED = ("father", "commentary", "council", "liturgy", "apocrypha")
@@ -90,9 +92,9 @@ def has_sources(passages: DataFrame) -> DataFrame:
 
 def catena(passages: DataFrame, works: DataFrame, authors: DataFrame, verse_index: DataFrame, refs: DataFrame) -> DataFrame:
     """Passages on each verse of refs (ref_id, book, chapter, verse): an open verse equals it, a range holds it."""
-    v = verse_index.select("passage_id", F.lower("book").alias("b"), "chapter", "verse_start", "verse_end")
+    v = verse_index.select("passage_id", F.lower("book").alias("b"), "chapter", "verse_start", F.coalesce("verse_end", "verse_start").alias("verse_end"))
     r = refs.select("ref_id", F.lower("book").alias("b"), "chapter", "verse")
-    hit = v.join(r, ["b", "chapter"]).where("(verse_end is null and verse_start = verse) or (verse_end is not null and verse between verse_start and verse_end)")
+    hit = holding_ranges(v, "verse_start", "verse_end", r, "verse", ["b", "chapter"])
     return full(passages, works, authors).join(hit.select("ref_id", F.col("passage_id").alias("id")), "id")
 
 
