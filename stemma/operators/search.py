@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.catalog import catena_by_header, top_k
+from stemma.operators.patterns import holding
 from stemma.operators.postings import ALL, SET, TITLE, Blocks, search_blocks, store_blocks
 from stemma.operators.vectors import Vectors, nearest, store_vectors
 from stemma.session import Scratch
@@ -186,27 +187,11 @@ def author_token_index(authors: DataFrame) -> DataFrame:
     return real.groupBy("token").agg(F.count_distinct("name").alias("n"), F.min("name").alias("name")).where("n = 1").select("token", "name")
 
 
-#: Letters of a text by which what it holds is looked up.
-GRAM = 4
-
-
-def holding(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """Pairs of rows where ``text`` of the one holds ``part`` of the other (not empty), in any case.
-
-    Both meet on the first letters of the part, of which a text has one run at each of its places.
-    """
-    size = lambda c: f"least({GRAM}, length({c}))"
-    grams = F.expr(f"array_distinct(flatten(transform(sequence(1, {GRAM}), n -> if(length(_t) < n, array(), transform(sequence(1, length(_t) - n + 1), i -> substring(_t, i, n))))))")
-    left = texts.withColumn("_t", F.lower(text)).withColumn("_g", F.explode(grams))
-    right = parts.withColumn("_p", F.lower(part)).where("_p <> ''").withColumn("_g", F.expr(f"substring(_p, 1, {size('_p')})"))
-    return left.join(right, "_g").where("contains(_t, _p)").drop("_g", "_t", "_p")
-
-
 def detect_author(queries: DataFrame, authors: DataFrame) -> DataFrame:
     """(query_id, query, author): the longest full name in the query, or else the author of its first distinctive token."""
     roster = authors.where(~F.lower("name").startswith("pseudo")).select("name").distinct()
     q = queries.select("query_id", "query", F.lower("query").alias("low"))
-    named = holding(q, "low", roster, "name").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("name")), "name"))).where("r = 1").select("query_id", F.col("name").alias("by_name"))
+    named = holding(q, "low", roster, "name", longest=True).groupBy("query_id").agg(F.min("name").alias("by_name"))
     tokens = q.select("query_id", F.posexplode(F.regexp_extract_all("low", F.lit("([a-z]+)"), 1)).alias("at", "token"))
     first = tokens.join(author_token_index(authors), "token").groupBy("query_id").agg(F.min(F.struct("at", "name")).alias("m")).select("query_id", F.col("m.name").alias("by_token"))
     return q.join(named, "query_id", "left").join(first, "query_id", "left").select("query_id", "query", F.coalesce("by_name", "by_token").alias("author"))

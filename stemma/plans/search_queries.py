@@ -300,6 +300,29 @@ def topic_of(spark, d):
     return S.topic_of(S.detect_author(mentions(spark, d), roster(spark, d))).select("query_id", "topic")
 
 
+#: A roster from the benchmark's own words, and whole documents as what is asked.
+OWN_ROSTER = "SELECT min(item_id) AS id, regexp_extract(text, '^[^ ]+ [^ ]+', 0) AS name FROM benchmark GROUP BY 2"
+OWN_SQL = f"r AS ({OWN_ROSTER.replace(', 0)', ')')}), q AS (SELECT doc_id AS query_id, text AS query FROM documents),"
+
+
+def own_roster(spark, d):
+    return spark.sql(OWN_ROSTER.replace("benchmark", "{benchmark}"), benchmark=spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+@query("", "WITH " + OWN_SQL + DETECT_SQL.split(MENTION_SQL + ",")[1] + " SELECT query_id, author FROM det")
+def detect_author_in_texts(spark, d):
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return S.detect_author(texts, own_roster(spark, d)).select("query_id", "author")
+
+
+@query("", "WITH " + OWN_SQL + """ c AS (SELECT query_id AS candidate_id, CASE query_id % 3 WHEN 0 THEN ' ' || regexp_extract(query, '[^ ]+ [^ ]+$') WHEN 1 THEN upper(regexp_extract(query, '^[^ ]+')) ELSE query END AS candidate FROM q),
+m AS (SELECT candidate_id, name, id AS author_id FROM c JOIN r ON contains(lower(name), lower(trim(candidate))) OR contains(lower(trim(candidate)), lower(name)) WHERE lower(trim(candidate)) NOT IN ('none', 'n/a', '') QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY CASE WHEN lower(name) = lower(trim(candidate)) THEN 0 ELSE 1 END, name) = 1)
+SELECT candidate_id, name, author_id FROM c LEFT JOIN m USING (candidate_id)""")
+def resolve_names_in_texts(spark, d):
+    parts = F.expr("case doc_id % 3 when 0 then concat(' ', regexp_extract(text, '[^ ]+ [^ ]+$', 0)) when 1 then upper(regexp_extract(text, '^[^ ]+', 0)) else text end")
+    return S.resolve_names(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("candidate_id"), parts.alias("candidate")), own_roster(spark, d))
+
+
 @query("text_authors", f"WITH r AS (SELECT {NAMES} AS name, min(id) AS author_id FROM text_authors GROUP BY 1), c AS (SELECT item_id AS candidate_id, CASE item_id % 5 WHEN 0 THEN 'GREGORY OF NYSSA' WHEN 1 THEN ' augustine ' WHEN 2 THEN 'N/A' WHEN 3 THEN 'St Clement of Rome, bishop' ELSE 'nobody' END AS candidate FROM benchmark), m AS (SELECT candidate_id, name, author_id FROM c JOIN r ON contains(lower(name), lower(trim(candidate))) OR contains(lower(trim(candidate)), lower(name)) WHERE lower(trim(candidate)) NOT IN ('none', 'n/a', '') QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY CASE WHEN lower(name) = lower(trim(candidate)) THEN 0 ELSE 1 END, name) = 1) SELECT candidate_id, name, coalesce(author_id, -1) AS author_id FROM c LEFT JOIN m USING (candidate_id)")
 def resolve_names(spark, d):
     c = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("candidate_id"), F.expr("case item_id % 5 when 0 then 'GREGORY OF NYSSA' when 1 then ' augustine ' when 2 then 'N/A' when 3 then 'St Clement of Rome, bishop' else 'nobody' end").alias("candidate"))
