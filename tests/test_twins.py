@@ -27,3 +27,8 @@ HTML = "<html><head><title>T</title></head><body><article><h1>The one&amp;&amp t
 def test_references_without_a_semicolon(spark, tmp_path, name):
     ours, theirs = both(spark, tmp_path, name, pages={"page_id": pa.array([1, 2], pa.int64()), "url": ["u", "u"], "html": [HTML, HTML.replace("one", "1")]})
     assert ours and ours == theirs
+
+
+def test_paragraphs_with_references_without_a_semicolon(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path, "paragraphs", pages={"page_id": pa.array([1], pa.int64()), "url": ["u"], "html": [HTML]})
+    assert any("two &am three&'" in r for r in ours) and ours == theirs
