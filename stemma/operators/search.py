@@ -51,7 +51,8 @@ def store_index(passages: DataFrame, scratch: Scratch) -> Blocks:
     """The index of passages (id, text, author, work) written in blocks, with the sets of each author's passages and of those that are no commentaries."""
     cols = {c: terms(F.col(c)) for c in ("text", "author", "work")}
     sets = F.array_compact(F.array(F.concat(F.lit("by "), F.lower("author")), F.when(~F.coalesce(F.col("work"), F.lit("")).ilike("Commentary on %") & F.col("work").isNotNull(), "titled")))
-    return store_blocks(passages, cols, sets, scratch, "work")
+    chars = sum((F.coalesce(F.length(c), F.lit(0)).cast("long") for c in cols), F.lit(0))
+    return store_blocks(passages, cols, sets, chars, scratch, "work")
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
