@@ -97,7 +97,7 @@ def ingest(spark: SparkSession, d: str) -> tuple[MergeLog, int]:
     """The verse passages as they arrive in four batches: all of them, every third with a wrong header; corrections, and deletions; late rows of
     older versions of both; and passages that come back. Gives the log and the last batch."""
     scratch = Scratch(spark)
-    rows = bind(spark, d, "verse_passages").select("id", "header")
+    rows = scratch.cut(bind(spark, d, "verse_passages").select("id", "header"))
     wrong = F.expr("case when id % 3 = 0 then concat('Unread ', id) else header end")
     row = lambda version, header, where, deleted=False: rows.where(where).select("id", F.lit(version).alias("version"), F.lit(deleted).alias("deleted"), header.alias("header"))
     right, none = F.col("header"), F.lit(None).cast("string")

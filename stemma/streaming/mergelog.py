@@ -68,10 +68,14 @@ class MergeLog:
         rows = self.parts(name, manifest, buckets)
         if rows is None:
             return None
+        counted = self.counted(name, rows, now)
+        return counted if columns else counted.drop("batch")
+
+    def counted(self, name: str, rows: DataFrame, now: DataFrame) -> DataFrame:
+        """The derived rows whose passage stands among the newest versions as the batch that made them left it."""
         key = self.derive[name][0]
         standing = now.where("not deleted").select(F.col("id").alias(key), "batch")
-        counted = rows.join(standing, [key, "batch"], "left_semi").select(rows.columns)
-        return counted if columns else counted.drop("batch")
+        return rows.join(standing, [key, "batch"], "left_semi").select(rows.columns)
 
     def totals(self, batch: int) -> tuple[int, float]:
         """How many passages stand after a batch, and their mean length."""
@@ -87,13 +91,17 @@ class MergeLog:
         fs, place = self.at(path)
         return list(fs.listStatus(place)) if fs.exists(place) else []
 
-    def kept(self, rows: DataFrame, path: str) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{path}")
+    def kept(self, rows: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{path}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}")
 
+    def by_bucket(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows brought together by bucket, of which a large one is left to several tasks."""
+        return rows.withColumn("bucket", self.bucket(key)).hint("rebalance", F.col("bucket"))
+
     def write(self, rows: DataFrame, key: str, name: str, part: str) -> set[int]:
         """Writes a part and gives the buckets that got rows."""
-        rows.withColumn("bucket", self.bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{part}")
+        rows.withColumn("bucket", self.bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{part}")
         return {int(s.getPath().getName().split("=")[1]) for s in self.listed(f"{name}/{part}") if s.getPath().getName().startswith("bucket=")}
 
     def apply(self, rows: DataFrame, batch: int) -> None:
@@ -108,13 +116,14 @@ class MergeLog:
         old = self.newest(manifest, reached)
         had = new.select("id").limit(0).selectExpr("id", "cast(null as bigint) as had", "false as gone", "0L as size") if old is None else old.select("id", F.col("version").alias("had"), F.col("deleted").alias("gone"), self.length.alias("size"))
         met = new.join(had, "id", "left").where("had is null or version > had")
-        accepted = self.kept(met.withColumn("batch", F.lit(batch)), f"accepted/{batch}")
+        # stored by bucket, so that what is derived from it is written where it is made
+        accepted = self.kept(self.by_bucket(met.withColumn("batch", F.lit(batch)), "id"), f"accepted/{batch}", ("bucket",))
         there = F.col("had").isNotNull() & ~F.col("gone")
-        change = accepted.groupBy(self.bucket("id").alias("b")).agg(
+        change = accepted.groupBy(F.col("bucket").alias("b")).agg(
             F.sum(F.when(F.col("deleted"), 0).otherwise(1) - F.when(there, 1).otherwise(0)).alias("n"), F.sum(F.when(F.col("deleted"), 0).otherwise(self.length) - F.when(there, F.col("size")).otherwise(0)).alias("size")
         )
         changes = {r.b: (r.n, r.size) for r in change.collect()}  # as many
-        passages = accepted.drop("had", "gone", "size")
+        passages = accepted.drop("had", "gone", "size", "bucket")
         if changes:
             standing = passages.where("not deleted").drop("deleted", "batch")
             made = {"passages": ("id", passages)} | {name: (key, f(standing).withColumn("batch", F.lit(batch))) for name, (key, f) in self.derive.items()}
@@ -125,9 +134,13 @@ class MergeLog:
                     manifest[name, b] = ([*parts, f"{batch}"] if b in filled else parts, count + n, length + size)
             full = {b for b in changes if len(manifest["passages", b][0]) >= self.most}
             if full:
-                whole = {name: (key, self.table(name, batch, full, manifest, columns=True)) for name, (key, _) in made.items()}
-                filled = {name: self.write(rows, key, name, f"{batch}-all") if rows is not None else set() for name, (key, rows) in whole.items()}
-                for name in whole:
+                # the newest versions are found once; what is derived meets them as they are written
+                filled = {"passages": self.write(self.by_bucket(self.newest(manifest, full), "id"), "id", "passages", f"{batch}-all")}
+                now = self.parts("passages", {("passages", b): ([f"{batch}-all"], 0, 0) for b in filled["passages"]})
+                for name, (key, _) in self.derive.items():
+                    rows = self.parts(name, manifest, full)
+                    filled[name] = set() if rows is None else self.write(self.by_bucket(self.counted(name, rows, now), key), key, name, f"{batch}-all")
+                for name in filled:
                     for b in full:
                         manifest[name, b] = ([f"{batch}-all"] if b in filled[name] else [], *manifest[name, b][1:])
         listed = [(name, b, parts, n, size) for (name, b), (parts, n, size) in sorted(manifest.items())]

@@ -84,3 +84,14 @@ def test_edges(spark, tmp_path):
     assert sorted(r.id for r in log.table("passages", 1).collect()) == [1, 2]
     log.apply(spark.createDataFrame([(1, 9, True, None, None), (1, 9, False, "b", "b")], SCHEMA), 2)
     assert [r.id for r in log.table("passages", 2).collect()] == [2] and log.totals(2)[0] == 1
+
+
+def test_a_compaction_finds_the_newest_versions_once(spark, tmp_path, monkeypatch):
+    log = MergeLog(spark, f"{tmp_path}/log", DERIVE, 3, F.size(S.terms(F.col("text"))), most=2)
+    batches = batches_of(random.Random(4), 2)
+    log.apply(spark.createDataFrame(batches[0], SCHEMA), 0)
+    calls, newest = [], log.newest
+    monkeypatch.setattr(log, "newest", lambda *a: calls.append(a) or newest(*a))
+    log.apply(spark.createDataFrame(batches[1], SCHEMA), 1)
+    assert len(calls) == 2  # for what the batch meets, and for the compaction
+    check(spark, log, 1, batches)
