@@ -73,9 +73,10 @@ def embed(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], vectors:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[b.clean.notna() & (b.clean != "")]  # here, as a filter before would clean every text twice
             yield pd.DataFrame({"passage_id": b.id, "embedding": list(encoder(b.clean.tolist()))})
 
-    new = texts.where("clean <> ''").join(vectors.select(F.col("passage_id").alias("id")), "id", "left_anti").select("id", "clean")
+    new = texts.join(vectors.select(F.col("passage_id").alias("id")), "id", "left_anti").select("id", "clean")
     return vectors.select("passage_id", "embedding").unionByName(new.mapInPandas(run, "passage_id long, embedding array<float>"))
 
 
