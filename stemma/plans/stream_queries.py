@@ -116,8 +116,10 @@ def ingest(spark: SparkSession, d: str) -> tuple[MergeLog, int]:
     source = spark.readStream.schema("id long, version int, deleted boolean, header string").parquet(f"{scratch.root}/in/*")
     for no, arrival in enumerate(arrivals):
         arrival.write.parquet(f"{scratch.root}/in/{no}")
+        if no == len(arrivals) - 1:
+            scratch.drop(rows)
         start_ingest(source, log, f"{scratch.root}/log").awaitTermination()
-    log.vacuum(len(arrivals) - 1)
+        log.vacuum(no)
     return log, len(arrivals) - 1
 
 
